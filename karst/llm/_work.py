@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,18 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     ``columns`` maps each wanted name to its type; a missing column is an error of the caller.
     """
     return df.select(*(df[c].cast(t).alias(c) for c, t in columns.items()))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package's source to the executors, once per application, so they need no installation of it."""
+    context = spark.sparkContext
+    if getattr(context, "_karst_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="karst-")) / "karst_src.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._karst_shipped = True
+    return spark

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import components
-from ._work import Work, parallelism, pick
+from ._work import Work, parallelism, pick, ship
 
 SMALL = 8
 BLOCK = 2048
@@ -328,7 +328,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
     Repeated rows give repeated result rows; rows with a null doc_id link with nothing and get a null
     component_id.  Other columns of ``docs`` are ignored.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     work = Work(spark, "ngram-join")
     docs = pick(docs, doc_id="long", text="string")
     every = work.write(docs.mapInArrow(_features(width), _FEATURES), "features")
@@ -390,7 +390,8 @@ def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] FOR i IN range(1, len(w) - 3)]) END AS g FROM d),

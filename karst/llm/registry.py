@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import chat_format, line_dedup, ngram_join, quality_model, quality_rules
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op8_quality_model": quality_model.op8_quality_model,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_ngram_join": ngram_join.ORACLE_SQL,
+    "op10_chat_format": chat_format.ORACLE_SQL,
 }
