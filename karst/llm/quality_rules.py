@@ -30,7 +30,8 @@ _WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 50
 #: No histogram is judged below these sizes, nor a language reference used below REFERENCE_WORDS.
 CHAR_GUARD, WORD_GUARD, REFERENCE_WORDS = 200, 50, 1000
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.45
+#: A distance may be (a, b): a + b / sqrt(size), since the distance that chance alone makes falls with the root of the size.
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = (0.2, 2.0), (0.16, 1.1)
 
 
 def repeated_words(words: Column) -> Column:
@@ -102,7 +103,8 @@ def judge(docs: DataFrame) -> DataFrame:
     judged = judged.withColumn("char_distance", _distance(F.col("chars"), F.coalesce("chars1", "chars2")))
     judged = judged.withColumn("word_distance", _distance(F.col("common"), F.coalesce("common1", "common2")))
     size = F.col("word_chars") + F.get("chars", F.lit(len(CLASSES)))
-    far = ((size >= CHAR_GUARD) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | ((F.col("n_words") >= WORD_GUARD) & (F.col("word_distance") > MAX_WORD_DISTANCE))
+    bound = lambda n, ab: ab[0] + ab[1] / F.sqrt(n.cast("double"))
+    far = ((size >= CHAR_GUARD) & (F.col("char_distance") > bound(size, MAX_CHAR_DISTANCE))) | ((F.col("n_words") >= WORD_GUARD) & (F.col("word_distance") > bound(F.col("n_words"), MAX_WORD_DISTANCE)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "char_distance", "word_distance", (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"))
 
@@ -141,8 +143,8 @@ f AS (SELECT language, {sums("chars", len(CLASSES) + 2)} AS q_chars, {sums("comm
 a AS (SELECT {sums("chars", len(CLASSES) + 2)} AS a_chars, {sums("common2", len(COMMON_WORDS) + 1)} AS a_common FROM d),
 j AS (SELECT d.*, coalesce(q_chars, a_chars) AS q1, coalesce(q_common, a_common) AS q2 FROM d LEFT JOIN f ON f.language = d.language CROSS JOIN a),
 v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    CASE WHEN n_all >= {CHAR_GUARD} AND n_all > 0 THEN {distance("chars", "q1")} > {MAX_CHAR_DISTANCE} ELSE FALSE END AS far1,
-    CASE WHEN n_words >= {WORD_GUARD} AND n_words > 0 THEN {distance("common2", "q2")} > {MAX_WORD_DISTANCE} ELSE FALSE END AS far2 FROM j)
+    CASE WHEN n_all >= {CHAR_GUARD} AND n_all > 0 THEN {distance("chars", "q1")} > {MAX_CHAR_DISTANCE[0]} + {MAX_CHAR_DISTANCE[1]} / sqrt(n_all) ELSE FALSE END AS far1,
+    CASE WHEN n_words >= {WORD_GUARD} AND n_words > 0 THEN {distance("common2", "q2")} > {MAX_WORD_DISTANCE[0]} + {MAX_WORD_DISTANCE[1]} / sqrt(n_words) ELSE FALSE END AS far2 FROM j)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols,
     CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
     NOT base_failed AND NOT far1 AND NOT far2 AS kept FROM v
