@@ -108,8 +108,7 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES, min_points: int = MIN
     lines = split.where("doc_id IS NOT NULL").select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select("doc_id", "row", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_points)
     lines = lines.select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(7), "key").alias("k2"), "doc_id", "row", "pos", batch.alias("batch"))
-    lines.write.partitionBy("batch").parquet(work.path("lines"))
-    stored = work.read("lines", lines)
+    stored = work.write(lines, "lines")
     runs = LineRuns(spark, work, parallelism(spark))
     parts = []
     for b in range(len(cuts) + 1):
