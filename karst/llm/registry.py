@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, ngram_join, quality_model, quality_rules
+from . import bpe, chat_format, decontaminate, line_dedup, ngram_join, quality_model, quality_rules, sharding
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_bpe": bpe.op4_bpe,
+    "op5_sharding": sharding.op5_sharding,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_quality_model": quality_model.op8_quality_model,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op5_sharding": sharding.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
