@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, line_dedup, ngram_join, quality_model, quality_rules, sharding
+from . import bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality_model, quality_rules, sharding, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_bpe": bpe.op4_bpe,
     "op5_sharding": sharding.op5_sharding,
     "op6_quality_rules": quality_rules.op6_quality_rules,
