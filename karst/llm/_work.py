@@ -13,6 +13,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Work:
@@ -53,6 +54,15 @@ def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: A table of narrow rows is sent to all executors if it has at most so many, counted first; else it is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def send_if_small(narrow: DataFrame) -> DataFrame:
+    """The written table ``narrow``, marked for broadcast behind a count of its rows."""
+    return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under fixed names and types; further columns, whatever their names, are left out.
 
