@@ -282,6 +282,22 @@ def digests(docs: DataFrame, source: str) -> DataFrame:
     return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def coded(docs: DataFrame, source: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row of ``docs(doc_id, text)``: the ids, and a digest of what they decode to."""
+    shared = ship(docs.sparkSession).sparkContext.broadcast(source)
+
+    def run(batches):
+        merges, encoder = coder(shared.value)
+        for batch in batches:
+            keys, texts = batch.column("doc_id"), batch.column("text")
+            for a in range(0, len(keys), 256):
+                ids = [list(chain.from_iterable(encoder.encode(t.as_py() or ""))) for t in texts.slice(a, 256)]
+                back = [hashlib.sha256(Decoder(merges).push(x).encode()).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([keys.slice(a, 256), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of ``documents`` encoded and decoded with the public word BPE of 49k tokens."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), read_file())
