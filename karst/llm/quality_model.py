@@ -20,7 +20,8 @@ from ._work import pick, ship
 
 DIMENSIONS = 1 << 18
 TRAIN_ROWS = 8192
-EPOCHS = 3
+#: At least EPOCHS passes over the training rows, and more (up to MOST_EPOCHS) where they make fewer than UPDATES updates.
+EPOCHS, MOST_EPOCHS, UPDATES = 3, 30, 20_000
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 _U = np.uint64
@@ -85,7 +86,7 @@ def _fit(table: pa.Table) -> pa.Table:
     table = table.sort_by("ord")
     rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32).astype(np.float64), y) for i, v, y in zip(table["index"].to_pylist(), table["value"].to_pylist(), table["label"].to_pylist(), strict=True)]
     z, n, w = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
-    for _ in range(EPOCHS):
+    for _ in range(min(MOST_EPOCHS, max(EPOCHS, -(-UPDATES // max(1, len(rows)))))):
         for i, v, y in rows:
             g = (_sigmoid(w[i] @ v) - y) * v
             more = n[i] + g * g
