@@ -9,9 +9,10 @@ sorted by set size and only those within the size band of one another are paired
 the overlap from above, and what is left is settled by an exact intersection of sorted arrays.
 
 A tile with up to ``SMALL`` members pairs them all.  A larger one first pairs each member with the
-smallest member of its size band, which is linear; once the links found so have been joined into
-components, only pairs from different components of the tile remain, and they are compared in
-blocks of at most ``BLOCK`` members, so no task holds a whole tile.
+smallest member of its size band, which is linear.  Once the links found so have been joined into
+components, only pairs from different components of the tile matter: in a few rounds each component's best pair is
+verified, then all pairs left that the bitmaps allow.  They are compared in
+blocks of about ``BLOCK`` members, so no task holds a whole tile.
 
 Shingles are told apart by 64-bit hashes.
 """
@@ -32,6 +33,8 @@ from ._work import Work, parallelism, pick, ship
 
 SMALL = 8
 BLOCK = 2048
+#: Rounds in which the large tiles offer only each component's best pair, before they offer all that are left.
+BEST_ROUNDS = 3
 SKETCH_BITS = 20
 _CHUNK = 1 << 12
 #: Shingles of one bucket of the exchange.
@@ -47,7 +50,7 @@ def _set_sig(values: np.ndarray, bound: np.ndarray) -> np.ndarray:
 
 
 def _width(n: int) -> int:
-    return 1 << max(6, min(16, int(2 * n - 1).bit_length()))
+    return 1 << max(6, min(17, int(4 * n - 1).bit_length()))
 
 
 def _bitmap(values: np.ndarray) -> bytes:
@@ -252,7 +255,7 @@ def _exact(percent: int):
                 at = np.searchsorted(large, small)
                 both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("rep_a"), batch.column("rep_b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -266,56 +269,93 @@ def _arrays(width: int):
     return run
 
 
-def _blocks(percent: int):
-    """Pairs of the block pairs in a part that lie in different components and may link."""
+def _blocks(percent: int, best_only: bool):
+    """Pairs of a part's block pairs that lie in different components and may link.
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        tile, block, other, sig, n, label = (table.column(c).to_numpy() for c in ("tok", "block", "other", "sig", "n", "label"))
-        order = np.lexsort((sig, other, tile))
-        tile, block, other, sig, n, label = (x[order] for x in (tile, block, other, sig, n, label))
+    ``best_only``: of those just each component's pair with the largest bound.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], tiles: pa.Table, members: pa.Table) -> pa.Table:
+        names = members.column("member").to_numpy()
+        order = np.argsort(names)
+        names = names[order]
+        n, label, rep = (members.column(c).to_numpy()[order] for c in ("n", "label", "rep"))
+        tile, block, other = (tiles.column(c).to_numpy() for c in ("tok", "block", "other"))
+        at = np.searchsorted(names, tiles.column("sig").to_numpy())
+        index = np.lexsort((at, other, tile))
+        tile, block, other, at = (x[index] for x in (tile, block, other, at))
         cut = np.concatenate([[0], np.flatnonzero((np.diff(tile) != 0) | (np.diff(other) != 0)) + 1, [len(tile)]])
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        codes = [np.zeros(0, np.int64)]
+        seen: set[bytes] = set()
         for s, e in zip(cut[:-1], cut[1:], strict=True):
-            low, high = n[s:e] * percent, n[s:e] * 100
-            for i in range(s, e):
-                k = np.arange(i + 1 - s, e - s)
-                k = k[(label[s:e][k] != label[i]) & (low[k] <= high[i - s]) & (low[i - s] <= high[k])]
-                if other[i] >= 0:
-                    k = k[block[s:e][k] != block[i]]
-                left.append(np.full(len(k), i))
-                right.append(k + s)
-        left, right = np.concatenate(left), np.concatenate(right)
-        if len(left):
-            names, index = np.unique(sig, return_inverse=True)
-            pair = np.unique(np.minimum(index[left], index[right]) * len(names) + np.maximum(index[left], index[right]))
-            where = np.zeros(len(names), np.int64)
-            where[index] = np.arange(len(sig))
-            left, right = where[pair // len(names)], where[pair % len(names)]
-        keep = np.zeros(len(left), bool)
+            mine = at[s:e]
+            if (mark := mine.tobytes() + block[s:e].tobytes()) in seen:
+                continue  # the same members as another tile
+            seen.add(mark)
+            low, high, lab = n[mine] * percent, n[mine] * 100, label[mine]
+            for i in range(len(mine) - 1):
+                k = np.flatnonzero((lab[i + 1 :] != lab[i]) & (low[i + 1 :] <= high[i]) & (low[i] <= high[i + 1 :])) + i + 1
+                if other[s] >= 0:
+                    k = k[block[s:e][k] != block[s + i]]
+                codes.append(mine[i] * len(names) + mine[k])
+            if len(codes) > 4096:
+                codes = [np.unique(np.concatenate(codes))]
+        codes = np.unique(np.concatenate(codes))
+        left, right = codes // max(1, len(names)), codes % max(1, len(names))
+        both = np.zeros(len(left), np.int64)
         if len(left):
-            bits = table.column("bits").take(pa.array(order)).to_pylist()
+            bits = members.column("bits").take(pa.array(order)).to_pylist()
             width = np.array([8 * len(x) for x in bits])
             for x, y in {*zip(width[left].tolist(), width[right].tolist(), strict=True)}:
-                k = np.flatnonzero((width[left] == x) & (width[right] == y))
-                for k in np.array_split(k, 1 + len(k) * max(x, y) // (1 << 27)):
+                every = np.flatnonzero((width[left] == x) & (width[right] == y))
+                for k in np.array_split(every, 1 + len(every) * max(x, y) // (1 << 27)):
                     a, b = (np.frombuffer(b"".join(bits[i] for i in side[k]), np.uint8).reshape(len(k), -1) for side in (left, right))
-                    a, b = _fold(a, min(x, y)), _fold(b, min(x, y))
-                    keep[k] = _within(n[left[k]], n[right[k]], overlap_bound(n[left[k]], n[right[k]], a, b), percent)
-        a, b = sig[left[keep]], sig[right[keep]]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                    both[k] = overlap_bound(n[left[k]], n[right[k]], _fold(a, min(x, y)), _fold(b, min(x, y)))
+        keep = np.flatnonzero(_within(n[left], n[right], both, percent))
+        left, right, both = left[keep], right[keep], both[keep]
+        if best_only and len(left):
+            alike = both / (n[left] + n[right] - both)
+            from_, score = np.concatenate([label[left], label[right]]), np.concatenate([alike, alike])
+            pair = np.concatenate([np.arange(len(left))] * 2)
+            order = np.lexsort((pair, -score, from_))
+            first = np.concatenate([[True], np.diff(from_[order]) != 0])
+            pair = np.unique(pair[order][first])
+            left, right = left[pair], right[pair]
+        return pa.table({"a": names[left], "b": names[right], "rep_a": rep[left], "rep_b": rep[right], "x": label[left], "y": label[right]})
 
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, work: Work, percent: int, width: int, name: str) -> DataFrame:
-    """The links among ``pairs(a, b, rep_a, rep_b)`` of set names, as pairs of representatives' doc_ids."""
+def _verified(docs: DataFrame, pairs: DataFrame, work: Work, percent: int, width: int, name: str) -> DataFrame:
+    """(x, y) of those of ``pairs(a, b, rep_a, rep_b, x, y)`` of set names that really link."""
     nodes = pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select(F.col("rep_b").alias("doc_id"))).distinct()
     sets = docs.join(nodes, "doc_id", "left_semi").select("text").mapInArrow(_arrays(width), "sig long, elements binary")
     sets = work.write(sets, f"{name}-sets").dropDuplicates(["sig"])
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("elements").alias("set_a")), "a")
     both = both.join(sets.select(F.col("sig").alias("b"), F.col("elements").alias("set_b")), "b")
-    links = both.select("rep_a", "rep_b", "set_a", "set_b").mapInArrow(_exact(percent), "a long, b long")
-    return work.write(links, name)
+    links = work.write(both.select("x", "y", "set_a", "set_b").mapInArrow(_exact(percent), "a long, b long"), name)
+    work.drop(f"{name}-sets")
+    return links
+
+
+def _mixed_pairs(big: DataFrame, info: DataFrame, work: Work, percent: int, buckets: int, best_only: bool, name: str) -> DataFrame:
+    """Pairs of ``_blocks`` from the large tiles ``big(tok, sig)`` whose members are not all in one component."""
+    labelled = big.join(info.select("sig", "label"), "sig")
+    mixed = labelled.groupBy("tok").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("m"), F.min("sig").alias("low")).where("u != v")
+    # powers of two, so that the tiles of one group of copies are cut alike
+    mixed = mixed.select("tok", "low", F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.col("m") / BLOCK)))).cast("int").alias("blocks"))
+    tiles = big.join(mixed, "tok").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    # one block: key -1; else each pair of blocks p < q has the key p * blocks + q, and block p by itself -2 - p
+    o = lambda o: F.when(o == F.col("block"), -2 - o).otherwise(F.least(o, F.col("block")) * F.col("blocks") + F.greatest(o, F.col("block")))
+    keys = F.when(F.col("blocks") == 1, F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), o))
+    tiles = tiles.select("tok", "sig", "low", "block", "blocks", F.explode(keys).alias("other"))
+    part = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("low"), F.lit(buckets))).otherwise(F.xxhash64("low", "blocks", "other"))
+    tiles = work.write(tiles.select(part.alias("part"), "tok", "sig", "block", "other"), f"{name}-tiles")
+    members = tiles.select("part", "sig").distinct().join(info, "sig").select(F.col("part").alias("spot"), F.col("sig").alias("member"), "n", "label", "rep", "bits")
+    found = tiles.groupBy("part").cogroup(members.groupBy("spot")).applyInArrow(_blocks(percent, best_only), "a long, b long, rep_a long, rep_b long, x long, y long")
+    found = work.write(found.dropDuplicates(["a", "b"]), name)
+    work.drop(f"{name}-tiles")
+    return found
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -358,29 +398,25 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
     side = lambda x: classes.select(F.col("sig").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
     named = lambda p: p.distinct().join(side("a"), "a").join(side("b"), "b")
     pairs = work.write(named(pairs).mapInArrow(_bounded(percent), "a long, b long, rep_a long, rep_b long"), "pairs")
-    links = _verified(docs, pairs, classes, work, percent, width, "links")
-    labels = components(links, work, "first")
-
-    info = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", "n", "bits", F.coalesce("component", "rep").alias("label"))
-    big = work.write(big.join(info.select("sig", "label"), "sig"), "large")
-    mixed = big.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y")
-    mixed = mixed.select("tok", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    tiles = big.join(mixed, "tok").join(info.select("sig", "n", "bits"), "sig")
-    tiles = tiles.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    # a tile of one block has the key -1; else each pair of blocks (p <= q) has its own key p * blocks + q, and (p, p) pairs within p
-    keys = F.when(F.col("blocks") == 1, F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("block")) * F.col("blocks") + F.greatest(o, F.col("block"))))
-    tiles = tiles.select("tok", "sig", "n", "label", "bits", "block", "blocks", F.explode(keys).alias("other"))
-    tiles = tiles.withColumn("other", F.when((F.col("other") >= 0) & (F.floor(F.col("other") / F.col("blocks")) == F.col("other") % F.col("blocks")), -2 - F.col("block")).otherwise(F.col("other")))
-    tiles = tiles.withColumn("part", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("tok"), F.lit(buckets))).otherwise(F.xxhash64("tok", "other")))
-    more = tiles.groupBy("part").applyInArrow(_blocks(percent), "a long, b long")
-    more = work.write(named(more).select("a", "b", "rep_a", "rep_b"), "more")
-    if not more.isEmpty():
-        extra = _verified(docs, more, classes, work, percent, width, "more-links")
-        if not extra.isEmpty():
-            labels = components(links.union(extra), work, "second")
-    members = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("class_component"))
-    out = rows.select("doc_id", "n", "sig").join(members, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("class_component"))).otherwise(F.col("doc_id")).alias("component_id"))
+    links = _verified(docs, pairs.withColumns({"x": F.col("rep_a"), "y": F.col("rep_b")}), work, percent, width, "links")
+    info = classes.withColumn("label", F.col("rep"))
+    for turn in range(BEST_ROUNDS):
+        # links hold pairs of labels; join them into the components of all labels
+        merged = components(links, work, f"components-{turn}").select(F.col("node").alias("label"), "component")
+        info = info.join(merged, "label", "left").select("sig", "rep", "n", "bits", F.coalesce("component", "label").alias("label"))
+        info = work.write(info, f"info-{turn}")
+        best = turn < BEST_ROUNDS - 1 and (turn == 0 or not links.isEmpty())
+        more = _mixed_pairs(big, info, work, percent, buckets, best, f"more-{turn}")
+        if more.isEmpty():
+            break
+        links = _verified(docs, more, work, percent, width, f"links-{turn}")
+        if not best:
+            if not links.isEmpty():
+                merged = components(links, work, "components-last").select(F.col("node").alias("label"), "component")
+                info = info.join(merged, "label", "left").select("sig", "rep", "n", "bits", F.coalesce("component", "label").alias("label"))
+            break
+    out = rows.select("doc_id", "n", "sig").join(info.select("sig", "label"), "sig", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("label"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
