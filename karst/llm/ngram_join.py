@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import components
-from ._work import Work, parallelism, pick, ship
+from ._work import Work, parallelism, pick, send_if_small, ship
 
 SMALL = 8
 BLOCK = 2048
@@ -329,7 +329,8 @@ def _blocks(percent: int, best_only: bool):
 def _verified(docs: DataFrame, pairs: DataFrame, work: Work, percent: int, width: int, name: str) -> DataFrame:
     """(x, y) of those of ``pairs(a, b, rep_a, rep_b, x, y)`` of set names that really link."""
     nodes = pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select(F.col("rep_b").alias("doc_id"))).distinct()
-    sets = docs.join(nodes, "doc_id", "left_semi").select("text").mapInArrow(_arrays(width), "sig long, elements binary")
+    nodes = work.write(nodes, f"{name}-nodes")
+    sets = docs.join(send_if_small(nodes), "doc_id", "left_semi").select("text").mapInArrow(_arrays(width), "sig long, elements binary")
     sets = work.write(sets, f"{name}-sets").dropDuplicates(["sig"])
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("elements").alias("set_a")), "a")
     both = both.join(sets.select(F.col("sig").alias("b"), F.col("elements").alias("set_b")), "b")
