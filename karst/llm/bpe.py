@@ -24,6 +24,7 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,9 @@ _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACES}\p{{L}}\p{{N}}]+"
 BLOCK = 1 << 16
 WINDOW = 1 << 12
-MEMO = 300_000
+MEMO = 200_000
+_NONE = np.int64(1 << 60)
+_SLOTS = 1 << 19
 _SPACE_RUN = regex.compile(rf"[{_SPACES}]")
 
 
@@ -67,6 +70,16 @@ class Merges:
         for s, i in chain(self.vocab.items(), self.special.items()):
             self.strings[i] = s
         self.decimal = [str(i) for i in range(size)]
+        self.first_ids, self.last_ids = np.array(self.first), np.array(self.last)
+        self.bytes = {c: b for b, c in letters.items()}
+        self.keys, self.found = np.full(_SLOTS, -1), np.full(_SLOTS, _NONE)
+        with np.errstate(over="ignore"):
+            for (a, b), value in self.rank.items():
+                code = np.int64(a << 20 | b)
+                slot = int((code * 0x9E3779B97F4A7C1 >> 20) & (_SLOTS - 1))
+                while self.keys[slot] >= 0:
+                    slot = (slot + 1) & (_SLOTS - 1)
+                self.keys[slot], self.found[slot] = code, value
 
     def _lookahead(self, pairs: list[tuple[str, str]]) -> int:
         units = lambda s: len(s.removesuffix(self.end) if self.end and s != self.end else s)
@@ -109,8 +122,53 @@ class Merges:
         return ids
 
 
+    def merge_many(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """``merge`` of many short pieces at once: every round makes each unfinished piece's best merge."""
+        data = [p.encode() for p in pieces]
+        size = np.array([len(d) for d in data])
+        end = np.cumsum(size)
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        sym = self.first_ids[raw]
+        sym[end - 1] = self.last_ids[raw[end - 1]]
+        word = np.repeat(np.arange(len(pieces)), size)
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        while len(sym):
+            rank = np.full(len(sym), _NONE)
+            rank[:-1] = np.where(word[1:] == word[:-1], self._ranks(sym[:-1], sym[1:]), _NONE)
+            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            best = np.minimum.reduceat(rank, start)
+            done = best == _NONE
+            if done.any():
+                stop = np.append(start[1:], len(sym))
+                flat = sym.tolist()
+                for w, a, b in zip(word[start[done]].tolist(), start[done].tolist(), stop[done].tolist(), strict=True):
+                    out[w] = tuple(flat[a:b])
+            each = np.repeat(best, np.diff(np.append(start, len(sym))))
+            at = np.flatnonzero((rank == each) & (each != _NONE))
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])] if len(at) else at
+            keep = each != _NONE
+            sym[at] = rank[at] & 0xFFFFF
+            keep[at + 1] = False
+            sym, word = sym[keep], word[keep]
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """rank << 20 | merged id of each pair, else _NONE, from an open-addressed table."""
+        code = a.astype(np.int64) << 20 | b
+        slot = (code * 0x9E3779B97F4A7C1 >> 20) & (_SLOTS - 1)
+        out = np.full(len(code), _NONE)
+        todo = np.arange(len(code))
+        while len(todo):
+            key = self.keys[slot[todo]]
+            hit = key == code[todo]
+            out[todo[hit]] = self.found[slot[todo[hit]]]
+            todo = todo[~hit & (key >= 0)]
+            slot[todo] = (slot[todo] + 1) & (_SLOTS - 1)
+        return out
+
+
 class Encoder:
-    """``encode(text)`` yields lists of ids, block by block."""
+    """``encode(text)`` yields lists of ids, block by block; ``prime(texts)`` first merges the new pieces of several texts together."""
 
     def __init__(self, merges: Merges, window: int = WINDOW, block: int = BLOCK):
         self.merges, self.window, self.block = merges, max(window, 4 * merges.lookahead), block
@@ -118,6 +176,7 @@ class Encoder:
         names = "|".join(regex.escape(s) for s in sorted(merges.special, key=len, reverse=True))
         self.special = regex.compile(f"({names})") if names else None
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, list[str]] = {}
 
     def _long(self, piece: str) -> Iterator[list[int]]:
         """A piece of any length in windows: tokens that end before the lookahead are stable."""
@@ -146,6 +205,28 @@ class Encoder:
             self.memo[piece] = ids
         return ids
 
+    def prime(self, texts: list[str]) -> None:
+        """Merge the short pieces that are not in the memo; texts that ``encode`` cuts into blocks are left to it."""
+        new: set[str] = set()
+        for text in texts:
+            if len(text) <= self.block and not (self.special and "<|" in text):
+                new.update(self._pieces(text))
+        new = [p for p in new if p not in self.memo and len(p) <= 64]
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = list({p for t in texts if len(t) <= self.block for p in self._pieces(t) if len(p) <= 64})
+        if new:
+            self.memo.update(zip(new, self.merges.merge_many(new), strict=True))
+
+    def _pieces(self, block: str) -> list[str]:
+        """The block's pieces; those of the last few blocks are kept."""
+        got = self.recent.get(block)
+        if got is None:
+            if len(self.recent) >= 512:
+                self.recent.clear()
+            got = self.recent[block] = self.find(self._normal(block))
+        return got
+
     def _normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
@@ -168,7 +249,7 @@ class Encoder:
                 yield [self.merges.special[part]]
                 continue
             for block in self._blocks(part):
-                yield list(chain.from_iterable([get(p) or piece(p) for p in self.find(self._normal(block))]))
+                yield list(chain.from_iterable([get(p) or piece(p) for p in self._pieces(block)]))
 
 
 class Decoder:
@@ -177,7 +258,6 @@ class Decoder:
     def __init__(self, merges: Merges, mode: str = "tokens"):
         self.merges, self.mode, self.begun = merges, mode, False
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
-        self.bytes = {c: b for b, c in byte_letters().items()}
 
     def push(self, ids: list[int]) -> str:
         if not ids:
@@ -194,7 +274,7 @@ class Decoder:
                 self.utf8.reset()
                 continue
             bare = s.removesuffix(self.merges.end) if self.merges.end else s
-            out.append(self.utf8.decode(bytes(self.bytes[c] for c in bare)) + (" " if bare != s else ""))
+            out.append(self.utf8.decode(bytes(self.merges.bytes[c] for c in bare)) + (" " if bare != s else ""))
         return "".join(out)
 
     def finish(self) -> str:
@@ -213,6 +293,23 @@ def coder(source: str) -> tuple[Merges, Encoder]:
     return _loaded[key]
 
 
+def _primed(texts, encoder: Encoder, chars: int = 1 << 20) -> Iterator[str]:
+    """The texts of an Arrow column (null: empty), the encoder primed with about ``chars`` code points at a time."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        held.append(t.as_py() or "")
+        size += len(held[-1])
+        if size > chars or len(held) >= 400:
+            encoder.prime(held)
+            yield from held
+            encoder.recent.clear()
+            held, size = [], 0
+    encoder.prime(held)
+    yield from held
+    encoder.recent.clear()
+
+
 def read_file(path: str | None = None) -> str:
     """The tokenizer file's text; by default the public word BPE of 49k tokens."""
     if path is None:
@@ -235,7 +332,7 @@ def encode(docs: DataFrame, source: str) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for a in range(0, len(ids), 256):
-                out = [list(chain.from_iterable(encoder.encode(t.as_py() or ""))) for t in texts.slice(a, 256)]
+                out = [list(chain.from_iterable(encoder.encode(t))) for t in _primed(texts.slice(a, 256), encoder)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, 256), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
@@ -266,9 +363,9 @@ def digests(docs: DataFrame, source: str) -> DataFrame:
         decimal = merges.decimal.__getitem__
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column("text"):
+            for text in _primed(batch.column("text"), encoder):
                 count, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(merges)
-                for ids in encoder.encode(text.as_py() or ""):
+                for ids in encoder.encode(text):
                     if ids:
                         ids_hash.update(((" " if count else "") + " ".join(map(decimal, ids))).encode())
                         text_hash.update(decoder.push(ids).encode())
@@ -291,7 +388,7 @@ def coded(docs: DataFrame, source: str) -> DataFrame:
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text")
             for a in range(0, len(keys), 256):
-                ids = [list(chain.from_iterable(encoder.encode(t.as_py() or ""))) for t in texts.slice(a, 256)]
+                ids = [list(chain.from_iterable(encoder.encode(t))) for t in _primed(texts.slice(a, 256), encoder)]
                 back = [hashlib.sha256(Decoder(merges).push(x).encode()).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([keys.slice(a, 256), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
