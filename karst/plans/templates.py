@@ -50,7 +50,7 @@ def _values(cells: Column) -> Column:
 
 def _state(*groups: Column) -> tuple[Column, Column]:
     """(all of some group missing, availability) of arrays of values."""
-    have = [F.size(N.known(g)) for g in groups]
+    have = [F.coalesce(F.size(N.known(g)), F.lit(0)) for g in groups]
     none = [h == 0 for h in have]
     gap = [h < F.size(g) for h, g in zip(have, groups, strict=True)]
     missing = none[0]
