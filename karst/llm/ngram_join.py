@@ -34,7 +34,7 @@ from ._work import Work, parallelism, pick, send_if_small, ship
 SMALL = 8
 BLOCK = 2048
 #: Rounds in which the large tiles offer only each component's best pair, before they offer all that are left.
-BEST_ROUNDS = 3
+BEST_ROUNDS = 2
 SKETCH_BITS = 20
 _CHUNK = 1 << 12
 #: Shingles of one bucket of the exchange.
@@ -50,7 +50,7 @@ def _set_sig(values: np.ndarray, bound: np.ndarray) -> np.ndarray:
 
 
 def _width(n: int) -> int:
-    return 1 << max(6, min(17, int(4 * n - 1).bit_length()))
+    return 1 << max(6, min(16, int(2 * n - 1).bit_length()))
 
 
 def _bitmap(values: np.ndarray) -> bytes:
@@ -342,7 +342,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, work: Work, percent: int, width
 def _mixed_pairs(big: DataFrame, info: DataFrame, work: Work, percent: int, buckets: int, best_only: bool, name: str) -> DataFrame:
     """Pairs of ``_blocks`` from the large tiles ``big(tok, sig)`` whose members are not all in one component."""
     labelled = big.join(info.select("sig", "label"), "sig")
-    mixed = labelled.groupBy("tok").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("m"), F.min("sig").alias("low")).where("u != v")
+    mixed = labelled.groupBy("tok").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("m"), F.min("sig").alias("low"), F.bit_xor(F.xxhash64("sig")).alias("all"), F.bit_xor(F.xxhash64(F.lit(3), "sig")).alias("all2")).where("u != v")
+    # tiles with the same members are one
+    mixed = mixed.groupBy("low", "m", "all", "all2").agg(F.min("tok").alias("tok"))
     # powers of two, so that the tiles of one group of copies are cut alike
     mixed = mixed.select("tok", "low", F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.col("m") / BLOCK)))).cast("int").alias("blocks"))
     tiles = big.join(mixed, "tok").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
