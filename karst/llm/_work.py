@@ -71,8 +71,19 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[c].cast(t).alias(c) for c, t in columns.items()))
 
 
+#: Rows of one Arrow batch: texts can be long, and a batch is held by the JVM and by Python at once.
+ARROW_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's source to the executors, once per application, so they need no installation of it."""
+    """Make the session ready for Python operators.
+
+    This package's source is sent to the executors, once per application, so they need no installation of it, and Arrow
+    batches are limited to ARROW_ROWS rows.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
     context = spark.sparkContext
     if getattr(context, "_karst_shipped", False):
         return spark
