@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
-from ..operators import lookup, matcher, provenance, scoring
+from ..operators import lookup, matcher, provenance, rows, scoring
+from ..session import ensure_checkpoint_dir
 from ..sources import files, star
 from . import oracle as O
 from . import questions as Q
@@ -485,8 +486,6 @@ def final_answer_extract(spark, sf_dir):
 
 
 def _trace(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
     e = star.table(spark, sf_dir, "events")
     order = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     name = F.when(C("event_type") == "purchase", "final_answer").otherwise(C("event_type"))
@@ -550,11 +549,7 @@ def graph_unreachable_nodes(spark, sf_dir):
 
 @query("graph_components", f"{O.TRACE.replace('WITH t AS', 'WITH RECURSIVE t AS')}, {_EARLIER}, b AS (SELECT graph_id, src AS x, dst AS y FROM ee UNION SELECT graph_id, dst, src FROM ee), reach AS (SELECT graph_id, call_id AS x, call_id AS y FROM t UNION SELECT r.graph_id, r.x, b.y FROM reach r JOIN b ON b.graph_id = r.graph_id AND b.x = r.y) SELECT graph_id, x AS node_id, min(y) AS component FROM reach GROUP BY 1, 2")
 def graph_components(spark, sf_dir):
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="karst-"))
+    ensure_checkpoint_dir(spark)
     node, edge = _causal(spark, sf_dir)
     return provenance.components(node, edge.cache())
 
@@ -570,3 +565,48 @@ def graph_report(spark, sf_dir):
 @query("dense_cells", f"{O.CUBE} SELECT property AS indicator_code, code AS country_code, region, year, value FROM cells")
 def dense_cells(spark, sf_dir):
     return _cube(spark, sf_dir).dense().select("indicator_code", "country_code", "region", "year", "value")
+
+
+# ------------------------------------------------------------------ rows
+
+
+@query("rows_where_all", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def rows_where_all(spark, sf_dir):
+    return rows.where_all(star.table(spark, sf_dir, "orders"), o_orderstatus="F", o_orderpriority="1-URGENT").select("o_orderkey", "o_totalprice")
+
+
+@query("rows_mean_words", "SELECT avg(len(string_split(p_name, ' '))) AS mean_words FROM part")
+def rows_mean_words(spark, sf_dir):
+    return rows.mean_words(star.table(spark, sf_dir, "part").select(C("p_partkey").alias("id"), F.array("p_name").alias("paraphrase")))
+
+
+@query("rows_count_exploded", "SELECT coalesce(w, 'unknown') AS tags, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT NULL FROM part WHERE p_partkey % 7 = 0) GROUP BY 1")
+def rows_count_exploded(spark, sf_dir):
+    tags = F.when(C("p_partkey") % 7 != 0, F.split("p_name", " "))
+    return rows.count_exploded(star.table(spark, sf_dir, "part").select(tags.alias("tags")), "tags")
+
+
+@query("rows_merge_paraphrases", "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name FROM part")
+def rows_merge_paraphrases(spark, sf_dir):
+    old = star.table(spark, sf_dir, "part").select(C("p_partkey").cast("string").alias("id"), C("p_name").alias("name"))
+    return rows.merge_paraphrases(old, old.where("cast(id as long) % 3 = 0").withColumn("name", F.upper("name")))
+
+
+@query("rows_mean_and_deviation", f"{_SCORED}, t AS (SELECT run, avg(precision) AS m, stddev_samp(precision) AS d FROM s GROUP BY 1) SELECT run, printf('%.2f', m) || ' $\\pm$ ' || printf('%.2f', d) AS cell FROM t")
+def rows_mean_and_deviation(spark, sf_dir):
+    s = _scored(spark, sf_dir).groupBy("run").agg(F.avg("precision").alias("m"), F.stddev_samp("precision").alias("d"))
+    return s.select("run", rows.mean_and_deviation(C("m"), C("d")).alias("cell"))
+
+
+@query("rows_jaccard", "SELECT p_partkey, CASE WHEN len(list_distinct(list_concat(string_split(p_name, ' '), string_split(lower(p_type), ' ')))) = 0 THEN 0.0 ELSE len(list_intersect(string_split(p_name, ' '), string_split(lower(p_type), ' '))) / len(list_distinct(list_concat(string_split(p_name, ' '), string_split(lower(p_type), ' ')))) END AS similarity FROM part")
+def rows_jaccard(spark, sf_dir):
+    p = star.table(spark, sf_dir, "part")
+    return p.select("p_partkey", rows.jaccard(F.split("p_name", " "), F.split(F.lower("p_type"), " ")).alias("similarity"))
+
+
+@query("registry_catalogue")
+def registry_catalogue(spark, sf_dir):
+    """The tool catalogue with its schemas."""
+    from ..functions.registry import catalogue
+
+    return catalogue(spark)

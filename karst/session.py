@@ -12,3 +12,16 @@ def get_session(name: str = "karst", **conf: str) -> SparkSession:
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints: the one the cluster names, else one of this machine (local runs)."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named and not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    if not context.getCheckpointDir():
+        import tempfile
+
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="karst-"))
+    return context.getCheckpointDir()
