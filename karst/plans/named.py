@@ -425,7 +425,7 @@ def _bool_rows(spark, sf_dir) -> DataFrame:
 
 query(
     "match_bool",
-    "WITH r AS (SELECT c_custkey AS id, ['yes', 'No', 'True', 'false', 'maybe', '0'][c_custkey % 6 + 1] AS pred, c_custkey % 6 IN (0, 2, 4) AS t, CASE WHEN c_acctbal > 4000 THEN 'true' ELSE 'false' END AS gold FROM customer) SELECT id, pred, gold, t = (gold = 'true') AS correct, CASE WHEN t = (gold = 'true') THEN 0.0 ELSE 100.0 END AS error FROM r",
+    "WITH r AS (SELECT c_custkey AS id, ['yes', 'No', 'True', 'false', 'maybe', '0'][c_custkey % 6 + 1] AS pred, c_custkey % 6 IN (0, 2, 4) AS t, CASE WHEN c_acctbal > 4000 THEN 'true' ELSE 'false' END AS gold FROM customer) SELECT id, pred, gold, t = (gold = 'true') AS correct, CAST(CASE WHEN t = (gold = 'true') THEN 0 ELSE 100 END AS DOUBLE) AS error FROM r",
 )(partial(_matched, "bool", _bool_rows))
 
 
@@ -437,7 +437,7 @@ def _int_rows(spark, sf_dir) -> DataFrame:
 
 query(
     "match_int",
-    "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN CAST(p_size + 1 AS VARCHAR) || '.7' WHEN 2 THEN 'it is ' || CAST(p_size AS VARCHAR) ELSE 'none' END AS pred, CAST(p_size AS VARCHAR) AS gold, p_partkey % 4 IN (0, 2) AS correct, CASE p_partkey % 4 WHEN 1 THEN 1.0 WHEN 3 THEN 100.0 ELSE 0.0 END AS error FROM part",
+    "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN CAST(p_size + 1 AS VARCHAR) || '.7' WHEN 2 THEN 'it is ' || CAST(p_size AS VARCHAR) ELSE 'none' END AS pred, CAST(p_size AS VARCHAR) AS gold, p_partkey % 4 IN (0, 2) AS correct, CAST(CASE p_partkey % 4 WHEN 1 THEN 1 WHEN 3 THEN 100 ELSE 0 END AS DOUBLE) AS error FROM part",
 )(partial(_matched, "int", _int_rows))
 
 
@@ -449,7 +449,7 @@ def _str_rows(spark, sf_dir) -> DataFrame:
 
 query(
     "match_str",
-    "WITH r AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN ' ' || lower(c_mktsegment) WHEN 1 THEN 'the ' || c_mktsegment || ' one' ELSE 'FURNITURE' END AS pred, c_mktsegment AS gold FROM customer) SELECT *, contains(lower(trim(pred)), lower(gold)) AS correct, CASE WHEN contains(lower(trim(pred)), lower(gold)) THEN 0.0 ELSE 100.0 END AS error FROM r",
+    "WITH r AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN ' ' || lower(c_mktsegment) WHEN 1 THEN 'the ' || c_mktsegment || ' one' ELSE 'FURNITURE' END AS pred, c_mktsegment AS gold FROM customer) SELECT *, contains(lower(trim(pred)), lower(gold)) AS correct, CAST(CASE WHEN contains(lower(trim(pred)), lower(gold)) THEN 0 ELSE 100 END AS DOUBLE) AS error FROM r",
 )(partial(_matched, "str", _str_rows))
 
 
@@ -464,11 +464,11 @@ query(
     "match_list",
     """WITH r AS (SELECT s_suppkey AS id, s_suppkey % 3 AS k, CAST(s_nationkey AS VARCHAR) AS a, CAST(s_nationkey + s_suppkey % 2 AS VARCHAR) AS b FROM supplier),
 t AS (SELECT *, CASE k WHEN 0 THEN '[''N' || b || ''', ''n0'']' WHEN 1 THEN 'n0, N' || b || ', N' || b ELSE '17' END AS pred, '[''N' || a || ''', ''N0'']' AS gold, k < 2 AND a = b AS correct FROM r)
-SELECT id, pred, gold, correct, CASE WHEN correct THEN 0.0 WHEN k = 2 THEN 100.0 WHEN k = 0 THEN 0.0 ELSE 1.0 END AS error FROM t""",
+SELECT id, pred, gold, correct, CAST(CASE WHEN correct THEN 0 WHEN k = 2 THEN 100 WHEN k = 0 THEN 0 ELSE 1 END AS DOUBLE) AS error FROM t""",
 )(partial(_matched, "list[str]", _list_rows))
 query(
     "match_fallback",
-    "WITH r AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN CAST(p_size + 1 AS VARCHAR) || '.7' WHEN 2 THEN 'it is ' || CAST(p_size AS VARCHAR) ELSE 'none' END AS pred, CAST(p_size AS VARCHAR) AS gold FROM part) SELECT *, id % 4 <> 3 AS correct, CASE WHEN id % 4 = 3 THEN 100.0 ELSE 0.0 END AS error FROM r",
+    "WITH r AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN CAST(p_size + 1 AS VARCHAR) || '.7' WHEN 2 THEN 'it is ' || CAST(p_size AS VARCHAR) ELSE 'none' END AS pred, CAST(p_size AS VARCHAR) AS gold FROM part) SELECT *, id % 4 <> 3 AS correct, CAST(CASE WHEN id % 4 = 3 THEN 100 ELSE 0 END AS DOUBLE) AS error FROM r",
 )(partial(_matched, "unknown", _int_rows))
 
 
