@@ -107,17 +107,3 @@ def median(values: Column) -> Column:
     odd = F.get(s, F.floor(n / 2).cast("int"))
     even = rounded(F.get(s, F.floor(n / 2).cast("int") - 1) + odd) / 2
     return F.when(n > 0, F.when(n % 2 == 1, rounded(odd)).otherwise(even))
-
-
-def round_exact_binary(x: Column) -> Column:
-    """Rounding as Python's round does it, on the exact binary value with ties to even.
-
-    Opt-in: half-up on the decimal value, as everywhere else here, differs by 1e-5 in some three of a hundred regional means.
-    """
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: round(v, DIGITS), na_action="ignore")
-
-    return run(x)
