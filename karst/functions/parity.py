@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .numeric import DIGITS
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _round(values: pd.Series) -> pd.Series:
     return values.map(lambda v: round(v, DIGITS), na_action="ignore")
 
