@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._work import pick, ship
 
-Q = 12
-ERRORS = 0.05
+Q = 8
+ERRORS = 0.08
 BLOCK_BYTES = 4_000_000
 _SEGMENT = 1 << 20
 _FILTER_BITS = 22
@@ -48,15 +48,14 @@ def normal(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """A hash of the Q bytes from each position on."""
+    """The Q (8) bytes from each position on as one number, its bits spread; equal only for equal bytes."""
     n = len(data) - Q + 1
     if n <= 0:
         return np.zeros(0, _U)
     x = data.astype(_U)
     x = x[:-1] | x[1:] << _U(8)
     x = x[:-2] | x[2:] << _U(16)
-    eight = x[:-4] | x[4:] << _U(32)
-    return (eight[:n] * _U(0x9E3779B97F4A7C15) ^ (eight[:n] >> _U(29))) + x[8 : 8 + n] * _U(0xC2B2AE3D27D4EB4F)
+    return T.mix(x[:-4] | x[4:] << _U(32))
 
 
 class Items:
