@@ -21,6 +21,8 @@ from ._work import pick, ship
 
 Q = 8
 ERRORS = 0.08
+#: Items of fewer reduced bytes are common wording; only a text that is nothing else counts as holding one.
+SHORT = 20
 BLOCK_BYTES = 4_000_000
 _SEGMENT = 1 << 20
 _FILTER_BITS = 22
@@ -72,8 +74,8 @@ class Items:
         self.size = size
         self.edits = np.maximum(0, np.minimum((size * ERRORS).astype(np.int64), (size - Q) // Q))
         self.least = size - Q + 1 - self.edits * Q
-        self.short = {x: [k for k, y in enumerate(self.bytes) if y == x] for x in self.bytes if 0 < len(x) < Q}
-        long = [k for k in range(len(rows)) if size[k] >= Q]
+        self.short = {x: [k for k, y in enumerate(self.bytes) if y == x] for x in self.bytes if 0 < len(x) < SHORT}
+        long = [k for k in range(len(rows)) if size[k] >= SHORT]
         parts = [grams(np.frombuffer(self.bytes[k], np.uint8)) for k in long]
         gram = np.concatenate([*parts, np.zeros(0, _U)])
         item = np.repeat(np.array(long, np.int64), [len(p) for p in parts])
@@ -143,7 +145,7 @@ def find(items: Items, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, in
         text, at, place = normal(part, bounds)
         if items.short:
             for r in range(len(rows)):
-                for k in items.short.get(text[at[r] : at[r + 1]].tobytes().rstrip(b" "), ()) if at[r + 1] - at[r] <= Q else ():
+                for k in items.short.get(text[at[r] : at[r + 1]].tobytes().rstrip(b" "), ()) if at[r + 1] - at[r] <= SHORT else ():
                     best[int(rows[r]), k] = (0, int(base[r]), int(base[r] + bounds[r + 1] - bounds[r]))
         g = grams(text)
         hit = np.flatnonzero(items.filter[(g >> _U(64 - _FILTER_BITS)).astype(np.int64)])
@@ -210,7 +212,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_byte, end_byte, distance) of every document of ``docs(doc_id, text)`` that holds an item.
 
     One row a (row of docs, item) with the item's best place, in bytes of the text.  Null or empty texts hold none; items that are null
-    or have no letters or digits are held by none, and items under ``Q`` reduced bytes only by a text that is nothing else.  Repeated rows
+    or have no letters or digits are held by none, and items under ``SHORT`` reduced bytes only by a text that is nothing else.  Repeated rows
     are each reported.  Other columns are ignored.
     """
 
