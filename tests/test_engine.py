@@ -35,10 +35,10 @@ def test_lookups(spark, geo):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "wdi").mkdir()
-    (tmp_path / "wdi" / "A.B.csv").write_text("country_code,2003,2004\nAAA,1.5,\nBBB,,2\n")
-    (tmp_path / "wdi" / "C.csv").write_text("country_code,2018\nAAA,-7.25\n")
-    long = files.wide_csv(spark, str(tmp_path / "wdi"))
+    (tmp_path / "indicators").mkdir()
+    (tmp_path / "indicators" / "A.B.csv").write_text("country_code,2003,2004\nAAA,1.5,\nBBB,,2\n")
+    (tmp_path / "indicators" / "C.csv").write_text("country_code,2018\nAAA,-7.25\n")
+    long = files.wide_csv(spark, str(tmp_path / "indicators"))
     assert {(r.indicator_code, r.country_code, r.year): r.value for r in long.collect()} == {("A.B", "AAA", 2003): 1.5, ("A.B", "AAA", 2004): None, ("A.B", "BBB", 2003): None, ("A.B", "BBB", 2004): 2.0, ("C", "AAA", 2018): -7.25}
     wide = files.pivot_wide(long, [2003, 2004, 2018])
     assert files.unpivot_long(wide, ["indicator_code", "country_code"]).count() == 3
