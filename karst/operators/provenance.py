@@ -137,6 +137,24 @@ def unreachable(node: DataFrame, edge: DataFrame, target: str = "final_answer",
         SELECT n.graph_id, n.node_id, n.label FROM karst_nodes n LEFT ANTI JOIN reach r ON r.graph_id = n.graph_id AND r.node_id = n.node_id""")
 
 
+def levels(node: DataFrame, edge: DataFrame, most: int = 100) -> DataFrame:
+    """(graph_id, node_id, level): the fewest steps from a node without incoming edges; null for nodes that only cycles lead to.
+
+    One join a level, and a trace has few; a graph deeper than ``most`` levels stays null beyond them.
+    """
+    into = edge.where("src <> dst").select("graph_id", F.col("dst").alias("node_id")).distinct()
+    all_nodes = node.select("graph_id", "node_id").distinct()
+    front = all_nodes.join(into, ["graph_id", "node_id"], "left_anti").withColumn("level", F.lit(0))
+    done = front
+    for level in range(1, most + 1):
+        step = edge.join(front.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node_id")).distinct()
+        front = step.join(done, ["graph_id", "node_id"], "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        if front.isEmpty():
+            break
+        done = done.unionByName(front)
+    return all_nodes.join(done, ["graph_id", "node_id"], "left")
+
+
 def components(node: DataFrame, edge: DataFrame, rounds: int = 12) -> DataFrame:
     """(graph_id, node_id, component): weakly connected parts, named by their smallest node.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from karst import model
 from karst.operators import lookup, matcher, provenance, scoring
+from karst.session import ensure_checkpoint_dir
 from karst.sources import files, sinks
 from karst.streaming import stops
 
@@ -132,6 +133,9 @@ def test_provenance(spark):
     node = provenance.nodes(calls, questions)
     assert {r.node_id for r in provenance.unreachable(node, edge).collect()} == {"c4", "__error__"}
     assert provenance.components(node, edge).select("component").distinct().count() == 1
+    ensure_checkpoint_dir(spark)
+    level = {r.node_id: r.level for r in provenance.levels(node, edge).collect()}
+    assert (level["__question__"], level["c1"], level["c3"], level["__error__"]) == (0, 1, 2, 4)
     row = provenance.report(node, edge, args).first()
     assert "no origin for indicator_code" in provenance.markdown(row)
 
