@@ -24,11 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; so does a document of which nothing but white space is left."""
-    out = line_dedup.dedup_lines(docs)
+    own = {c: f"_own_{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(own))
     out = out.where((F.col("n_dropped") == 0) | (F.length(F.trim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
