@@ -16,7 +16,8 @@ def components(edges: DataFrame, work: Work, name: str) -> DataFrame:
     grows with the logarithm of the longest chain.  A hub's links are spread by its neighbours:
     only minima are aggregated per node, with partial sums, and nobody gathers a neighbour list.
     """
-    step = work.write(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    parts = work.parts(edges.count())
+    step = work.write(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0", parts)
     n = 0
     while True:
         both = step.union(step.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,7 +27,7 @@ def components(edges: DataFrame, work: Work, name: str) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        new = work.write(small.where("a != b").distinct(), f"{name}-{n + 1}")
+        new = work.write(small.where("a != b").distinct(), f"{name}-{n + 1}", parts)
         same = step.count() == new.count() and new.join(step, ["a", "b"], "left_anti").isEmpty()
         work.drop(f"{name}-{n}")
         step, n = new, n + 1

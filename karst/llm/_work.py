@@ -32,10 +32,15 @@ class Work:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        """Write and read back; a table known to be small is written by ``parts`` tasks, so that it has no more files."""
+        (df.coalesce(parts) if parts else df).write.mode("overwrite").parquet(self.path(name))
         return self.read(name, df)
 
+    def parts(self, rows: int, each: int = 200_000) -> int:
+        """How many tasks should write so many rows."""
+        return max(1, min(parallelism(self.spark), -(-rows // each)))
+
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 

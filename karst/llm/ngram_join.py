@@ -329,7 +329,7 @@ def _blocks(percent: int, best_only: bool):
 def _verified(docs: DataFrame, pairs: DataFrame, work: Work, percent: int, width: int, name: str) -> DataFrame:
     """(x, y) of those of ``pairs(a, b, rep_a, rep_b, x, y)`` of set names that really link."""
     nodes = pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select(F.col("rep_b").alias("doc_id"))).distinct()
-    nodes = work.write(nodes, f"{name}-nodes")
+    nodes = work.write(nodes, f"{name}-nodes", work.parts(2 * pairs.count()))
     sets = docs.join(send_if_small(nodes), "doc_id", "left_semi").select("text").mapInArrow(_arrays(width), "sig long, elements binary")
     sets = work.write(sets, f"{name}-sets").dropDuplicates(["sig"])
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("elements").alias("set_a")), "a")
@@ -407,7 +407,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
         # links hold pairs of labels; join them into the components of all labels
         merged = components(links, work, f"components-{turn}").select(F.col("node").alias("label"), "component")
         info = info.join(merged, "label", "left").select("sig", "rep", "n", "bits", F.coalesce("component", "label").alias("label"))
-        info = work.write(info, f"info-{turn}")
+        info = work.write(info, f"info-{turn}", work.parts(sets, 50_000))
         best = turn < BEST_ROUNDS - 1 and (turn == 0 or not links.isEmpty())
         more = _mixed_pairs(big, info, work, percent, buckets, best, f"more-{turn}")
         if more.isEmpty():
