@@ -36,7 +36,7 @@ _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACES}\p{{L}}\p{{N}}]+"
 BLOCK = 1 << 16
 WINDOW = 1 << 12
-MEMO = 200_000
+MEMO = 100_000
 _NONE = np.int64(1 << 60)
 _SLOTS = 1 << 19
 _SPACE_RUN = regex.compile(rf"[{_SPACES}]")
@@ -308,6 +308,7 @@ def _primed(texts, encoder: Encoder, chars: int = 1 << 20) -> Iterator[str]:
     encoder.prime(held)
     yield from held
     encoder.recent.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def read_file(path: str | None = None) -> str:
