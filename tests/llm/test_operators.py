@@ -184,6 +184,48 @@ def test_repeated_passages(docs, rows, none, clashing):
     assert {r.doc_id for r in substring_dedup.repeated_passages(clashing).collect()} == own
 
 
+def shingled(text):
+    w = words(text)
+    return np.array([int.from_bytes(hashlib.blake2b(" ".join(w[k : k + 5]).encode(), digest_size=8).digest(), "little") for k in range(len(w) - 4)], np.uint64)
+
+
+def edited(rng, text, edit):
+    w = text.split()
+    at = len(w) // 2 if edit == "middle" else rng.randrange(len(w))
+    w[at : at + (edit != "insert")] = [] if edit == "delete" else [sentence(rng, 1) + "x"]
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("edit", ["middle", "change", "insert", "delete"])
+def test_near_passages_with_one_edit(edit):
+    rng = random.Random(5)
+    for n in range(51, 71):
+        text = sentence(rng, n)
+        x, y = (shingled(f"{sentence(rng, 20)} {t} {sentence(rng, 20)}") for t in (text, edited(rng, text, edit)))
+        found = substring_dedup.shared_runs(x, y, 46, 75)
+        assert len(found) == 1
+        for f, g, p, q in found:
+            a, b = set(x[f:g].tolist()), set(y[p:q].tolist())
+            assert g - f >= 46 and q - p >= 46 and 100 * len(a & b) >= 75 * len(a | b)
+    assert substring_dedup.shared_runs(shingled(sentence(rng, 90)), shingled(sentence(rng, 90)), 46, 75) == []
+    # two halves that changed places: two diagonals far apart, no passage
+    halves = sentence(rng, 44), sentence(rng, 44)
+    assert substring_dedup.shared_runs(shingled(f"{halves[0]} {sentence(rng, 60)} {halves[1]}"), shingled(f"{halves[1]} {sentence(rng, 60)} {halves[0]}"), 47, 90) == []
+
+
+def test_recall_of_near_passages(spark):
+    rng = random.Random(6)
+    texts = []
+    for k in range(60):
+        text = sentence(rng, 50 + k % 21)
+        texts += [(2 * k, f"{sentence(rng, 30)} {text} {sentence(rng, 30)}"), (2 * k + 1, f"{sentence(rng, 30)} {edited(rng, text, 'middle')} {sentence(rng, 30)}")]
+    texts += [(1000 + k, sentence(rng, 120)) for k in range(40)]
+    got = {r.doc_id: r.class_id for r in substring_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    # pairs of Jaccard similarity 0.80 to 0.86, of which 4 of 8 min-hashes must agree
+    assert sum(got.get(2 * k) == got.get(2 * k + 1) == 2 * k for k in range(60)) >= 56
+    assert max(got) < 1000
+
+
 # ---------------------------------------------------------------- 2: line dedup
 
 LINES = [
