@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from ._work import pick, ship
 
 LOOSE = 0.1
-RANKED = 5
 LEAST_SAVED = 6
 BLOCK_CHARS = 4000
 
@@ -149,7 +148,7 @@ def scan(text: str) -> list[tuple[str, int, int, int, int, int, str]]:
         # notices are confirmed one after another; each is taken out before the templates are ranked again
         while True:
             best = None
-            for saved, k in savings(left)[:RANKED]:
+            for saved, k in savings(left):
                 if saved < LEAST_SAVED:
                     break
                 name, _, wanted, named, _ = _templates()[k]

@@ -274,6 +274,12 @@ def test_license_scan(spark):
     assert texts[6][1][r.first_char : r.end_char] == "Licensed under the Apache License, Version 2.0"
 
 
+def test_license_behind_many_alike():
+    for kind in ("General", "Lesser General", "Affero General"):
+        text = f"This work is licensed under the GNU {kind} Public License, version 1.\nReleased under the MIT License."
+        assert [(x[0], text[x[3] : x[4]]) for x in license_scan.scan(text)] == [("MIT", "Released under the MIT License")]
+
+
 # ---------------------------------------------------------------- 4: BPE
 
 
