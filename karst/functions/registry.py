@@ -23,6 +23,7 @@ _LIST = ("values", "array<number>", "The numbers.")
 _PAIR = (("value_a", "number", "The first number."), ("value_b", "number", "The second number."))
 _QUERY = ("query_value", "number", "The value looked for.")
 
+# The tools' names and arguments.
 TOOLS = [
     Tool("add", "arithmetic", "Sum of the numbers.", (_LIST,), numeric.add),
     Tool("count", "arithmetic", "How many elements are not null.", (("values", "array<string>", "The elements."),), numeric.count),
@@ -84,6 +85,11 @@ _SQL = {
     "tool_mean": "(v ARRAY<DOUBLE>) RETURNS DOUBLE RETURN round(try_divide(aggregate(filter(v, x -> x IS NOT NULL AND NOT isnan(x)), 0D, (s, x) -> s + x), size(filter(v, x -> x IS NOT NULL AND NOT isnan(x)))), 5)",
     "tool_maximum": "(v ARRAY<DOUBLE>) RETURNS DOUBLE RETURN round(array_max(filter(v, x -> x IS NOT NULL AND NOT isnan(x))), 5)",
     "tool_minimum": "(v ARRAY<DOUBLE>) RETURNS DOUBLE RETURN round(array_min(filter(v, x -> x IS NOT NULL AND NOT isnan(x))), 5)",
+    "tool_greater_than": "(a DOUBLE, b DOUBLE) RETURNS BOOLEAN RETURN a > b",
+    "tool_less_than": "(a DOUBLE, b DOUBLE) RETURNS BOOLEAN RETURN a < b",
+    "tool_count": "(v ARRAY<STRING>) RETURNS BIGINT RETURN size(filter(v, x -> x IS NOT NULL))",
+    "tool_sort": "(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN array_sort(filter(v, x -> x IS NOT NULL AND NOT isnan(x)))",
+    "tool_index": "(v ARRAY<DOUBLE>, q DOUBLE) RETURNS BIGINT RETURN nullif(array_position(filter(v, x -> x IS NOT NULL AND NOT isnan(x)), q), 0) - 1",
     "tool_rank": "(v ARRAY<DOUBLE>, q DOUBLE) RETURNS BIGINT RETURN CASE WHEN array_contains(v, q) THEN 1 + size(filter(v, x -> x > q)) END",
 }
 

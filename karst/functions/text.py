@@ -9,9 +9,24 @@ FLOATS = r"[-+]?\d*\.\d+|\d+"
 INTS = r"-?\d+"
 
 
+def _as_json(text: Column) -> Column:
+    """A Python literal in JSON: quotes, None, True, False, tuples and commas before a closing bracket."""
+    tokens = F.regexp_extract_all(text, F.lit(r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]++|['"]"""), F.lit(0))
+
+    def token(t: Column) -> Column:
+        inside = F.replace(F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"'))
+        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+        bare = F.regexp_replace(F.translate(bare, "()", "[]"), r",\s*\]", "]")
+        return F.when(F.startswith(t, F.lit("'")) & (F.length(t) > 1), F.concat(F.lit('"'), inside, F.lit('"'))).when(F.startswith(t, F.lit('"')), t).otherwise(bare)
+
+    return F.array_join(F.transform(tokens, token), "")
+
+
 def list_literal(text: Column) -> Column:
-    """The elements of a list written as JSON or with single quotes, as strings; null if it is no list."""
-    return F.coalesce(F.from_json(text, "array<string>"), F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<string>"))
+    """The elements of a list or tuple, written as JSON or as in Python, as strings (None: null); null if it is no list."""
+    t = F.trim(text)
+    python = F.startswith(t, F.lit("[")) | (F.startswith(t, F.lit("(")) & F.contains(t, F.lit(",")))
+    return F.coalesce(F.from_json(t, "array<string>"), F.when(python, F.from_json(_as_json(t), "array<string>")))
 
 
 def numbers(text: Column) -> Column:
@@ -59,3 +74,27 @@ def suffix_coded(indicator: Column, suffixes: list[str]) -> Column:
 
 #: Parts of codes of derived series (per capita, current prices, shares, price parities).
 DERIVED = ["PC", "CD", "XD", "ZS", "PP", "P6", "P5", "P2"]
+
+
+def docstring_arguments(doc: Column) -> Column:
+    """A map of the arguments that a docstring's Args section describes to their descriptions, each on one line; empty without one."""
+    section = F.regexp_extract(doc, r"(?s)Args:\n(.*?)(\n\S|\z)", 1)
+    entries = F.regexp_extract_all(section, F.lit(r"(?sm)^\s*\w+:\s*.*?(?=\n\s*\w+:|\z)"), F.lit(0))
+    name = lambda e: F.regexp_extract(e, r"^\s*(\w+):", 1)
+    says = lambda e: F.translate(F.regexp_replace(F.regexp_replace(e, r"^\s*\w+:\s*", ""), r"\s+\z", ""), "\n", " ")
+    # of a name met again the last counts
+    pairs = F.transform(entries, lambda e: F.struct(name(e).alias("name"), says(e).alias("says")))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda y: y["name"] == x["name"]))
+    return F.map_from_entries(last)
+
+
+def split_label(label: Column) -> Column:
+    """An edge's label as (arg, value): cut at the first ``=``; without one all of it is the argument, and the value is null."""
+    at = F.instr(label, F.lit("="))
+    return F.struct(F.when(at > 0, F.substring(label, F.lit(1), at - 1)).otherwise(label).alias("arg"), F.when(at > 0, F.substring(label, at + 1, F.length(label))).alias("value"))
+
+
+def without_prefix(attributes: Column, prefix: str) -> Column:
+    """The entries of a map whose keys begin with ``prefix``, without it."""
+    own = F.map_filter(attributes, lambda k, v: F.startswith(k, F.lit(prefix)))
+    return F.transform_keys(own, lambda k, v: F.substring(k, F.lit(len(prefix) + 1), F.length(k)))

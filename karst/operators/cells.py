@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import small
+from .lookup import cell_values, small
 
 
 @dataclass(frozen=True)
@@ -23,8 +23,7 @@ class Cube:
     observations: DataFrame
 
     def known(self) -> DataFrame:
-        value = F.round(F.nanvl("value", F.lit(None).cast("double")), 5)
-        return self.observations.select("indicator_code", "country_code", "year", value.alias("value")).where("value IS NOT NULL")
+        return cell_values(self.observations)
 
     def members(self) -> DataFrame:
         """(region, members): each region's countries in order."""
@@ -42,7 +41,7 @@ class Cube:
     def dense(self) -> DataFrame:
         """The whole grid country x indicator x year, as rows (for cubes whose grid is wanted itself)."""
         known = self.known()
-        grid = self.geo.crossJoin(F.broadcast(known.select("indicator_code").distinct())).crossJoin(F.broadcast(known.select("year").distinct()))
+        grid = self.geo.crossJoin(known.select("indicator_code").distinct()).crossJoin(known.select("year").distinct())
         return grid.join(known, ["country_code", "indicator_code", "year"], "left")
 
 
@@ -58,7 +57,7 @@ def with_series(questions: DataFrame, cube: Cube, subjects: list[str]) -> DataFr
 def with_vectors(questions: DataFrame, cube: Cube, wanted: list[tuple[str, str]]) -> DataFrame:
     """Adds ``v_<region>_<year>`` for each (region slot, year slot): an array of (code, name, value), dense."""
     vectors = cube.vectors()
-    members = small(cube.members())
+    members = small(cube.members(), cube.geo)
     for slot in dict.fromkeys(r for r, _ in wanted):
         questions = questions.join(members.select(F.col("region").alias(slot), F.col("members").alias(f"m_{slot}")), slot, "left")
     for slot, year in wanted:

@@ -18,6 +18,9 @@ MESSAGES = {
     "invalid_region": "Error: region not found",
     "invalid_country": "Error: country code not found",
     "no_data": "Warning: no data available",
+    "not_computed": "Error: the call could not be computed",
+    "unknown_tool": "Error: no such tool",
+    "no_arguments": "Error: no arguments given",
 }
 
 
@@ -25,14 +28,20 @@ def message(status: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv)), status)
 
 
-def small(dim: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A dimension, marked for broadcast if a count finds it has at most ``rows`` rows."""
-    return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
+def small(dim: DataFrame, of: DataFrame | None = None, rows: int = 1_000_000) -> DataFrame:
+    """A dimension, marked for broadcast if a count finds it (or ``of``, the rows it gathers) has at most ``rows`` rows."""
+    return F.broadcast(dim) if (dim if of is None else of).limit(rows + 1).count() <= rows else dim
+
+
+def cell_values(observations: DataFrame) -> DataFrame:
+    """One row a cell (indicator_code, country_code, year) that has a value: the mean of repeated ones, to 5 decimals."""
+    cells = observations.groupBy("indicator_code", "country_code", "year").agg(F.round(F.avg(F.nanvl("value", F.lit(None).cast("double"))), 5).alias("value"))
+    return cells.where("value IS NOT NULL")
 
 
 def _by(args: DataFrame, arg: str, dim: DataFrame, key: str, value: str, out: str, status: str) -> DataFrame:
-    # unique keys: the first in the dimension's order counts
-    side = dim.groupBy(F.col(key).alias("_key")).agg(F.min(value).alias(out))
+    # unique keys: the first in the dimension's order (of values, where it has none) counts
+    side = dim.groupBy(F.col(key).alias("_key")).agg(F.min_by(value, F.struct("pos", value) if "pos" in dim.columns else value).alias(out))
     got = args.join(small(side), F.col(arg) == F.col("_key"), "left").drop("_key")
     return got.withColumn("status", F.when(F.col(out).isNull(), F.lit(status)).otherwise(F.lit("ok")))
 
@@ -61,7 +70,7 @@ def indicator_name(args: DataFrame, indicators: DataFrame, arg: str = "indicator
 def region_members(args: DataFrame, geo: DataFrame, arg: str = "region") -> DataFrame:
     """The region's country codes in the dimension's order."""
     side = geo.where("region IS NOT NULL").groupBy(F.col("region").alias("_r")).agg(F.sort_array(F.collect_list(F.struct("pos", "country_code"))).alias("_m"))
-    got = args.join(small(side), F.col(arg) == F.col("_r"), "left").withColumn("country_codes", F.transform("_m", lambda m: m["country_code"]))
+    got = args.join(small(side, geo), F.col(arg) == F.col("_r"), "left").withColumn("country_codes", F.transform("_m", lambda m: m["country_code"]))
     return got.withColumn("status", F.when(F.col("_r").isNull(), "invalid_region").otherwise("ok")).drop("_r", "_m")
 
 
@@ -69,8 +78,7 @@ def retrieve_value(args: DataFrame, geo: DataFrame, observations: DataFrame) ->
     """L7 for args(country_code, indicator_code, year): value and status, checked in the order country, indicator, data."""
     countries = small(geo.select("country_code").distinct().withColumn("_country", F.lit(True)))
     indicators = small(observations.select("indicator_code").distinct().withColumn("_indicator", F.lit(True)))
-    values = observations.select("country_code", "indicator_code", "year", F.round(F.nanvl("value", F.lit(None).cast("double")), 5).alias("value"))
-    got = args.join(countries, "country_code", "left").join(indicators, "indicator_code", "left").join(values, ["country_code", "indicator_code", "year"], "left")
+    got = args.join(countries, "country_code", "left").join(indicators, "indicator_code", "left").join(cell_values(observations), ["country_code", "indicator_code", "year"], "left")
     status = F.when(F.col("_country").isNull(), "invalid_country").when(F.col("_indicator").isNull(), "invalid_indicator").when(F.col("value").isNull(), "no_data").otherwise("ok")
     return got.withColumn("status", status).withColumn("value", F.when(status == "ok", F.col("value"))).drop("_country", "_indicator")
 

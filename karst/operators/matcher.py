@@ -59,11 +59,13 @@ def match_list(pred: Column, gold: Column, names: Column) -> Column:
 
 
 def match_int(pred: Column, gold: Column) -> Column:
-    """M6: equal after truncation, error is the difference; else any whole number in the text."""
-    p, g = _number(pred).cast("long"), gold.try_cast("double").cast("long")
+    """M6: equal after truncation, error is the difference; else any whole number in the text.  What is too large for a long equals nothing."""
+    x, y = _number(pred), gold.try_cast("double")
+    p, g = x.try_cast("long"), y.try_cast("long")
     found = F.transform(F.regexp_extract_all(pred, F.lit(INTS), F.lit(0)), lambda x: x.try_cast("long"))
     loose = F.array_contains(found, g)
-    return F.when(p.isNotNull() & g.isNotNull(), _pair(p == g, F.when(p == g, 0.0).otherwise((p - g).cast("double")))).otherwise(_pair(loose, F.when(loose, 0.0).otherwise(100.0)))
+    whole = lambda n, d: F.coalesce(n.cast("double"), d)
+    return F.when(x.isNotNull() & y.isNotNull(), _pair(p == g, F.when(p == g, 0.0).otherwise(whole(p, x) - whole(g, y)))).otherwise(_pair(loose, F.when(loose, 0.0).otherwise(100.0)))
 
 
 def match_str(pred: Column, gold: Column, names: Column) -> Column:
@@ -90,7 +92,7 @@ def name_map(geo: DataFrame) -> DataFrame:
 
 def match(rows: DataFrame, geo: DataFrame, pred: str = "pred", gold: str = "gold", kind: str = "answer_format") -> DataFrame:
     """M2 and M9: ``rows`` with correct and error; the format is the row's own column, null or unknown means the fallback."""
-    joined = rows.crossJoin(F.broadcast(name_map(geo)))
+    joined = rows.crossJoin(name_map(geo))  # one row
     p, g, names = F.coalesce(F.col(pred), F.lit("None")), F.col(gold), F.col("names")
     result = (
         F.when(F.col(kind) == "float", match_float(p, g))

@@ -12,17 +12,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical, list_literal, plain_words
+from ..functions.text import canonical, list_literal, plain_words, split_label
+from . import graphs
 
 ROOT, ERROR, WARNING = "__question__", "__error__", "__warning__"
 FINE, COARSE = 1e-8, 1e-4
 
 
-def nodes(calls: DataFrame, questions: DataFrame) -> DataFrame:
-    """A root for each of ``questions(graph_id, question)``, a node for each call, and the sinks that calls reach."""
-    root = questions.select("graph_id", F.lit(ROOT).alias("node_id"), F.col("question").alias("label"), F.lit("question").alias("type"), F.lit(0).cast("long").alias("call_order"))
-    call = calls.select("graph_id", F.col("call_id").alias("node_id"), F.col("name").alias("label"), F.lit("call").alias("type"), F.col("call_order").cast("long"))
-    sink = _sinks(calls).select("graph_id", F.col("dst").alias("node_id"), F.col("dst").alias("label"), F.lit("sink").alias("type"), F.lit(None).cast("long").alias("call_order")).distinct()
+def nodes(calls: DataFrame, questions: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """A root for each of ``questions(graph_id, question)``, a node for each call, and the sinks that calls reach.
+
+    ``args`` are a call's arguments, and the root's the slot values as slot_<name>; ``result`` is a call's result.
+    """
+    no_map, no_text = F.lit(None).cast("map<string,string>"), F.lit(None).cast("string")
+    if slots is not None:
+        named = slots.groupBy("graph_id", F.concat(F.lit("slot_"), "slot").alias("k")).agg(F.min("value").alias("v"))
+        questions = questions.join(named.groupBy("graph_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("_slots")), "graph_id", "left")
+    root = questions.select("graph_id", F.lit(ROOT).alias("node_id"), F.col("question").alias("label"), F.lit("question").alias("type"), F.lit(0).cast("long").alias("call_order"), no_text.alias("result"), (no_map if slots is None else F.col("_slots")).alias("args"))
+    call = calls.select("graph_id", F.col("call_id").alias("node_id"), F.col("name").alias("label"), F.lit("call").alias("type"), F.col("call_order").cast("long"), "result", F.col("arguments").alias("args"))
+    sink = _sinks(calls).select("graph_id", "dst").distinct().select("graph_id", F.col("dst").alias("node_id"), F.col("dst").alias("label"), F.lit("sink").alias("type"), F.lit(None).cast("long").alias("call_order"), no_text.alias("result"), no_map.alias("args"))
     return root.unionByName(call).unionByName(sink)
 
 
@@ -77,6 +85,8 @@ def fuzzy_edges(args: DataFrame, made: DataFrame) -> DataFrame:
     """From producers of a number that is not equal but within 1e-8."""
     a = args.withColumn("x", F.col("value").try_cast("double")).where("x IS NOT NULL")
     m = made.withColumn("y", F.col("value").try_cast("double")).where("y IS NOT NULL").drop("value")
+    # beyond this, doubles that differ do so by more
+    a, m = a.where("abs(x) < 1e8"), m.where("abs(y) < 1e8")
     # numbers that close share a millionth of a unit or its neighbour
     near = lambda x: F.array(F.floor(x * 1e6).cast("long"), F.floor(x * 1e6).cast("long") + 1)
     j = a.withColumn("b", F.explode(near(F.col("x")))).join(m.withColumn("b", F.explode(near(F.col("y")))), ["graph_id", "b"])
@@ -86,7 +96,7 @@ def fuzzy_edges(args: DataFrame, made: DataFrame) -> DataFrame:
 
 def result_edges(made: DataFrame) -> DataFrame:
     """Both ways between calls whose single number results differ by less than a ten-thousandth of the larger."""
-    m = made.withColumn("x", F.col("value").try_cast("double")).where("x IS NOT NULL AND x <> 0")
+    m = made.withColumn("x", F.col("value").try_cast("double")).where("x <> 0 AND abs(x) < double('Infinity')")
     a = m.select("graph_id", "src", "x", F.explode(_band(F.col("x"), 2e-4)).alias("b"))
     b = m.select("graph_id", F.col("src").alias("dst"), F.col("x").alias("y"), F.explode(_band(F.col("x"), 2e-4)).alias("b"))
     gap = F.abs(F.col("x") - F.col("y"))
@@ -102,11 +112,15 @@ def keyword_edges(args: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def search_edges(calls: DataFrame, args: DataFrame) -> DataFrame:
-    """From a search to calls that use a name it found, whatever its case."""
+    """From a search to calls that use a name it found, whatever its case, or retrieve a value of a code it found."""
     found = calls.where("name = 'search_for_indicator_names'").select("graph_id", F.col("call_id").alias("src"), F.explode(F.from_json("result", "array<map<string,string>>")).alias("o"))
-    found = found.select("graph_id", "src", F.lower(F.try_element_at("o", F.lit("indicator_name"))).alias("low")).where("low IS NOT NULL")
-    used = args.where("name = 'get_indicator_code_from_name'").withColumn("low", F.lower("value"))
-    return used.join(found, ["graph_id", "low"]).select("graph_id", "src", F.col("call_id").alias("dst"), F.concat(F.lit("indicator_name="), "value").alias("label")).distinct()
+    found = found.select("graph_id", "src", F.lower(F.trim(F.try_element_at("o", F.lit("indicator_name")))).alias("low"), F.trim(F.try_element_at("o", F.lit("indicator_code"))).alias("code"))
+    label = lambda arg: F.concat(F.lit(f"{arg}="), "raw").alias("label")
+    asked = args.where("name = 'get_indicator_code_from_name' AND arg = 'indicator_name'").withColumn("low", F.lower(F.trim("raw")))
+    by_name = asked.join(found, ["graph_id", "low"]).select("graph_id", "src", F.col("call_id").alias("dst"), label("indicator_name"))
+    used = args.where("name = 'retrieve_value' AND arg = 'indicator_code'").withColumn("code", F.trim("raw"))
+    by_code = used.join(found, ["graph_id", "code"]).select("graph_id", "src", F.col("call_id").alias("dst"), label("indicator_code"))
+    return by_name.union(by_code).where("src <> dst").distinct()
 
 
 def edges(calls: DataFrame, questions: DataFrame, slots: DataFrame, causal: bool = False) -> DataFrame:
@@ -118,59 +132,53 @@ def edges(calls: DataFrame, questions: DataFrame, slots: DataFrame, causal: bool
     return last.select("graph_id", "src", "dst", F.col("l.label").alias("label"))
 
 
+def argument_sources(args: DataFrame, edge: DataFrame) -> DataFrame:
+    """(graph_id, call_id, name, arg, source): where each argument of each call comes from; null where no edge says so."""
+    known = edge.select("graph_id", F.col("dst").alias("call_id"), split_label(F.regexp_replace("label", "≈", "="))["arg"].alias("arg"), "src")
+    known = known.groupBy("graph_id", "call_id", "arg").agg(F.max("src").alias("source"))
+    return args.select("graph_id", "call_id", "name", "arg").distinct().join(known, ["graph_id", "call_id", "arg"], "left").select("graph_id", "call_id", "name", "arg", "source")
+
+
 def unprovenanced(args: DataFrame, edge: DataFrame) -> DataFrame:
     """Arguments of calls that no edge accounts for (graph_id, call_id, name, arg)."""
-    known = edge.select("graph_id", F.col("dst").alias("call_id"), F.substring_index(F.regexp_replace("label", "≈", "="), "=", 1).alias("arg")).distinct()
-    return args.select("graph_id", "call_id", "name", "arg").distinct().join(known, ["graph_id", "call_id", "arg"], "left_anti").select("graph_id", "call_id", "name", "arg")
+    return argument_sources(args, edge).where("source IS NULL").drop("source")
 
 
-def unreachable(node: DataFrame, edge: DataFrame, target: str = "final_answer", rounds: int = 100) -> DataFrame:
-    """Nodes from which no path leads to a node labelled ``target``; graphs are bounded by the call budget, so a recursive query ends."""
-    spark = node.sparkSession
-    node.createOrReplaceTempView("karst_nodes")
-    edge.createOrReplaceTempView("karst_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(graph_id, node_id, depth) AS (
-          SELECT graph_id, node_id, 0 FROM karst_nodes WHERE label = '{target}'
-          UNION ALL
-          SELECT e.graph_id, e.src, r.depth + 1 FROM reach r JOIN karst_edges e ON e.graph_id = r.graph_id AND e.dst = r.node_id WHERE r.depth < {rounds})
-        SELECT n.graph_id, n.node_id, n.label FROM karst_nodes n LEFT ANTI JOIN reach r ON r.graph_id = n.graph_id AND r.node_id = n.node_id""")
+def required_arguments(schemas: DataFrame) -> DataFrame:
+    """(name, arg, type) of the required arguments of ``schemas(schema)``, function schemas as JSON text; the type is string where none is said."""
+    kind = "struct<name: string, parameters: struct<required: array<string>, properties: map<string, struct<type: string>>>>"
+    f = schemas.select(F.from_json("schema", f"function {kind}")["function"].alias("f"))
+    each = f.select("f.name", F.explode("f.parameters.required").alias("arg"), F.col("f.parameters.properties").alias("p"))
+    return each.select("name", "arg", F.coalesce(F.try_element_at("p", F.col("arg"))["type"], F.lit("string")).alias("type"))
 
 
-def levels(node: DataFrame, edge: DataFrame, most: int = 100) -> DataFrame:
-    """(graph_id, node_id, level): the fewest steps from a node without incoming edges; null for nodes that only cycles lead to.
+def missing_arguments(calls: DataFrame, required: DataFrame) -> DataFrame:
+    """(graph_id, call_id, name, arg): required arguments that a call does not give."""
+    wanted = calls.select("graph_id", "call_id", "name", F.map_keys("arguments").alias("given")).join(required, "name")
+    return wanted.where(~F.coalesce(F.array_contains("given", F.col("arg")), F.lit(False))).select("graph_id", "call_id", "name", "arg")
 
-    One join a level, and a trace has few; a graph deeper than ``most`` levels stays null beyond them.
-    """
+
+def unreachable(node: DataFrame, edge: DataFrame, target: str = "final_answer") -> DataFrame:
+    """Nodes (graph_id, node_id, label) from which no path leads to a node labelled ``target``."""
+    back = edge.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    reached = graphs.distances(node.where(F.col("label") == target).select("graph_id", "node_id"), back)
+    return node.select("graph_id", "node_id", "label").join(reached, ["graph_id", "node_id"], "left_anti")
+
+
+def levels(node: DataFrame, edge: DataFrame) -> DataFrame:
+    """(graph_id, node_id, level): the fewest steps from a node without incoming edges; null for nodes that only cycles lead to."""
     into = edge.where("src <> dst").select("graph_id", F.col("dst").alias("node_id")).distinct()
     all_nodes = node.select("graph_id", "node_id").distinct()
-    front = all_nodes.join(into, ["graph_id", "node_id"], "left_anti").withColumn("level", F.lit(0))
-    done = front
-    for level in range(1, most + 1):
-        step = edge.join(front.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node_id")).distinct()
-        front = step.join(done, ["graph_id", "node_id"], "left_anti").withColumn("level", F.lit(level)).checkpoint()
-        if front.isEmpty():
-            break
-        done = done.unionByName(front)
-    return all_nodes.join(done, ["graph_id", "node_id"], "left")
-
+    roots = all_nodes.join(into, ["graph_id", "node_id"], "left_anti")
+    found = graphs.distances(roots, edge).withColumnRenamed("steps", "level")
+    return all_nodes.join(found, ["graph_id", "node_id"], "left")
 
-def components(node: DataFrame, edge: DataFrame, rounds: int = 12) -> DataFrame:
-    """(graph_id, node_id, component): weakly connected parts, named by their smallest node.
 
-    Each round takes the smallest name among neighbours and then the name's own name, so ``rounds`` double the reach.
-    """
-    both = edge.select("graph_id", "src", "dst").union(edge.select("graph_id", "dst", "src")).distinct()
-    label = node.select("graph_id", "node_id", F.col("node_id").alias("component")).distinct()
-    for _ in range(rounds):
-        near = both.join(label.select("graph_id", F.col("node_id").alias("dst"), "component"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("node_id")).agg(F.min("component").alias("c"))
-        stepped = label.join(near, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.least("component", "c").alias("component"))
-        up = stepped.select("graph_id", F.col("node_id").alias("component"), F.col("component").alias("up"))
-        new = stepped.join(up, ["graph_id", "component"], "left").select("graph_id", "node_id", F.least("component", "up").alias("component")).checkpoint()
-        if new.join(label, ["graph_id", "node_id", "component"], "left_anti").isEmpty():
-            return new
-        label = new
-    return label
+def components(node: DataFrame, edge: DataFrame) -> DataFrame:
+    """(graph_id, node_id, component): weakly connected parts, named by their smallest node."""
+    own = graphs.components(edge).withColumnRenamed("smallest", "c")
+    all_nodes = node.select("graph_id", "node_id").distinct()
+    return all_nodes.join(own, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("c", "node_id").alias("component"))
 
 
 def report(node: DataFrame, edge: DataFrame, args: DataFrame) -> DataFrame:

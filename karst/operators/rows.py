@@ -20,7 +20,7 @@ def has_final_answer(messages: Column) -> Column:
 
 def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows drawn by a hash of (key, seed), so that a draw can be repeated (a sampling operator)."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)), 256), key).limit(n)
 
 
 def mean_words(catalogue: DataFrame) -> DataFrame:
@@ -50,3 +50,32 @@ def count_exploded(rows: DataFrame, column: str) -> DataFrame:
 def jaccard(a: Column, b: Column) -> Column:
     """|a and b| / |a or b| of two arrays as sets, 0 where both are empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def value_counts(rows: DataFrame, column: str) -> DataFrame:
+    """How often each value occurs, most frequent first, then by value; nulls are left out."""
+    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+
+def first_rows(rows: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first ``n`` rows in an order that is said (a limit that a batch is given); without ``n`` all of them."""
+    return rows if n is None else rows.orderBy(*order).limit(n)
+
+
+def clean(rows: DataFrame, needed: list[str], unique: list[str], order: list[str]) -> DataFrame:
+    """Rows without nulls in ``needed``, the first (in ``order``, then by all columns) of those equal in ``unique``, sorted."""
+    rest = [c for c in rows.columns if c not in unique]
+    by = F.struct(*dict.fromkeys([c for c in order if c not in unique] + rest)) if rest else F.lit(0)
+    kept = rows.dropna(subset=needed).groupBy(*unique).agg(F.min(by).alias("_first"))
+    return kept.select(*(F.col(c) if c in unique else F.col(f"_first.{c}").alias(c) for c in rows.columns)).orderBy(*order)
+
+
+def timing_summary(timings: DataFrame, splits: list[str]) -> DataFrame:
+    """A row for each template of ``timings(template, total_time, time_per_attempt, <splits>)``, and a last one, template Total.
+
+    The total has the sum of the times, the mean time per attempt, and as ``filled`` how many splits were filled at all.
+    """
+    filled = sum((F.col(f"`{s}`").isNotNull().cast("long") for s in splits), F.lit(0).cast("long"))
+    each = timings.select("template", F.col("total_time").cast("double"), F.col("time_per_attempt").cast("double"), filled.alias("filled"))
+    total = each.agg(F.coalesce(F.sum("total_time"), F.lit(0.0)).alias("total_time"), F.coalesce(F.avg("time_per_attempt"), F.lit(0.0)).alias("time_per_attempt"), F.coalesce(F.sum("filled"), F.lit(0)).alias("filled"))
+    return each.unionByName(total.withColumn("template", F.lit("Total")))

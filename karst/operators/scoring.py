@@ -108,15 +108,35 @@ def crosstab(rows: DataFrame, down: str, across: str, values: list) -> DataFrame
     return rows.groupBy(down).pivot(across, values).agg(F.count(F.lit(1))).fillna(0)
 
 
-def stop_rules(calls: DataFrame, most: int = 100, same: int = 10) -> DataFrame:
+def stop_rules(calls: DataFrame, most: int = 100, same: int = 10, most_messages: int = 100) -> DataFrame:
     """The state of an agent's loop after each of its calls (conv, pos, key, name): running totals, and the first rule that ends it.
 
-    One shuffle by conversation; the limits bound what a conversation needs.
+    Of rules that hold at once the first counts: budget (``most`` calls), messages (``most_messages`` of them, where ``calls`` has the
+    column ``messages``, their number after the call), final_answer, repeated (``same`` equal calls).  One shuffle by conversation; the limits
+    bound what a conversation needs.
     """
     order = Window.partitionBy("conv").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     alike = Window.partitionBy("conv", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     s = calls.withColumns({"total": F.count("*").over(order), "alike": F.count("*").over(alike)})
-    rule = F.when(F.col("name") == "final_answer", "final_answer").when(F.col("alike") >= same, "repeated").when(F.col("total") >= most, "budget")
+    full = F.col("messages") >= most_messages if "messages" in calls.columns else F.lit(False)
+    rule = F.when(F.col("total") >= most, "budget").when(full, "messages").when(F.col("name") == "final_answer", "final_answer").when(F.col("alike") >= same, "repeated")
     s = s.withColumn("rule", rule)
     first = s.where("rule IS NOT NULL").groupBy("conv").agg(F.min(F.struct("pos", "rule")).alias("f"))
     return first.select("conv", F.col("f.pos").alias("stopped_at"), F.col("f.rule").alias("rule"))
+
+
+def legacy_answer(messages: Column) -> Column:
+    """P10: the content of the first message of role tool and name final_answer (messages with a ``name``)."""
+    return F.get(F.filter(messages, lambda m: (m["role"] == "tool") & (m["name"] == "final_answer")), F.lit(0))["content"]
+
+
+def legacy_correct(answer: Column, gold: Column, answer_format: Column) -> Column:
+    """P10: whether the answer holds a float's text, or equals any other gold text; no answer is not correct."""
+    return F.coalesce(F.when(answer_format == "float", F.contains(answer, gold)).otherwise(answer == gold), F.lit(False))
+
+
+def legacy_calls(messages: Column, clean: bool = False) -> Column:
+    """The first call of every assistant's message that has one (name, arguments); ``clean`` leaves out think."""
+    said = F.filter(messages, lambda m: (m["role"] == "assistant") & (F.size(m["tool_calls"]) > 0))
+    first = F.transform(said, lambda m: F.get(m["tool_calls"], F.lit(0))["function"])
+    return F.filter(first, lambda c: c["name"] != "think") if clean else first

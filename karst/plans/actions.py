@@ -179,8 +179,7 @@ def _steps(name: str) -> Column:
 def gold_actions(questions: DataFrame, cube: Cube, name: str, names: DataFrame) -> DataFrame:
     """Answered ``questions`` with ``actions``; ``names(property, property_original)`` gives the properties' own names."""
     template = T.TEMPLATES[name]
-    q = questions.join(F.broadcast(names), "property", "left")
+    q = questions.join(names, "property", "left")
     for s in [s for s in template.slots if s.startswith("subject")]:
-        q = q.join(F.broadcast(cube.geo.select(F.col("country_code").alias(s), F.col("country_name").alias(f"{s}_name"))), s, "left")
-    answered = T.answer(q, cube, name)
-    return T.bind(answered, cube, template).select(*answered.columns, _steps(name).alias("actions"))
+        q = q.join(cube.geo.select(F.col("country_code").alias(s), F.col("country_name").alias(f"{s}_name")), s, "left")
+    return T.solved(T.bind(q, cube, template), template).select(*q.columns, *T.RESULT, _steps(name).alias("actions"))

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
-from ..operators import lookup, matcher, provenance, rows, scoring
-from ..session import ensure_checkpoint_dir
+from ..functions.registry import TOOLS, catalogue
+from ..operators import dispatch, lookup, matcher, provenance, rows, scoring
 from ..sources import files, star
 from . import oracle as O
 from . import questions as Q
 from .actions import gold_actions
-from .templates import TEMPLATES, answer, bind
+from .templates import SKIPPED, TEMPLATES, answer, bind
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,10 +45,6 @@ _NAMES = {
     "RegionProportionChange": "t_region_proportion_change", "AveragePropertyComparison": "t_average_property_comparison",
     "RegionAverageComparison": "t_region_average_comparison", "RegionRangeComparison": "t_region_range_comparison", "CountryThresholdCount": "t_country_threshold_count",
 }
-#: Which pairs of countries (and years) the two-country questions ask for: each country and the next in order.
-_NEXT = lambda: C("subject_b").cast("int") == (C("subject_a").cast("int") + 1) % 25
-_WHERE = {"CountryPropertyComparison": lambda: _NEXT() & (C("year_b") == C("year_a") + 1), "PropertyRatioComparison": _NEXT}
-
 
 def _cube(spark: SparkSession, sf_dir: str):
     cube = star.cube(spark, sf_dir)
@@ -61,8 +57,7 @@ def _years(cube) -> DataFrame:
 
 
 def _questions(cube, name: str) -> DataFrame:
-    where = _WHERE.get(name)
-    return Q.combinations(cube, name, _years(cube), where() if where else None)
+    return Q.combinations(cube, name, _years(cube))
 
 
 def _template(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +96,11 @@ query(
 )(partial(_list_tool, N.median))
 
 
+query("tool_mode", f"{O.CUBE}, m AS (SELECT region, property, year, round(value / 1e5) AS v FROM cells), t AS (SELECT region, property, year, v, count(*) AS n FROM m WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4) SELECT r.property, r.region, r.year, (SELECT arg_min(v, (-n, v)) FROM t WHERE t.region = r.region AND t.property = r.property AND t.year = r.year) AS result FROM reg r")(
+    partial(_list_tool, lambda v: N.mode(F.transform(v, lambda x: F.round(x / 1e5))))
+)
+
+
 def _member_tool(build: Callable[[Column, Column], Column], spark: SparkSession, sf_dir: str) -> DataFrame:
     one = _vector(spark, sf_dir).select("property", "region", "year", "v", F.explode("cells").alias("m"))
     return one.select("property", "region", "year", C("m.code").alias("subject"), build(C("v"), C("m.value")).alias("result"))
@@ -204,52 +204,83 @@ def gen_slot_domains(spark, sf_dir):
     return out
 
 
-_COUNTED = ["AverageProperty", "RegionComparison", "TopNTotal", "SubjectPropertyRank", "RegionAverageComparison", "SubjectPropertyChange", "AverageChange", "CountryThresholdCount"]
+def _each_template(build: Callable[[str], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, map(build, TEMPLATES))
+
+
+_N_VALID = {
+    "PropertyOfSubject": "p * s * y", "SubjectPropertyChange": "p * s * y * (y - 1) // 2", "AverageChange": "p * s * y3", "CountryPropertyComparison": "p * s * (s - 1) * y * (y - 1) * 2",
+    "PropertyRatioComparison": "p * s * (s - 1) * y", "AverageProperty": "p * r * y", "TotalProperty": "p * r * y", "RegionPropertyRatio": "p * r * y", "RegionComparison": "p * r * y * 2",
+    "RegionComparisonResult": "p * r * 2 * y * (y - 1)", "RegionPropertyChange": "p * r * 2 * y * (y - 1)", "TopNTotal": "p * r * y * 8", "SubjectPropertyRank": "p * s * y",
+    "RankChange": "p * s * y * (y - 1)", "RegionProportion": "p * s * y", "RegionProportionChange": "p * s * 2 * y * (y - 1)", "AveragePropertyComparison": "p * s * r * 2 * y",
+    "RegionAverageComparison": "p * r * (r - 1) * 2 * y", "RegionRangeComparison": "p * r * (r - 1) * 2 * y", "CountryThresholdCount": "p * s * (r - 1) * 2 * y",
+}
 
 
 @query(
     "gen_valid_combinations",
-    f"""WITH {O.OBS}, n AS (SELECT (SELECT count(DISTINCT property) FROM obs) AS p, (SELECT count(DISTINCT year) FROM obs) AS y, (SELECT count(*) FROM region) AS r, (SELECT count(*) FROM nation) AS s)
-SELECT 'AverageProperty' AS template, CAST(p * r * y AS BIGINT) AS n FROM n UNION ALL SELECT 'RegionComparison', p * r * y * 2 FROM n UNION ALL SELECT 'TopNTotal', p * r * y * 8 FROM n UNION ALL SELECT 'SubjectPropertyRank', p * s * y FROM n
-UNION ALL SELECT 'RegionAverageComparison', p * r * (r - 1) * y * 2 FROM n UNION ALL SELECT 'SubjectPropertyChange', p * s * y * (y - 1) // 2 FROM n
-UNION ALL SELECT 'AverageChange', p * s * (SELECT count(*) FROM (SELECT DISTINCT year FROM obs) a JOIN (SELECT DISTINCT year FROM obs) b ON b.year - a.year >= 3) FROM n UNION ALL SELECT 'CountryThresholdCount', p * s * (r - 1) * y * 2 FROM n""",
+    f"WITH {O.OBS}, n AS (SELECT (SELECT count(DISTINCT property) FROM obs) AS p, (SELECT count(DISTINCT year) FROM obs) AS y, (SELECT count(*) FROM region) AS r, (SELECT count(*) FROM nation) AS s, (SELECT count(*) FROM (SELECT DISTINCT year FROM obs) a JOIN (SELECT DISTINCT year FROM obs) b ON b.year - a.year >= 3) AS y3) "
+    + " UNION ALL ".join(f"SELECT '{t}' AS template, CAST({n} AS BIGINT) AS n FROM n" for t, n in _N_VALID.items()),
 )
 def gen_valid_combinations(spark, sf_dir):
     cube = _cube(spark, sf_dir)
-    out = None
-    for t in _COUNTED:
-        one = Q.combinations(cube, t, _years(cube)).agg(F.lit(t).alias("template"), F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _each_template(lambda t: _questions(cube, t).agg(F.lit(t).alias("template"), F.count("*").alias("n")))
+
+
+def _rendered_sql(name: str) -> str:
+    """Every question's text: the wording and the paraphrase chosen by digests of its slots."""
+    t = TEMPLATES[name]
+    slots = ", ".join(t.slots)
+    key = "sha256(concat_ws('|', '" + name + "', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in t.slots) + "))"
+    draw = lambda salt, n: f"CAST('0x' || substr(md5(concat_ws('|', id, '{salt}0')), 1, 15) AS BIGINT) % {n}"
+    text = f"[{', '.join(_literal(w) for w in t.wording)}][{draw('w', len(t.wording))} + 1]"
+    for c in t.slots:
+        shown = f"(SELECT n_name FROM nation WHERE CAST(n_nationkey AS VARCHAR) = {c})" if c.startswith("subject") else f"CASE {draw('p', 2)} WHEN 0 THEN lower(property) ELSE 'the ' || property END" if c == "property" else f"CAST({c} AS VARCHAR)"
+        text = f"replace({text}, '{{{c}}}', {shown})"
+    return f"SELECT '{name}' AS template, {text} AS question FROM (SELECT {slots}, {key} AS id FROM ({O.TEMPLATE_SQL[name]}))"
+
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
-@query("gen_rendered_questions", f"{O.CUBE} SELECT property, region, year, 'What was the average ' || lower(property) || ' of the countries in ' || region || ' in ' || CAST(year AS VARCHAR) || '?' AS question FROM reg")
+
+#: The low 32 bits of a text's digest, to be summed.
+_DIGEST = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
+
+
+def _digest(text: str) -> Column:
+    return F.conv(F.substring(F.md5(C(text)), 1, 8), 16, 10).cast("long")
+
+
+@query("gen_rendered_questions", "SELECT template, CAST(count(*) AS BIGINT) AS n, CAST(sum(" + _DIGEST.format("question") + ") AS BIGINT) AS digest FROM (" + " UNION ALL ".join(map(_rendered_sql, TEMPLATES)) + ") GROUP BY 1")
 def gen_rendered_questions(spark, sf_dir):
+    """The texts of all questions of every template, told by the sum of their digests."""
     cube = _cube(spark, sf_dir)
-    names = cube.observations.select(C("indicator_code").alias("id"), C("indicator_code").alias("name")).distinct().withColumn("paraphrase", F.array(F.lower("id")))
-    rendered = Q.render(_questions(cube, "AverageProperty"), "AverageProperty", cube.geo, names, wording=0)
-    return rendered.select("property", "region", "year", "question")
+    names = cube.observations.select(C("indicator_code").alias("id"), C("indicator_code").alias("name")).distinct().withColumn("paraphrase", F.array(F.lower("id"), F.concat(F.lit("the "), "id")))
+    one = lambda t: Q.render(_questions(cube, t), t, cube.geo, names).agg(F.lit(t).alias("template"), F.count("*").alias("n"), F.sum(_digest("question")).alias("digest"))
+    return _each_template(one)
 
 
 _SPLIT_OF = "CASE WHEN answerable AND data_availability = 'full' THEN 'answerable-full' WHEN answerable AND data_availability = 'partial' THEN 'answerable-partial' WHEN NOT answerable AND data_availability = 'partial' THEN 'unanswerable-partial' WHEN NOT answerable AND data_availability = 'missing' THEN 'unanswerable-missing' END"
-_SPLIT = ["PropertyOfSubject", "AverageProperty", "SubjectPropertyRank", "RegionComparison"]
 
 
-@query("gen_split_counts", " UNION ALL ".join(f"SELECT '{t}' AS template, {_SPLIT_OF} AS split, CAST(count(*) AS BIGINT) AS n FROM ({O.TEMPLATE_SQL[t]}) x GROUP BY 1, 2" for t in _SPLIT))
+@query("gen_split_counts", " UNION ALL ".join(f"SELECT '{t}' AS template, {_SPLIT_OF} AS split, CAST(count(*) AS BIGINT) AS n FROM ({O.TEMPLATE_SQL[t]}) x GROUP BY 1, 2" for t in TEMPLATES))
 def gen_split_counts(spark, sf_dir):
     cube = _cube(spark, sf_dir)
-    out = None
-    for t in _SPLIT:
-        one = answer(_questions(cube, t), cube, t).groupBy(F.lit(t).alias("template"), Q.split_of().alias("split")).agg(F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _each_template(lambda t: answer(_questions(cube, t), cube, t).groupBy(F.lit(t).alias("template"), Q.split_of().alias("split")).agg(F.count("*").alias("n")))
+
+
+def _drawn_sql(name: str) -> str:
+    key = "sha256(concat_ws('|', '" + name + "', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in TEMPLATES[name].slots) + "))"
+    skipped = ", ".join(f"'{s}'" for t, s in SKIPPED if t == name) or "''"
+    return f"SELECT '{name}' AS question_template, id AS question_id, split, answerable, data_availability FROM (SELECT {key} AS id, {_SPLIT_OF} AS split, answerable, data_availability FROM ({O.TEMPLATE_SQL[name]})) WHERE split IS NOT NULL AND split NOT IN ({skipped}) QUALIFY row_number() OVER (PARTITION BY split ORDER BY sha256(concat_ws('|', id, '0')), id) <= 2"
 
 
-@query("gen_examples", None)
+@query("gen_examples", " UNION ALL ".join(map(_drawn_sql, TEMPLATES)))
 def gen_examples(spark, sf_dir):
     """Two examples for each template and split (a sampling operator)."""
     cube = _cube(spark, sf_dir)
-    return Q.examples(cube, _SPLIT, 2, _years(cube)).drop("slot_values")
+    return Q.examples(cube, list(TEMPLATES), 2, _years(cube)).select("question_template", "question_id", "split", "answerable", "data_availability")
 
 
 @query("gen_suffix_filter", "SELECT event_id, 'EV.' || upper(event_type) || '.' || ['KD', 'PC', 'ZS.X', 'TOTL'][event_id % 4 + 1] AS code FROM events WHERE event_id % 4 IN (0, 3)")
@@ -265,23 +296,26 @@ def gen_region_backoff(spark, sf_dir):
     return files.region_backoff(s, "a", "b", "c").select("s_suppkey", "region")
 
 
-@query(
-    "gen_gold_actions",
-    f"{O.CUBE}, c AS (SELECT property, region, year, n, k FROM reg) SELECT property, region, year, CAST(n + 3 + CASE WHEN k > 0 THEN 1 ELSE 0 END AS INTEGER) AS n_actions, CASE WHEN k > 0 THEN 'mean' ELSE 'retrieve_value' END AS last_action FROM c",
-)
+@query("gen_gold_actions", O.GOLD_ACTIONS)
 def gen_gold_actions(spark, sf_dir):
+    """How many questions of every template have traces of each length and last call (the tests compare whole traces)."""
     cube = _cube(spark, sf_dir)
     names = cube.observations.select(C("indicator_code").alias("property"), C("indicator_code").alias("property_original")).distinct()
-    got = gold_actions(_questions(cube, "AverageProperty"), cube, "AverageProperty", names)
-    return got.select("property", "region", "year", F.size("actions").alias("n_actions"), F.element_at("actions", -1)["name"].alias("last_action"))
+
+    def traced(t: str) -> DataFrame:
+        got = gold_actions(_questions(cube, t), cube, t, names).select(F.size("actions").alias("n_actions"), F.element_at("actions", -1)["name"].alias("last_action"))
+        return got.groupBy(F.lit(t).alias("template"), "n_actions", "last_action").agg(F.count("*").alias("n"))
+
+    return _each_template(traced)
 
 
 # ------------------------------------------------------------------ shapes
 
 
-@query("shape_pivot_wide", f"WITH {O.OBS} SELECT property AS indicator_code, code AS country_code, " + ", ".join(f'max(value) FILTER (WHERE year = {y}) AS "{y}"' for y in range(1995, 2002)) + " FROM obs GROUP BY 1, 2")
+@query("shape_pivot_wide", f"WITH {O.OBS} SELECT property AS indicator_code, code AS country_code, " + ", ".join(f'max(value) FILTER (WHERE year = {y}) AS "{y}"' for y in range(1992, 2025)) + " FROM obs GROUP BY 1, 2")
 def shape_pivot_wide(spark, sf_dir):
-    return files.pivot_wide(star.observations(spark, sf_dir), list(range(1995, 2002)))
+    """A column for each year that the format knows, 1992 to 2024."""
+    return files.pivot_wide(star.observations(spark, sf_dir), list(range(1992, 2025)))
 
 
 @query("shape_unpivot_long", f"WITH {O.OBS} SELECT property AS indicator_code, code AS country_code, year, value FROM obs")
@@ -302,9 +336,13 @@ def shape_resume_antijoin(spark, sf_dir):
     return files.pending(star.table(spark, sf_dir, "customer"), done, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("scrape_links", """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1)) AS h FROM pages) SELECT page_id, string_split(h, '?')[1] AS link FROM l WHERE h LIKE '/%' AND len(string_split(string_split(h, '?')[1], '/')) = 3""")
+_LINKED = "SELECT page_id, replace(html, 'href=\"/', 'href=\"/indicator/') AS html FROM pages"
+
+
+@query("scrape_links", f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=["\'\']([^"\'\']+)["\'\']', 1)) AS h FROM ({_LINKED})) SELECT page_id, string_split(h, '?')[1] AS link FROM l WHERE h LIKE '/indicator/%' AND len(string_split(string_split(h, '?')[1], '/')) = 3""")
 def scrape_links(spark, sf_dir):
-    return files.links(star.table(spark, sf_dir, "pages"), "/")
+    pages = star.table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit('href="/'), F.lit('href="/indicator/')))
+    return files.links(pages, "/indicator/")
 
 
 # ------------------------------------------------------------------ scoring
@@ -342,6 +380,71 @@ def score_process_check(spark, sf_dir):
     return scoring.right_process(rename(pred), rename(gold))
 
 
+def _runs(spark, sf_dir) -> DataFrame:
+    """A run a user: every event is an assistant's message with one call and the tool's message that answers it."""
+    k, user = F.regexp_extract("props", r"(\d+)", 1).cast("long"), C("user_id")
+    e = star.table(spark, sf_dir, "events").withColumns({"k": k, "id": C("event_id").cast("string")})
+    pair = lambda a, x, b, y: F.create_map(F.lit(a), x.cast("string"), F.lit(b), y.cast("string"))
+    one = lambda a, x: F.create_map(F.lit(a), x)
+    kind = C("event_type")
+    name = F.when(kind == "view", "less_than").when(kind == "click", "search_for_indicator_names").when(kind == "purchase", "final_answer").when(kind == "signup", "retrieve_value").otherwise("add")
+    arguments = (
+        F.when(kind == "view", pair("value_a", C("k") % 7, "value_b", user % 7)).when(kind == "click", one("keywords", F.concat(F.lit("K"), (C("k") % 10).cast("string"))))
+        .when(kind == "purchase", one("answer", C("k").cast("string"))).when(kind == "signup", one("indicator_code", F.concat(F.lit("I"), (C("k") % 3).cast("string")))).otherwise(one("values", F.concat(F.lit("["), C("k").cast("string"), F.lit(", 1]"))))
+    )
+    found = F.concat(F.lit('[{"indicator_name": "P'), (C("k") % 10).cast("string"), F.lit('"}]'))
+    result = F.when(kind == "click", found).when(kind == "error", "Error: failed").otherwise(C("k").cast("string"))
+    no, none = F.lit(None).cast("string"), F.lit(None)
+    call = F.struct("id", F.lit("function").alias("type"), F.struct(name.alias("name"), arguments.alias("arguments")).alias("function"))
+    asks = F.struct(F.lit("assistant").alias("role"), no.alias("content"), no.alias("tool_call_id"), no.alias("name"), F.array(call).alias("tool_calls"))
+    says = F.struct(F.lit("tool").alias("role"), result.alias("content"), C("id").alias("tool_call_id"), name.alias("name"), none.alias("tool_calls"))
+    by_id = lambda a, b: (a["event_id"] - b["event_id"]).cast("int")
+    listed = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.array(asks, says).alias("m"))), by_id).alias("l"))
+    slots = pair("property_original", F.concat(F.lit("P"), (user % 10).cast("string")), "property", F.concat(F.lit("I"), (user % 3).cast("string")))
+    return listed.select(user.cast("string").alias("id"), slots.alias("slot_values"), F.flatten(F.transform("l", lambda x: x["m"])).alias("messages"))
+
+
+_RUNS = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS row_id, user_id, event_id, event_type, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+r AS (SELECT *, CASE event_type WHEN 'view' THEN 'less_than' WHEN 'click' THEN 'search_for_indicator_names' WHEN 'purchase' THEN 'final_answer' WHEN 'signup' THEN 'retrieve_value' ELSE 'add' END AS name,
+  CASE event_type WHEN 'click' THEN '[{"indicator_name": "P' || CAST(k % 10 AS VARCHAR) || '"}]' WHEN 'error' THEN 'Error: failed' ELSE CAST(k AS VARCHAR) END AS result FROM e),
+p AS (SELECT row_id, user_id, event_id, k, CAST(i * 2000 AS BIGINT) AS pos, CASE WHEN name = 'less_than' THEN 'greater_than' ELSE name END AS name, result,
+  CASE name WHEN 'less_than' THEN '{"value_a":"' || CAST(user_id % 7 AS VARCHAR) || '","value_b":"' || CAST(k % 7 AS VARCHAR) || '"}'
+    WHEN 'search_for_indicator_names' THEN '{"keywords":"' || CASE WHEN k % 10 = user_id % 10 THEN 'P' ELSE 'K' END || CAST(k % 10 AS VARCHAR) || '"}'
+    WHEN 'retrieve_value' THEN '{"indicator_code":"I' || CAST(k % 3 AS VARCHAR) || '"}' ELSE '{"values":"[' || CAST(k AS VARCHAR) || ', 1]"}' END AS arguments FROM r WHERE name <> 'final_answer')"""
+
+
+@query("score_predicted_calls", f"{_RUNS} SELECT row_id, pos, name, arguments, result FROM p")
+def score_predicted_calls(spark, sf_dir):
+    return scoring.predicted_calls(_runs(spark, sf_dir)).withColumn("arguments", F.to_json("arguments"))
+
+
+@query("score_gold_calls", f"{_RUNS} SELECT row_id, i AS pos, name, CASE name WHEN 'retrieve_value' THEN 'I' || CAST(k % 3 AS VARCHAR) WHEN 'add' THEN '[' || CAST(k AS VARCHAR) || ', 1]' END AS argument FROM (SELECT *, CAST(i AS INTEGER) AS i2 FROM r) WHERE name IN ('retrieve_value', 'add')")
+def score_gold_calls(spark, sf_dir):
+    flat = F.transform(F.filter("messages", lambda m: m["tool_calls"].isNotNull()), lambda m: F.get(m["tool_calls"], F.lit(0))["function"])
+    gold = scoring.gold_calls(_runs(spark, sf_dir).select("id", flat.alias("actions")), ["retrieve_value", "add"])
+    return gold.select("row_id", C("pos").cast("long").alias("pos"), "name", F.coalesce(F.try_element_at("arguments", F.lit("indicator_code")), F.try_element_at("arguments", F.lit("values"))).alias("argument"))
+
+
+@query("score_error_made", f"{_RUNS} SELECT row_id AS id, bool_or(result LIKE 'Error:%') AS error_made, bool_or(name = 'final_answer') AS has_final_answer FROM r GROUP BY 1")
+def score_error_made(spark, sf_dir):
+    return _runs(spark, sf_dir).select("id", scoring.error_made(C("messages")).alias("error_made"), rows.has_final_answer(C("messages")).alias("has_final_answer"))
+
+
+@query("score_wrong_indicator", f"{_RUNS} SELECT row_id, bool_or(k % 3 <> user_id % 3) AS wrong_indicator FROM r WHERE name = 'retrieve_value' GROUP BY 1")
+def score_wrong_indicator(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    slots = runs.select(C("id").alias("row_id"), F.element_at("slot_values", "property").alias("property"))
+    return scoring.wrong_indicator(scoring.predicted_calls(runs), slots)
+
+
+@query("score_legacy", f"{_RUNS}, a AS (SELECT row_id, arg_min(result, event_id) FILTER (WHERE name = 'final_answer') AS answer, string_agg(name, ',' ORDER BY event_id) AS calls, any_value(user_id) AS u FROM r GROUP BY 1) SELECT row_id AS id, answer, calls, coalesce(CASE WHEN u % 2 = 0 THEN contains(answer, CAST(u % 10 AS VARCHAR)) ELSE answer = CAST(u % 10 AS VARCHAR) END, FALSE) AS correct FROM a")
+def score_legacy(spark, sf_dir):
+    answer, gold = scoring.legacy_answer(C("messages")), (C("id").cast("long") % 10).cast("string")
+    kind = F.when(C("id").cast("long") % 2 == 0, "float").otherwise("str")
+    calls = F.array_join(F.transform(scoring.legacy_calls(C("messages"), clean=True), lambda c: c["name"]), ",")
+    return _runs(spark, sf_dir).select("id", answer.alias("answer"), calls.alias("calls"), scoring.legacy_correct(answer, gold, kind).alias("correct"))
+
+
 def _scored(spark, sf_dir) -> DataFrame:
     e = star.table(spark, sf_dir, "events")
     per = e.groupBy(C("user_id").alias("id")).agg(F.count_if(C("event_type") == "error").alias("errors"), F.count_if(C("event_type") == "purchase").alias("bought"), F.count("*").alias("n"))
@@ -374,14 +477,14 @@ def score_crosstab(spark, sf_dir):
 
 @query("score_value_counts", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type")
 def score_value_counts(spark, sf_dir):
-    return star.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+    return rows.value_counts(star.table(spark, sf_dir, "events"), "event_type")
 
 
 @query(
     "agent_stop_rules",
     """WITH c AS (SELECT user_id AS conv, event_id AS pos, event_type || CAST(CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) % 7 AS VARCHAR) AS key, CASE WHEN event_type = 'purchase' AND event_id % 40 = 0 THEN 'final_answer' ELSE event_type END AS name FROM events),
 s AS (SELECT *, count(*) OVER (PARTITION BY conv ORDER BY pos ROWS UNBOUNDED PRECEDING) AS total, count(*) OVER (PARTITION BY conv, key ORDER BY pos ROWS UNBOUNDED PRECEDING) AS alike FROM c),
-r AS (SELECT conv, pos, CASE WHEN name = 'final_answer' THEN 'final_answer' WHEN alike >= 6 THEN 'repeated' WHEN total >= 60 THEN 'budget' END AS rule FROM s)
+r AS (SELECT conv, pos, CASE WHEN total >= 60 THEN 'budget' WHEN name = 'final_answer' THEN 'final_answer' WHEN alike >= 6 THEN 'repeated' END AS rule FROM s)
 SELECT conv, min(pos) AS stopped_at, arg_min(rule, pos) AS rule FROM r WHERE rule IS NOT NULL GROUP BY 1""",
 )
 def agent_stop_rules(spark, sf_dir):
@@ -500,19 +603,41 @@ def _trace(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 def _edge_set(kind: str, spark, sf_dir) -> DataFrame:
     calls, questions, slots = _trace(spark, sf_dir)
     args, made = provenance.arguments(calls), provenance.producers(calls)
-    return {"producer": lambda: provenance.producer_edges(args, made), "origin": lambda: provenance.origin_edges(args, slots), "error": lambda: provenance._sinks(calls), "fuzzy": lambda: provenance.fuzzy_edges(args, made), "result": lambda: provenance.result_edges(made)}[kind]()
+    return {"producer": lambda: provenance.producer_edges(args, made), "origin": lambda: provenance.origin_edges(args, slots), "error": lambda: provenance._sinks(calls), "result": lambda: provenance.result_edges(made)}[kind]()
 
 
 for _n, _s in [("producer", "pe"), ("origin", "oe"), ("error", "se")]:
     query(f"graph_{_n}_edges", f"{O.TRACE} SELECT graph_id, src, dst, label FROM {_s}")(partial(_edge_set, _n))
-query("graph_fuzzy_edges", f"{O.TRACE} SELECT DISTINCT a.graph_id, m.src, a.call_id AS dst, 'x≈' || a.value AS label FROM a JOIN m ON a.graph_id = m.graph_id AND m.src <> a.call_id AND abs(CAST(a.value AS DOUBLE) - CAST(m.value AS DOUBLE)) > 0 AND abs(CAST(a.value AS DOUBLE) - CAST(m.value AS DOUBLE)) < 1e-8")(partial(_edge_set, "fuzzy"))
+_NEAR = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS graph_id, CAST(event_id AS VARCHAR) AS call_id, event_id % 50 AS k, event_type FROM events),
+a AS (SELECT graph_id, call_id, CAST(k AS VARCHAR) || '.500000004' AS value FROM e), m AS (SELECT graph_id, call_id AS src, CAST(k AS VARCHAR) || '.5' AS value FROM e WHERE event_type <> 'error')"""
+
+
+@query("graph_fuzzy_edges", f"{_NEAR} SELECT DISTINCT a.graph_id, m.src, a.call_id AS dst, 'x≈' || a.value AS label FROM a JOIN m ON a.graph_id = m.graph_id AND m.src <> a.call_id AND abs(CAST(a.value AS DOUBLE) - CAST(m.value AS DOUBLE)) > 0 AND abs(CAST(a.value AS DOUBLE) - CAST(m.value AS DOUBLE)) < 1e-8")
+def graph_fuzzy_edges(spark, sf_dir):
+    e = star.table(spark, sf_dir, "events").select(C("user_id").cast("string").alias("graph_id"), C("event_id").cast("string").alias("call_id"), (C("event_id") % 50).cast("string").alias("k"), "event_type")
+    args = e.select("graph_id", "call_id", F.lit("x").alias("arg"), F.concat("k", F.lit(".500000004")).alias("value"))
+    made = e.where("event_type <> 'error'").select("graph_id", C("call_id").alias("src"), F.concat("k", F.lit(".5")).alias("value"))
+    return provenance.fuzzy_edges(args, made)
+
+
 query("graph_result_edges", f"{O.TRACE} SELECT DISTINCT x.graph_id, x.src, y.src AS dst, 'result≈result' AS label FROM m x JOIN m y ON x.graph_id = y.graph_id AND x.src <> y.src AND CAST(x.value AS DOUBLE) <> 0 AND CAST(y.value AS DOUBLE) <> 0 AND abs(CAST(x.value AS DOUBLE) - CAST(y.value AS DOUBLE)) > 0 AND abs(CAST(x.value AS DOUBLE) - CAST(y.value AS DOUBLE)) < 1e-4 * greatest(abs(CAST(x.value AS DOUBLE)), abs(CAST(y.value AS DOUBLE)))")(partial(_edge_set, "result"))
 
 
-@query("graph_nodes", f"{O.TRACE} SELECT graph_id, call_id AS node_id, name AS label, 'call' AS type, CAST(call_order AS BIGINT) AS call_order FROM t UNION ALL SELECT DISTINCT graph_id, '__question__', 'user ' || graph_id, 'question', 0 FROM t UNION ALL SELECT DISTINCT graph_id, '__error__', '__error__', 'sink', CAST(NULL AS BIGINT) FROM t WHERE name = 'error'")
+@query("graph_nodes", f"{O.TRACE}, b AS (SELECT *, CAST(graph_id AS BIGINT) % 100 AS slot FROM t) SELECT graph_id, call_id AS node_id, name AS label, 'call' AS type, CAST(call_order AS BIGINT) AS call_order, result, '{{\"x\":\"' || CAST(k AS VARCHAR) || '\"}}' AS args FROM t UNION ALL SELECT DISTINCT graph_id, '__question__', 'user ' || graph_id, 'question', 0, CAST(NULL AS VARCHAR), '{{\"slot_x\":\"' || CAST(slot AS VARCHAR) || '\"}}' FROM b UNION ALL SELECT DISTINCT graph_id, '__error__', '__error__', 'sink', CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM t WHERE name = 'error'")
 def graph_nodes(spark, sf_dir):
-    calls, questions, _ = _trace(spark, sf_dir)
-    return provenance.nodes(calls, questions)
+    return provenance.nodes(*_trace(spark, sf_dir)).withColumn("args", F.to_json("args"))
+
+
+@query("graph_search_edges", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS graph_id, CAST(event_id AS VARCHAR) AS call_id, event_type, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) % 20 AS k FROM events)
+SELECT DISTINCT u.graph_id, s.call_id AS src, u.call_id AS dst, CASE u.event_type WHEN 'view' THEN 'indicator_name=NAME ' ELSE 'indicator_code=C' END || CAST(u.k AS VARCHAR) AS label FROM e s JOIN e u ON s.graph_id = u.graph_id AND s.k = u.k AND s.event_type = 'click' AND u.event_type IN ('view', 'signup')""")
+def graph_search_edges(spark, sf_dir):
+    e = star.table(spark, sf_dir, "events").withColumn("k", (F.regexp_extract("props", r"(\d+)", 1).cast("long") % 20).cast("string"))
+    kind = C("event_type")
+    name = F.when(kind == "click", "search_for_indicator_names").when(kind == "view", "get_indicator_code_from_name").when(kind == "signup", "retrieve_value").otherwise("add")
+    given = F.when(kind == "view", F.create_map(F.lit("indicator_name"), F.concat(F.lit("NAME "), "k"))).when(kind == "signup", F.create_map(F.lit("indicator_code"), F.concat(F.lit("C"), "k"))).otherwise(F.create_map(F.lit("keywords"), F.lit("any")))
+    found = F.concat(F.lit('[{"indicator_name": "Name '), "k", F.lit('", "indicator_code": "C'), "k", F.lit('"}]'))
+    calls = e.select(C("user_id").cast("string").alias("graph_id"), C("event_id").cast("string").alias("call_id"), C("event_id").alias("call_order"), name.alias("name"), given.alias("arguments"), found.alias("result"))
+    return provenance.search_edges(calls, provenance.arguments(calls))
 
 
 @query("graph_keyword_edges", "SELECT CAST(user_id AS VARCHAR) AS graph_id, '__question__' AS src, CAST(event_id AS VARCHAR) AS dst, 'keywords' AS label FROM events WHERE event_type = 'view' AND user_id % 100 = CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) % 100")
@@ -526,6 +651,28 @@ def graph_keyword_edges(spark, sf_dir):
 _KNOWN = "known AS (SELECT graph_id, dst FROM pe UNION SELECT graph_id, dst FROM oe)"
 
 
+#: All edges: a pair's last layer wins (question, producer, sink, results).
+_ALL_EDGES = "y AS (SELECT DISTINCT x.graph_id, x.src, y.src AS dst, 'result≈result' AS label FROM m x JOIN m y ON x.graph_id = y.graph_id AND x.src <> y.src AND CAST(x.value AS DOUBLE) <> 0 AND CAST(y.value AS DOUBLE) <> 0 AND abs(CAST(x.value AS DOUBLE) - CAST(y.value AS DOUBLE)) > 0 AND abs(CAST(x.value AS DOUBLE) - CAST(y.value AS DOUBLE)) < 1e-4 * greatest(abs(CAST(x.value AS DOUBLE)), abs(CAST(y.value AS DOUBLE)))), every AS (SELECT graph_id, src, dst, arg_max(label, k) AS label FROM (SELECT 0 AS k, * FROM oe UNION ALL SELECT 1, * FROM pe UNION ALL SELECT 2, * FROM se UNION ALL SELECT 3, * FROM y) GROUP BY 1, 2, 3)"
+
+
+@query("graph_edges", f"{O.TRACE}, {_ALL_EDGES} SELECT graph_id, src, dst, label FROM every")
+def graph_edges(spark, sf_dir):
+    return provenance.edges(*_trace(spark, sf_dir))
+
+
+@query("graph_argument_sources", f"{O.TRACE}, {_ALL_EDGES} SELECT a.graph_id, a.call_id, a.name, 'x' AS arg, max(e.src) AS source FROM a LEFT JOIN every e ON e.graph_id = a.graph_id AND e.dst = a.call_id AND e.label LIKE 'x=%' GROUP BY 1, 2, 3, 4")
+def graph_argument_sources(spark, sf_dir):
+    calls, questions, slots = _trace(spark, sf_dir)
+    return provenance.argument_sources(provenance.arguments(calls), provenance.edges(calls, questions, slots))
+
+
+@query("graph_missing_arguments", "SELECT CAST(user_id AS VARCHAR) AS graph_id, CAST(event_id AS VARCHAR) AS call_id, CASE event_type WHEN 'view' THEN 'divide' ELSE 'rank' END AS name, arg FROM events, (SELECT unnest(['value_a', 'value_b', 'values', 'query_value']) AS arg) WHERE (event_type = 'view' AND (arg = 'value_b' OR (arg = 'value_a' AND event_id % 2 = 1))) OR (event_type = 'click' AND (arg = 'values' OR arg = 'query_value'))")
+def graph_missing_arguments(spark, sf_dir):
+    given = F.when((C("event_type") == "view") & (C("event_id") % 2 == 0), F.create_map(F.lit("value_a"), F.lit("1"))).otherwise(F.create_map(F.lit("other"), F.lit("1")))
+    calls = star.table(spark, sf_dir, "events").where("event_type IN ('view', 'click')").select(C("user_id").cast("string").alias("graph_id"), C("event_id").cast("string").alias("call_id"), F.when(C("event_type") == "view", "divide").otherwise("rank").alias("name"), given.alias("arguments"))
+    return provenance.missing_arguments(calls, provenance.required_arguments(catalogue(spark)))
+
+
 @query("graph_unprovenanced_args", f"{O.TRACE}, {_KNOWN} SELECT a.graph_id, a.call_id, a.name, 'x' AS arg FROM a LEFT JOIN known k ON k.graph_id = a.graph_id AND k.dst = a.call_id WHERE k.dst IS NULL")
 def graph_unprovenanced_args(spark, sf_dir):
     calls, _, slots = _trace(spark, sf_dir)
@@ -549,17 +696,30 @@ def graph_unreachable_nodes(spark, sf_dir):
 
 @query("graph_components", f"{O.TRACE.replace('WITH t AS', 'WITH RECURSIVE t AS')}, {_EARLIER}, b AS (SELECT graph_id, src AS x, dst AS y FROM ee UNION SELECT graph_id, dst, src FROM ee), reach AS (SELECT graph_id, call_id AS x, call_id AS y FROM t UNION SELECT r.graph_id, r.x, b.y FROM reach r JOIN b ON b.graph_id = r.graph_id AND b.x = r.y) SELECT graph_id, x AS node_id, min(y) AS component FROM reach GROUP BY 1, 2")
 def graph_components(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
     node, edge = _causal(spark, sf_dir)
-    return provenance.components(node, edge.cache())
+    return provenance.components(node, edge)
+
 
+@query("graph_levels", f"{O.TRACE.replace('WITH t AS', 'WITH RECURSIVE t AS')}, {_EARLIER}, w AS (SELECT graph_id, call_id AS node_id, 0 AS d FROM t WHERE (graph_id, call_id) NOT IN (SELECT (graph_id, dst) FROM ee) UNION SELECT e.graph_id, e.dst, w.d + 1 FROM w JOIN ee e ON e.graph_id = w.graph_id AND e.src = w.node_id) SELECT graph_id, node_id, CAST(min(d) AS INTEGER) AS level FROM w GROUP BY 1, 2")
+def graph_levels(spark, sf_dir):
+    return provenance.levels(*_causal(spark, sf_dir))
 
-@query("graph_report")
+
+@query("graph_report", f"""{O.TRACE}, {_ALL_EDGES},
+n AS (SELECT graph_id, call_id AS node_id, name AS label, call_order FROM t UNION ALL SELECT DISTINCT graph_id, '__question__', 'user ' || graph_id, 0 FROM t UNION ALL SELECT DISTINCT graph_id, '__error__', '__error__', NULL FROM t WHERE name = 'error'),
+i AS (SELECT a.graph_id, a.call_id, a.name FROM a LEFT JOIN every e ON e.graph_id = a.graph_id AND e.dst = a.call_id AND e.label LIKE 'x=%' WHERE e.src IS NULL)
+SELECT graph_id, (SELECT string_agg(coalesce(CAST(call_order AS VARCHAR), '-') || ' ' || node_id || ' ' || label, ';' ORDER BY call_order NULLS FIRST, node_id) FROM n WHERE n.graph_id = g.graph_id) AS nodes,
+  (SELECT string_agg(src || '>' || dst || ' ' || label, ';' ORDER BY src, dst) FROM every WHERE every.graph_id = g.graph_id) AS edges,
+  (SELECT string_agg(call_id || ' ' || name || ' x', ';' ORDER BY call_id) FROM i WHERE i.graph_id = g.graph_id) AS issues FROM (SELECT DISTINCT graph_id FROM t) g""")
 def graph_report(spark, sf_dir):
-    """Nodes, edges and issues of every trace, one row each."""
+    """Nodes, edges and issues of every trace, one row each, as text."""
     calls, questions, slots = _trace(spark, sf_dir)
-    edge = provenance.edges(calls, questions, slots).cache()
-    return provenance.report(provenance.nodes(calls, questions), edge, provenance.arguments(calls))
+    made = provenance.report(provenance.nodes(calls, questions), provenance.edges(calls, questions, slots), provenance.arguments(calls))
+    lines = lambda c, f: F.array_join(F.transform(c, f), ";").alias(c)
+    return made.select(
+        "graph_id", lines("nodes", lambda x: F.concat_ws(" ", F.coalesce(x["call_order"].cast("string"), F.lit("-")), x["node_id"], x["label"])),
+        lines("edges", lambda x: F.concat(x["src"], F.lit(">"), x["dst"], F.lit(" "), x["label"])), lines("issues", lambda x: F.concat_ws(" ", x["call_id"], x["name"], x["arg"])),
+    )
 
 
 @query("dense_cells", f"{O.CUBE} SELECT property AS indicator_code, code AS country_code, region, year, value FROM cells")
@@ -604,9 +764,101 @@ def rows_jaccard(spark, sf_dir):
     return p.select("p_partkey", rows.jaccard(F.split("p_name", " "), F.split(F.lower("p_type"), " ")).alias("similarity"))
 
 
-@query("registry_catalogue")
-def registry_catalogue(spark, sf_dir):
-    """The tool catalogue with its schemas."""
-    from ..functions.registry import catalogue
+@query("rows_sample", "SELECT p_partkey, p_name FROM part ORDER BY sha256(concat_ws('|', CAST(p_partkey AS VARCHAR), '7')) LIMIT 25")
+def rows_sample(spark, sf_dir):
+    """25 rows drawn by a digest (a sampling operator)."""
+    return rows.sample(star.table(spark, sf_dir, "part").select("p_partkey", "p_name"), 25, "p_partkey", 7)
+
+
+@query("rows_clean", "SELECT s_nationkey, s_suppkey, s_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier WHERE s_acctbal > 0) WHERE k = 1")
+def rows_clean(spark, sf_dir):
+    s = star.table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.when(C("s_acctbal") > 0, C("s_acctbal")).alias("s_acctbal"))
+    return rows.clean(s, ["s_acctbal"], ["s_nationkey"], ["s_nationkey", "s_suppkey"])
+
 
-    return catalogue(spark)
+@query("rows_first", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 40")
+def rows_first(spark, sf_dir):
+    """The batch limit: the first 40 rows in a given order (a limit by definition)."""
+    return rows.first_rows(star.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), 40, F.desc("c_acctbal"), "c_custkey")
+
+
+@query("rows_timing_summary", """WITH t AS (SELECT event_type AS template, round(sum(value), 3) AS total_time, round(avg(value), 5) AS time_per_attempt, CAST(2 AS BIGINT) - CASE WHEN count(*) FILTER (WHERE value > 30) = 0 THEN 1 ELSE 0 END AS filled FROM events GROUP BY 1)
+SELECT template, total_time, time_per_attempt, filled FROM t UNION ALL SELECT 'Total', round(sum(total_time), 2), round(avg(time_per_attempt), 4), CAST(sum(filled) AS BIGINT) FROM t""")
+def rows_timing_summary(spark, sf_dir):
+    e = star.table(spark, sf_dir, "events").groupBy(C("event_type").alias("template"))
+    some = F.nullif(F.count_if(C("value") > 30), F.lit(0))
+    t = e.agg(F.round(F.sum("value"), 3).alias("total_time"), F.round(F.avg("value"), 5).alias("time_per_attempt"), F.count("*").alias("answerable-full"), some.alias("answerable-partial"))
+    out = rows.timing_summary(t, ["answerable-full", "answerable-partial"])
+    last = C("template") == "Total"
+    return out.withColumns({"total_time": F.when(last, F.round("total_time", 2)).otherwise(C("total_time")), "time_per_attempt": F.when(last, F.round("time_per_attempt", 4)).otherwise(C("time_per_attempt"))})
+
+
+# ------------------------------------------------------------------ texts and calls
+
+
+@query("text_literals", """SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_orderkey % 5 WHEN 0 THEN CAST(l_linenumber AS VARCHAR) || '.5,null,true' WHEN 1 THEN 'a''b,x "y"' WHEN 2 THEN CAST(l_linenumber AS VARCHAR) || ',2' WHEN 3 THEN 'null,s' END AS items FROM lineitem""")
+def text_literals(spark, sf_dir):
+    """List literals as JSON and as Python writes them: None, True, tuples, both quotes, a comma before the end; and a text that is none."""
+    n, k = C("l_linenumber").cast("string"), C("l_orderkey") % 5
+    text = F.when(k == 0, F.concat(F.lit("["), n, F.lit(".5, None, True]"))).when(k == 1, F.lit("""["a'b", 'x "y"',]""")).when(k == 2, F.concat(F.lit("("), n, F.lit(", 2)"))).when(k == 3, F.lit('[null, "s"]')).otherwise("None")
+    shown = F.array_join(F.transform(X.list_literal(text), lambda x: F.coalesce(x, F.lit("null"))), ",")
+    return star.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", shown.alias("items"))
+
+
+@query("text_docstrings", "SELECT p_partkey, p_name AS says, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS more FROM part")
+def text_docstrings(spark, sf_dir):
+    doc = F.concat(F.lit("Do it.\n\nArgs:\n    first: "), "p_name", F.lit("\n"), F.when(C("p_partkey") % 2 == 0, F.concat(F.lit("    other: "), "p_type", F.lit("\n"))).otherwise(""), F.lit("\nReturns:\n    out: a thing\n"))
+    args = X.docstring_arguments(doc)
+    return star.table(spark, sf_dir, "part").select("p_partkey", F.try_element_at(args, F.lit("first")).alias("says"), F.try_element_at(args, F.lit("other")).alias("more"))
+
+
+@query("text_labels", "SELECT p_partkey, 'arg' AS arg, p_name || '=' || p_type AS value, p_type AS attribute FROM part")
+def text_labels(spark, sf_dir):
+    part = X.split_label(F.concat(F.lit("arg="), "p_name", F.lit("="), "p_type"))
+    own = X.without_prefix(F.create_map(F.lit("arg_k"), C("p_type"), F.lit("label"), C("p_name")), "arg_")
+    return star.table(spark, sf_dir, "part").select("p_partkey", part["arg"].alias("arg"), part["value"].alias("value"), F.element_at(own, "k").alias("attribute"))
+
+
+def _act(errors: str, spark, sf_dir) -> DataFrame:
+    """Each order's calls to eight tools in turn, executed by name."""
+    o, k = star.table(spark, sf_dir, "orders"), C("o_orderkey") % 9
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    one = lambda a, x: F.create_map(F.lit(a), x)
+    key = C("o_custkey") % 30
+    name = F.get(F.array(*map(F.lit, ["count", "rank", "greater_than", "get_country_code_from_name", "get_country_codes_in_region", "get_indicator_name_from_code", "retrieve_value", "final_answer", "no_such_tool"])), k.cast("int"))
+    arguments = (
+        F.when(k == 0, one("values", text("[", key, ", None, 'x']"))).when(k == 1, F.create_map(F.lit("values"), text("[", key, ", 3, 40]"), F.lit("query_value"), F.lit("3")))
+        .when(k == 2, F.create_map(F.lit("value_a"), key.cast("string"), F.lit("value_b"), F.when(key > 3, "7"))).when(k == 3, one("country_name", text("NATION_", key))).when(k == 4, one("region", F.when(key > 9, "ASIA").otherwise("ATLANTIS")))
+        .when(k == 5, one("indicator_code", text(C("o_custkey") * 2))).when(k == 6, F.create_map(F.lit("country_code"), key.cast("string"), F.lit("indicator_code"), F.lit("1-URGENT|BUILDING"), F.lit("year"), F.year("o_orderdate").cast("string")))
+        .when(k == 7, one("answer", text(key))).otherwise(one("x", F.lit("1")))
+    )
+    calls = o.select(C("o_orderkey").alias("call_id"), name.alias("name"), arguments.alias("arguments"))
+    return dispatch.execute(calls, _cube(spark, sf_dir), _indicators(spark, sf_dir), errors).select("call_id", "name", "result", "status")
+
+
+_ACT = f"""WITH {O.OBS}, c AS (SELECT o_orderkey AS call_id, o_orderkey % 9 AS k, o_custkey % 30 AS v, o_custkey * 2 AS part, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders),
+x AS (SELECT call_id, k, ['count', 'rank', 'greater_than', 'get_country_code_from_name', 'get_country_codes_in_region', 'get_indicator_name_from_code', 'retrieve_value', 'final_answer', 'no_such_tool'][k + 1] AS name,
+  CASE k WHEN 0 THEN '2' WHEN 1 THEN CASE WHEN v > 3 THEN '3' ELSE '2' END WHEN 2 THEN CASE WHEN v > 7 THEN 'true' WHEN v > 3 THEN 'false' END WHEN 3 THEN CASE WHEN v < 25 THEN CAST(v AS VARCHAR) END
+    WHEN 4 THEN CASE WHEN v > 9 THEN (SELECT '["' || string_agg(CAST(n_nationkey AS VARCHAR), '","' ORDER BY n_nationkey) || '"]' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') END
+    WHEN 5 THEN (SELECT p_name FROM part WHERE p_partkey = c.part) WHEN 6 THEN (SELECT CAST(value AS VARCHAR) FROM obs WHERE property = '1-URGENT|BUILDING' AND code = CAST(c.v AS VARCHAR) AND year = c.y) WHEN 7 THEN CAST(v AS VARCHAR) END AS result,
+  CASE k WHEN 2 THEN 'not_computed' WHEN 3 THEN 'invalid_country_name' WHEN 4 THEN 'invalid_region' WHEN 5 THEN 'invalid_indicator' WHEN 6 THEN CASE WHEN v >= 25 THEN 'invalid_country' ELSE 'no_data' END WHEN 8 THEN 'unknown_tool' END AS failed FROM c)"""
+_SAID = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lookup.MESSAGES.items())
+query("act_execute", f"{_ACT} SELECT call_id, name, result, CASE WHEN result IS NULL THEN failed ELSE 'ok' END AS status FROM x")(partial(_act, "ignore"))
+query("act_execute_raise", f"{_ACT} SELECT call_id, name, coalesce(result, CASE failed {_SAID} END) AS result, CASE WHEN result IS NULL THEN failed ELSE 'ok' END AS status FROM x")(partial(_act, "raise"))
+
+
+@query("few_shot_examples")
+def few_shot_examples(spark, sf_dir):
+    """Three executed calls of every tool as text, arguments drawn by hash (a sampling operator)."""
+    from .fewshot import examples
+
+    return examples(_cube(spark, sf_dir), _indicators(spark, sf_dir))
+
+
+@query("registry_catalogue", "SELECT * FROM (VALUES " + ", ".join(f"('{t.name}', '{t.toolbox}', '{','.join(a for a, _, _ in t.arguments)}')" for t in TOOLS) + ") t(name, toolbox, arguments)")
+def registry_catalogue(spark, sf_dir):
+    """The tool catalogue: names, toolboxes and required arguments as read back from the exported schemas."""
+    listed = catalogue(spark)
+    required = provenance.required_arguments(listed).groupBy("name").agg(F.collect_set("arg").alias("r"))
+    given = F.array_join(F.filter("arguments", lambda a: F.array_contains("r", a)), ",")
+    return listed.join(required, "name").select("name", "toolbox", given.alias("arguments"))

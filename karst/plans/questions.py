@@ -53,14 +53,19 @@ def combinations(cube: Cube, name: str, years: DataFrame | None = None, where: C
     """Every valid combination of the template's slots, with a question_id that is a digest of them."""
     template = TEMPLATES[name]
     parts = [domain(cube, s, years, operators_of(name)) for s in template.slots]
-    every = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
+    every = reduce(DataFrame.crossJoin, parts)
     every = every.where(template.valid())
     every = every.where(where) if where is not None else every
     return every.select(F.sha2(F.concat_ws("|", F.lit(name), *(F.col(s).cast("string") for s in template.slots)), 256).alias("question_id"), *template.slots)
 
 
+def _draw(key: str, salt: str) -> Column:
+    """A whole number below 16**15 from a digest, the same on every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", key, F.lit(salt))), 1, 15), 16, 10).cast("long")
+
+
 def render(questions: DataFrame, name: str, geo: DataFrame, paraphrases: DataFrame, seed: int = 0, wording: int | None = None) -> DataFrame:
-    """Adds slot_values and question: wording and paraphrase are chosen by a hash of (question_id, seed), or are number ``wording`` of each.
+    """Adds slot_values and question: wording and paraphrase are chosen by a digest of (question_id, seed), or are number ``wording`` of each.
 
     ``paraphrases(id, name, paraphrase)``: the property is named by a paraphrase, property_original is its name; countries go by name.
     """
@@ -68,9 +73,9 @@ def render(questions: DataFrame, name: str, geo: DataFrame, paraphrases: DataFra
     slots = list(template.slots)
     out = questions
     for s in [s for s in slots if s.startswith("subject")]:
-        out = out.join(F.broadcast(geo.select(F.col("country_code").alias(s), F.col("country_name").alias(f"{s}_name"))), s, "left")
-    out = out.join(F.broadcast(paraphrases.select(F.col("id").alias("property"), F.col("name").alias("property_original"), "paraphrase")), "property", "left")
-    place = lambda salt: F.lit(wording) if wording is not None else F.xxhash64("question_id", F.lit(f"{salt}{seed}"))
+        out = out.join(geo.select(F.col("country_code").alias(s), F.col("country_name").alias(f"{s}_name")), s, "left")
+    out = out.join(paraphrases.select(F.col("id").alias("property"), F.col("name").alias("property_original"), "paraphrase"), "property", "left")
+    place = lambda salt: F.lit(wording) if wording is not None else _draw("question_id", f"{salt}{seed}")
     chosen = lambda options, salt: F.get(options, F.pmod(place(salt), F.size(options)).cast("int"))
     text = chosen(F.array(*map(F.lit, template.wording)), "w")
     shown = {s: F.col(f"{s}_name") if s.startswith("subject") else F.col(s).cast("string") for s in slots} | {"property": chosen(F.col("paraphrase"), "p")}
@@ -98,7 +103,7 @@ def answer_text(name: str) -> Column:
 
 
 def examples(cube: Cube, names: list[str], quota: int, years: DataFrame | None = None, seed: int = 0, where: Column | None = None) -> DataFrame:
-    """Up to ``quota`` examples for each template and split, drawn by a hash of (question_id, seed) (a sampling operator).
+    """Up to ``quota`` examples for each template and split, drawn by a digest of (question_id, seed) (a sampling operator).
 
     Quotas are filled by a ranked window, whose limit Spark pushes below the shuffle.
     """
@@ -111,5 +116,5 @@ def examples(cube: Cube, names: list[str], quota: int, years: DataFrame | None =
     spark = cube.geo.sparkSession
     skipped = spark.createDataFrame(SKIPPED, "question_template string, split string")
     every = every.join(F.broadcast(skipped), ["question_template", "split"], "left_anti").dropDuplicates(["question_id"])
-    order = Window.partitionBy("question_template", "split").orderBy(F.xxhash64("question_id", F.lit(seed)), "question_id")
+    order = Window.partitionBy("question_template", "split").orderBy(F.sha2(F.concat_ws("|", "question_id", F.lit(seed)), 256), "question_id")
     return every.withColumn("k", F.row_number().over(order)).where(F.col("k") <= quota).drop("k")

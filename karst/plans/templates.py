@@ -345,7 +345,7 @@ TEMPLATES = {
     ]
 }
 
-#: Splits that a template does not fill, by its real name.
+# Splits that a template does not fill, by its real name.
 _NO_UNANSWERABLE_PARTIAL = ["AverageChange", "AverageProperty", "TotalProperty", "RegionPropertyRatio", "RegionComparisonResult", "RegionPropertyChange", "TopNTotal", "SubjectPropertyRank", "AveragePropertyComparison", "RegionAverageComparison", "RegionRangeComparison", "CountryThresholdCount"]
 _NO_ANSWERABLE_PARTIAL = ["SubjectPropertyChange", "CountryPropertyComparison", "RankChange"]
 _NEITHER = ["PropertyOfSubject", "PropertyRatioComparison", "RegionComparison", "RegionProportion", "RegionProportionChange"]
@@ -359,15 +359,19 @@ def bind(questions: DataFrame, cube: Cube, template: Template) -> DataFrame:
     return with_vectors(with_series(questions, cube, list(template.subjects)), cube, list(template.regions))
 
 
+RESULT = ["answer", "answerable", "data_availability"]
+
+
+def solved(bound: DataFrame, template: Template) -> DataFrame:
+    """Bound questions with the columns of ``RESULT``."""
+    value, able, state = template.solve()
+    return bound.withColumns(dict(zip(RESULT, (value, F.coalesce(able, F.lit(False)), F.coalesce(state, F.lit("missing"))), strict=True)))
+
+
 def answer(questions: DataFrame, cube: Cube, name: str) -> DataFrame:
     """``questions`` with answer, answerable and data_availability.
 
     Years are ints; a question whose slots name no known country, region, indicator or year is answered as one without data.
     """
     template = TEMPLATES[name]
-    slots = questions.columns
-    bound = bind(questions, cube, template)
-    value, able, state = template.solve()
-    able = F.coalesce(able, F.lit(False))
-    out = bound.select(*slots, value.alias("answer"), able.alias("answerable"), F.coalesce(state, F.lit("missing")).alias("data_availability"))
-    return out
+    return solved(bind(questions, cube, template), template).select(*questions.columns, *RESULT)

@@ -15,12 +15,14 @@ def get_session(name: str = "karst", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, else one of this machine (local runs)."""
+    """The folder for checkpoints: the one the cluster names; only a local session may do without, and gets one of this machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named and not context.getCheckpointDir():
         context.setCheckpointDir(named)
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="karst-"))

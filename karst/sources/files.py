@@ -13,7 +13,7 @@ def geo_csv(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("country_name string, country_code string, region string").option("header", True).csv(path)
     codes = F.sort_array(F.collect_set("country_code"))
     order = rows.agg(codes.alias("codes"))
-    return rows.crossJoin(F.broadcast(order)).select("country_code", "country_name", "region", (F.array_position("codes", F.col("country_code")) - 1).cast("int").alias("pos"))
+    return rows.crossJoin(order).select("country_code", "country_name", "region", (F.array_position("codes", F.col("country_code")) - 1).cast("int").alias("pos"))
 
 
 def indicators_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -39,16 +39,36 @@ def graph_xml(spark: SparkSession, path: str, tag: str = "edge") -> DataFrame:
     return spark.read.format("xml").option("rowTag", tag).load(path)
 
 
-def wide_csv(spark: SparkSession, path: str) -> DataFrame:
+def gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of GEXF documents in folders graph_id=...: nodes(graph_id, node_id, label, attributes), edges(graph_id, src, dst, label).
+
+    ``attributes`` maps the attributes' titles to their values.
+    """
+    # the folder's name is escaped, and escaped again in the file's address
+    graph = F.url_decode(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"graph_id=([^/]+)/", 1))).alias("graph_id")
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(f"{path}/graph_id=*")
+    titles = read("attribute", "_id string, _title string").select(graph, F.col("_id").alias("k"), F.col("_title").alias("title")).distinct()
+    node = read("node", "_id string, _label string, attvalues struct<attvalue: array<struct<_for: string, _value: string>>>")
+    node = node.select(graph, F.col("_id").alias("node_id"), F.col("_label").alias("label"), F.col("attvalues.attvalue").alias("a"))
+    each = node.select("graph_id", "node_id", F.explode("a").alias("x")).select("graph_id", "node_id", F.col("x._for").alias("k"), F.col("x._value").alias("v")).join(titles, ["graph_id", "k"])
+    own = each.groupBy("graph_id", "node_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("title", "v")))).alias("attributes"))
+    edge = read("edge", "_source string, _target string, _label string").select(graph, F.col("_source").alias("src"), F.col("_target").alias("dst"), F.col("_label").alias("label"))
+    return node.drop("a").join(own, ["graph_id", "node_id"], "left"), edge
+
+
+def wide_csv(spark: SparkSession, path: str, indicators: list[str] | None = None) -> DataFrame:
     """Long observations of wide indicator files (one file an indicator, a column a year, ragged headers).
 
+    ``indicators`` names the files to read; the others are not opened.
+
     Files are read as lines, and each line meets its own file's header: reading them together as CSV would
     bind columns by the first file's header.  Cells hold no quotes.
     """
-    lines = spark.read.text(path).select("value", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "").alias("indicator_code"))
+    paths = path if indicators is None else [f"{path}/{i}.csv" for i in indicators]
+    lines = spark.read.text(paths).select("value", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "").alias("indicator_code"))
     lines = lines.withColumn("cells", F.split("value", ",", -1))
     header = lines.where("startswith(value, 'country_code')").select("indicator_code", F.col("cells").alias("years"))
-    body = lines.where("NOT startswith(value, 'country_code')").join(F.broadcast(header), "indicator_code")
+    body = lines.where("NOT startswith(value, 'country_code')").join(header, "indicator_code")
     pair = F.explode(F.arrays_zip(F.slice("years", 2, F.size("years") - 1).alias("y"), F.slice("cells", 2, F.size("cells") - 1).alias("v")))
     cell = body.select("indicator_code", F.get("cells", F.lit(0)).alias("country_code"), pair.alias("c"))
     return cell.select("indicator_code", "country_code", F.col("c.y").cast("int").alias("year"), F.nullif("c.v", F.lit("")).try_cast("double").alias("value"))

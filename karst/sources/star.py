@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    joined = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.select(F.col("n_nationkey").cast("string").alias("country_code"), F.col("n_name").alias("country_name"), F.col("r_name").alias("region"), F.col("n_nationkey").cast("int").alias("pos"))
 
 

@@ -1,15 +1,48 @@
-"""The stop rules over a stream of calls (an extension: recorded runs are batches).
-
-Totals per conversation and call are kept with a watermark, so state is dropped once a conversation is late.
-"""
+"""The stop rules over a stream of calls (an extension: recorded runs are batches)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def repeated_calls(calls: DataFrame, same: int = 10, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window, conv, key, n): calls(conv, key, ts) that a conversation repeats ``same`` times or more within a window."""
     grouped = calls.withWatermark("ts", late).groupBy(F.window("ts", window), "conv", "key").agg(F.count("*").alias("n"))
     return grouped.where(F.col("n") >= same)
+
+
+def stops(calls: DataFrame, most: int = 100, same: int = 10, late: str = "10 minutes", idle_seconds: int = 3600) -> DataFrame:
+    """(conv, stopped_at, rule): the first rule that ends each conversation of a stream calls(conv, pos, key, name, ts).
+
+    The running state of a conversation is its number of calls and those of each key, at most ``most`` of them, as the budget
+    ends it then; an ended one keeps a mark, so that it is reported once.  Within a micro-batch calls go by pos.  A state is dropped
+    ``idle_seconds`` of event time after its last call.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ended, names, counts = state.get if state.exists else (False, [], [])
+        seen = dict(zip(names, counts, strict=True))
+        rows = pd.concat(list(batches)).sort_values("pos", kind="stable")
+        total, found = sum(seen.values()), None
+        for pos, call, name in zip(rows["pos"], rows["key"], rows["name"], strict=True):
+            if ended:
+                break
+            total += 1
+            seen[call] = seen.get(call, 0) + 1
+            rule = "budget" if total >= most else "final_answer" if name == "final_answer" else "repeated" if seen[call] >= same else None
+            if rule:
+                ended, found, seen = True, (key[0], int(pos), rule), {}
+        state.update((ended, list(seen), list(seen.values())))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + idle_seconds * 1000)
+        if found:
+            yield pd.DataFrame([found], columns=["conv", "stopped_at", "rule"])
+
+    return calls.withWatermark("ts", late).groupBy("conv").applyInPandasWithState(step, "conv string, stopped_at long, rule string", "ended boolean, names array<string>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)

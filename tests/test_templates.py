@@ -182,3 +182,201 @@ def test_rendering(spark, cube):
     r = Q.render(q, "SubjectPropertyRank", cube.geo, par, wording=0).first()
     assert r.question == "What rank did Land AB have for first thing among countries in N in 2003?"
     assert r.slot_values["property_original"] == "First" and r.slot_values["subject_name"] == "Land AB"
+
+
+class Trace(list):
+    """Calls as (name, arguments, result) texts, made one by one."""
+
+    def __init__(self, q):
+        super().__init__()
+        self.q = q
+        self.name_of = {"I1": "First", "I2": "Second"}[q["property"]]
+
+    def text(self, x):
+        return None if x is None else str(x).lower() if isinstance(x, bool) else "[" + ",".join(x) + "]" if isinstance(x, tuple) else str(x)
+
+    def say(self, name, result, **arguments):
+        self.append((name, {k: self.text(v) for k, v in arguments.items()}, self.text(result)))
+        return result
+
+    def code(self, slot):
+        self.say("get_country_code_from_name", self.q[slot], country_name=f"Land {self.q[slot]}")
+
+    def prop(self):
+        self.say("search_for_indicator_names", self.name_of, keywords=self.name_of)
+        self.say("get_indicator_code_from_name", self.q["property"], indicator_name=self.name_of)
+
+    def region(self, slot="region"):
+        self.say("get_country_codes_in_region", tuple(f'"{c}"' for c in REGIONS[self.q[slot]]), region=self.q[slot])
+
+    def value(self, c, y):
+        return self.say("retrieve_value", V.get((self.q["property"], c, y)), country_code=c, indicator_code=self.q["property"], year=y)
+
+    def values(self, y, slot="region"):
+        return [self.value(c, y) for c in REGIONS[self.q[slot]]]
+
+    def over(self, tool, vs):
+        listed = known(vs)
+        out = {"mean": lambda: rnd(sum(listed) / len(listed)), "add": lambda: rnd(sum(listed)), "maximum": lambda: max(listed), "minimum": lambda: min(listed), "sort": lambda: tuple(map(str, sorted(listed)))}[tool]()
+        return self.say(tool, out, values=tuple(map(str, listed)))
+
+    def pair(self, tool, a, b):
+        out = None if a is None or b is None else rnd(a - b) if tool == "subtract" else (None if b == 0 else rnd(a / b)) if tool == "divide" else a > b
+        return self.say(tool, out, value_a=a, value_b=b)
+
+    def compare(self, a, b):
+        return self.pair("greater_than", *((a, b) if self.q["operator"] == "higher" else (b, a)))
+
+    def best(self, vs):
+        return self.over("maximum" if self.q["operator"] == "highest" else "minimum", vs)
+
+    def land(self, c):
+        return self.say("get_country_name_from_code", f"Land {c}", country_code=c)
+
+    def rank(self, vs, own):
+        return self.say("rank", sorted(known(vs), reverse=True).index(own) + 1, values=tuple(map(str, known(vs))), query_value=own)
+
+
+def trace(name, q):
+    t = Trace(q)
+    members = REGIONS.get(q.get("region"))
+    if name == "PropertyOfSubject":
+        t.code("subject"), t.prop(), t.value(q["subject"], q["year"])
+    elif name == "SubjectPropertyChange":
+        t.code("subject"), t.prop()
+        a, b = (t.value(q["subject"], q[y]) for y in ("year_a", "year_b"))
+        if a is not None or b is not None:
+            d = t.pair("subtract", b, a)
+            t.say("final_answer", d, answer=d)
+    elif name == "AverageChange":
+        t.code("subject"), t.prop()
+        vs = [t.value(q["subject"], y) for y in range(q["year_a"], q["year_b"] + 1)]
+        steps = [(b, a) for a, b in zip(vs, vs[1:]) if a is not None and b is not None]
+        if steps:
+            t.over("mean", [t.pair("subtract", b, a) for b, a in steps])
+    elif name == "CountryPropertyComparison":
+        t.code("subject_a"), t.code("subject_b"), t.prop()
+        a, b = (t.value(q[f"subject_{k}"], q[f"year_{k}"]) for k in "ab")
+        if a is not None and b is not None:
+            t.compare(a, b)
+    elif name == "PropertyRatioComparison":
+        t.prop(), t.code("subject_a"), t.code("subject_b")
+        a, b = (t.value(q[f"subject_{k}"], q["year"]) for k in "ab")
+        if a is not None and b:
+            t.pair("divide", a, b)
+    elif name in ("AverageProperty", "TotalProperty", "RegionPropertyRatio", "RegionComparison", "TopNTotal"):
+        t.region(), t.prop()
+        vs = t.values(q["year"])
+        if not known(vs):
+            return t
+        if name == "AverageProperty":
+            t.over("mean", vs)
+        elif name == "TotalProperty":
+            t.over("add", vs)
+        elif name == "RegionPropertyRatio":
+            high, low = t.over("maximum", vs), t.over("minimum", vs)
+            if low:
+                t.pair("divide", high, low)
+        elif name == "RegionComparison":
+            t.land(members[vs.index(t.best(vs))])
+        else:
+            t.over("sort", vs)
+            if len(known(vs)) >= q["n"]:
+                top = sorted(known(vs))[-q["n"] :] if q["operator"] == "highest" else sorted(known(vs))[: q["n"]]
+                for c, v in zip(members, vs):
+                    if v is not None and v in top:
+                        t.land(c)
+    elif name == "RegionComparisonResult":
+        t.region(), t.prop()
+        vs = t.values(q["year_2"])
+        if known(vs):
+            t.value(members[vs.index(t.best(vs))], q["year_1"])
+    elif name == "RegionPropertyChange":
+        t.region(), t.prop()
+        changes = []
+        for c in members:
+            a, b = t.value(c, q["year_a"]), t.value(c, q["year_b"])
+            changes.append(None if a is None or b is None else t.pair("subtract", b, a))
+        if known(changes):
+            best = t.best(changes)
+            for c, v in zip(members, changes):
+                if v == best:
+                    t.land(c)
+    elif name == "SubjectPropertyRank":
+        t.code("subject"), t.prop(), t.region()
+        vs, own = t.values(q["year"]), V.get((q["property"], q["subject"], q["year"]))
+        if own is not None:
+            r = t.rank(vs, own)
+            t.say("final_answer", r, answer=r)
+    elif name == "RankChange":
+        t.prop(), t.region()
+        va, vb = t.values(q["year_a"]), t.values(q["year_b"])
+        a, b = (V.get((q["property"], q["subject"], q[y])) for y in ("year_a", "year_b"))
+        if a is not None and b is not None:
+            x, y = t.rank(va, a), t.rank(vb, b)
+            t.say("subtract", float(y - x), value_a=y, value_b=x)
+    elif name == "RegionProportion":
+        t.prop(), t.region()
+        own = t.value(q["subject"], q["year"])
+        if own is not None:
+            t.pair("divide", own, t.over("add", t.values(q["year"])))
+    elif name == "RegionProportionChange":
+        t.prop(), t.region()
+        a = t.value(q["subject"], q["year_a"])
+        b = t.value(q["subject"], q["year_b"]) if a is not None else None
+        if b is not None:
+            va, vb = t.values(q["year_a"]), t.values(q["year_b"])
+            sa, sb = t.over("add", va), t.over("add", vb)
+            t.compare(t.pair("divide", a, sa), t.pair("divide", b, sb))
+    elif name == "AveragePropertyComparison":
+        t.code("subject"), t.prop()
+        own = t.value(q["subject"], q["year"])
+        if own is not None:
+            t.region()
+            vs = t.values(q["year"])
+            if known(vs):
+                t.compare(own, t.over("mean", vs))
+    elif name in ("RegionAverageComparison", "RegionRangeComparison"):
+        t.prop()
+        out = []
+        for slot in ("region_a", "region_b"):
+            t.region(slot)
+            vs = t.values(q["year"], slot)
+            if not known(vs):
+                return t
+            out.append(t.over("mean", vs) if name == "RegionAverageComparison" else t.pair("subtract", t.over("maximum", vs), t.over("minimum", vs)))
+        t.compare(*out)
+    else:
+        t.region(), t.code("subject"), t.prop()
+        vs = t.values(q["year"])
+        if known(vs):
+            own = t.value(q["subject"], q["year"])
+            if own is not None:
+                true = [x for x in (t.compare(v, own) for v in vs) if x]
+                t.say("count", len(true), values=("true",) * len(true))
+    return t
+
+
+@pytest.mark.parametrize("name", list(TEMPLATES))
+def test_whole_traces(spark, cube, name):
+    years = spark.createDataFrame([(y,) for y in YEARS], "year int")
+    names = spark.createDataFrame([("I1", "First"), ("I2", "Second")], "property string, property_original string")
+    rows = gold_actions(Q.combinations(cube, name, years), cube, name, names).collect()
+    checked = 0
+    for r in rows:
+        q = r.asDict()
+        if "ZZ" in q.values():
+            continue
+        checked += 1
+        got = [(a.name, {k: v for k, v in a.arguments.items()}, a.result) for a in r.actions]
+        assert got == list(trace(name, q)), (name, q)
+    assert checked
+
+
+def test_repeated_cells_are_their_mean(spark):
+    geo = spark.createDataFrame([("AA", "Land AA", "N", 0)], "country_code string, country_name string, region string, pos int")
+    twice = Cube(geo, spark.createDataFrame([("I1", "AA", 2003, 1.0), ("I1", "AA", 2003, 2.0), ("I1", "AA", 2003, None)], "indicator_code string, country_code string, year int, value double"))
+    q = spark.createDataFrame([("q", "I1", "N", 2003)], "question_id string, property string, region string, year int")
+    assert answer(q, twice, "AverageProperty").first().answer == 1.5
+    q = spark.createDataFrame([("q", "I1", "AA", 2003)], "question_id string, property string, subject string, year int")
+    assert answer(q, twice, "PropertyOfSubject").first().answer == 1.5
