@@ -1,6 +1,6 @@
 """Intermediate tables in the folder all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster.  Where it is unset (local tests) a
+``spark.checkpoint.dir`` names that folder; a cluster must have it.  Only where the master is local (tests) and it is unset a
 temporary folder of this machine is used, which is the one machine there is.
 """
 
@@ -23,6 +23,8 @@ class Work:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         root = root or spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="karst-")
             spark.sparkContext.setCheckpointDir(root)
         self.spark = spark
@@ -68,6 +70,23 @@ def send_if_small(narrow: DataFrame) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow
 
 
+#: Bits of the bitmap by which ``maybe_in`` knows ids, in words of 64.
+BITMAP_BITS = 1 << 26
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is among those of ``ids``, and a few others whose hash is; rows are neither shuffled nor sent.
+
+    What goes to the executors is a bitmap of the ids' hashes, at most BITMAP_BITS / 64 words of it (a million), whatever the number of
+    ids; with that many ids as bits, most rows pass.  A join by key, of what is made of the rows, leaves the wanted ones.
+    """
+    at = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITMAP_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    word = F.floor(at / 64).cast("long")
+    words = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.withColumn("_word", word).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under fixed names and types; further columns, whatever their names, are left out.
 
@@ -88,6 +107,7 @@ def ship(spark: SparkSession) -> SparkSession:
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        # read when a plan is executed, which is after the operator returns, so it stays set
         spark.conf.set(name, str(ARROW_ROWS))
     context = spark.sparkContext
     if getattr(context, "_karst_shipped", False):

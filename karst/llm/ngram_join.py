@@ -11,8 +11,15 @@ the overlap from above, and what is left is settled by an exact intersection of
 A tile with up to ``SMALL`` members pairs them all.  A larger one first pairs each member with the
 smallest member of its size band, which is linear.  Once the links found so have been joined into
 components, only pairs from different components of the tile matter: in a few rounds each component's best pair is
-verified, then all pairs left that the bitmaps allow.  They are compared in
-blocks of about ``BLOCK`` members, so no task holds a whole tile.
+verified, then all pairs left that the bitmaps allow.
+
+Near copies meet in as many tiles as they have shingles in common, so tiles with the same smallest member are one family, whose members
+are compared once, unless its tiles have so little in common that comparing them one by one is less work.  Members of the component
+that most of a family belongs to are not compared among themselves; the others meet them, and each other, in pairs of blocks of about
+``BLOCK`` shingles, each a group of its own, so no task holds a whole tile or family.
+
+Pairs that the bitmaps allow are verified where their part of the pairs is dealt to: each set comes there once, not once a pair.  The texts
+of these sets are found by a bitmap of their ids and are not shuffled.
 
 Shingles are told apart by 64-bit hashes.
 """
@@ -24,18 +31,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import components
-from ._work import Work, parallelism, pick, send_if_small, ship
+from ._work import Work, maybe_in, parallelism, pick, ship
 
 SMALL = 8
-BLOCK = 2048
+#: Shingles of the members of a block, and of the sets that one group verifies; a member counts as LEAST of them at least.
+BLOCK, LEAST = 1 << 19, 256
 #: Rounds in which the large tiles offer only each component's best pair, before they offer all that are left.
 BEST_ROUNDS = 2
-SKETCH_BITS = 20
+#: The sketch has a counter for every SKETCH_BYTES of input, within these powers of two.
+SKETCH_BYTES, SKETCH_BITS, MOST_SKETCH_BITS = 2048, 20, 23
+#: Shingles whose sketch counter says so many members are never gathered by token (nor any in a counter eight times the mean).
+HOT = 16_384
+#: Parts of the sketch summed together at the first of two levels.
+FAN_IN = 256
 _CHUNK = 1 << 12
 #: Shingles of one bucket of the exchange.
 BUCKET = 400_000
@@ -70,13 +84,19 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndar
 _FEATURES = "kind int, doc_id long, n long, sig long, bits binary"
 
 
-def _features(width: int):
+def _sketch_bits(docs: DataFrame) -> int:
+    """Bits of the sketch's index, from the size of the files read; it only decides how full tiles get."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, (size // SKETCH_BYTES).bit_length()))
+
+
+def _features(width: int, sketch_bits: int):
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << sketch_bits, np.uint32)
         for batch in batches:
             ids = batch.column("doc_id")
             for a, b, v, bound in _sets(batch, width):
-                sketch += np.bincount((v >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+                np.add.at(sketch, (v >> _U(64 - sketch_bits)).astype(np.int64), np.uint32(1))
                 n = np.diff(bound)
                 bits = [_bitmap(v[bound[i] : bound[i + 1]]) if n[i] else b"" for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), ids.slice(a, b - a), pa.array(n), pa.array(_set_sig(v, bound)), pa.array(bits, pa.binary())], ["kind", "doc_id", "n", "sig", "bits"])
@@ -84,22 +104,31 @@ def _features(width: int):
         parts = [(i, zlib.compress(p.tobytes(), 1)) for i, p in parts if p.any()]
         if parts:
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array([i for i, _ in parts], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([p for _, p in parts], pa.binary())], ["kind", "doc_id", "n", "sig", "bits"])
+            task = TaskContext.get()
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array([i for i, _ in parts], pa.int64()), pa.array(np.full(k, task.partitionId() if task else 0)), pa.nulls(k, pa.int64()), pa.array([p for _, p in parts], pa.binary())], ["kind", "doc_id", "n", "sig", "bits"])
 
     return run
 
 
 def _sum_sketch(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.uint32).astype(np.uint64) for x in table.column("bits"))
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+    total = np.zeros(_CHUNK, np.uint64)
+    for x in table.column("bits"):
+        raw = zlib.decompress(x.as_py())
+        total += np.frombuffer(raw, np.uint32 if len(raw) == 4 * _CHUNK else np.uint64)
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def _frequency(features: DataFrame) -> np.ndarray:
-    """log2 of each sketch counter over the mean counter, as uint8: 2**SKETCH_BITS bytes whatever the input."""
-    rows = features.where("kind = 1").select(F.col("doc_id").alias("chunk"), "bits").groupBy("chunk").applyInArrow(_sum_sketch, "chunk long, counts binary").collect()
-    counts = np.zeros(1 << SKETCH_BITS, np.float64)
+def _frequency(features: DataFrame, sketch_bits: int) -> np.ndarray:
+    """log2 of each sketch counter over the mean counter, as uint8: 2**MOST_SKETCH_BITS bytes at most, whatever the input.
+
+    The tasks' sketches are summed in two levels, so no group holds one of every task.
+    """
+    rows = features.where("kind = 1").select(F.col("doc_id").alias("chunk"), "bits", F.floor(F.col("n") / FAN_IN).alias("part"))
+    schema = "chunk long, bits binary"
+    rows = rows.groupBy("chunk", "part").applyInArrow(_sum_sketch, schema).groupBy("chunk").applyInArrow(_sum_sketch, schema).collect()
+    counts = np.zeros(1 << sketch_bits, np.float64)
     for r in rows:
-        counts[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint64)
+        counts[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(zlib.decompress(r.bits), np.uint64)
     mean = max(1.0, counts.mean())
     return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / mean)) - 1).astype(np.uint8)
 
@@ -116,17 +145,17 @@ def _pack(tok: np.ndarray, sig: np.ndarray, n: np.ndarray, buckets: int) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([int(part[i]) for i, _ in spans], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in cols)], _MEMBERS)
 
 
-def _members(width: int, percent: int, rank, buckets: int, hot: int, only_hot: bool):
+def _members(width: int, percent: int, rank, buckets: int, hot: int, only_hot: bool, sketch_bits: int):
     """The shingles that send each class to tiles, with its name and size.
 
     Those of a sketch class from ``hot`` on come as rows (``only_hot``), which Spark can deal out and sum
-    without gathering them; the others come packed by bucket.
+    without gathering them; the others come packed by bucket, and a row of bucket -1 says that there are hot ones.
     """
 
     def run(batches):
         freq = rank.value
         held: list[tuple] = []
-        size = 0
+        size, met = 0, False
         for batch in batches:
             for _, _, v, bound in _sets(batch, width):
                 n = np.diff(bound)
@@ -134,12 +163,17 @@ def _members(width: int, percent: int, rank, buckets: int, hot: int, only_hot: b
                 once = np.zeros(len(n), bool)
                 once[np.unique(sig, return_index=True)[1]] = True
                 row = np.repeat(np.arange(len(n)), n)
-                level = freq[(v >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+                level = freq[(v >> _U(64 - sketch_bits)).astype(np.int64)]
                 if level.any():
                     order = np.lexsort((v, level, row))
                     v, level = v[order], level[order]
                 place = np.arange(len(v)) - np.repeat(bound[:-1], n)
-                take = (place < np.repeat(n - (percent * n + 99) // 100 + 1, n)) & once[row] & ((level >= hot) == only_hot)
+                take = (place < np.repeat(n - (percent * n + 99) // 100 + 1, n)) & once[row]
+                much = level >= hot
+                if not (only_hot or met) and (take & much).any():
+                    met = True
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *[pa.array([b""], pa.binary())] * 3], _MEMBERS)
+                take &= much == only_hot
                 v, row = v[take], row[take]
                 if only_hot:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v.view(np.int64), sig[row], n[row])], ["tok", "sig", "n"])
@@ -156,9 +190,11 @@ def _members(width: int, percent: int, rank, buckets: int, hot: int, only_hot: b
 
 
 def _tile(percent: int):
-    """Of the members of a bucket's tiles: pairs to compare (kind 0), and members of large tiles (kind 1)."""
+    """Of the members of a bucket's tiles: pairs to compare (kind 0), and members of large tiles (kind 1); kind 2 if there are hot ones."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return pa.table({"kind": pa.array([2], pa.int32()), "a": pa.array([0], pa.int64()), "b": pa.array([0], pa.int64())})
         tok = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("tok")])
         sig = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("sig")])
         n = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table.column("n")]).astype(np.int64)
@@ -238,24 +274,26 @@ def _bounded(percent: int):
                 a, b = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c).take(pa.array(k))), np.uint8).reshape(len(k), -1) for c in ("bits_a", "bits_b"))
                 w = min(x, y)
                 keep[k] = _within(na[k], nb[k], overlap_bound(na[k], nb[k], _fold(a, w), _fold(b, w)), percent)
-            yield batch.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b", "rep_a", "rep_b", "part"]).filter(pa.array(keep))
 
     return run
 
 
 def _exact(percent: int):
-    """Keep the pairs whose sorted arrays really overlap enough."""
+    """Keep the pairs of a part whose sorted arrays really overlap enough."""
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(key: tuple[pa.Scalar, ...], pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        names = sets.column("member").to_numpy()
+        order = np.argsort(names)
+        elements = [np.frombuffer(x.as_py(), np.uint64) for x in sets.column("elements").take(pa.array(order)).combine_chunks()] if len(order) else []
+        left, right = (np.searchsorted(names[order], pairs.column(c).to_numpy()) for c in ("a", "b"))
+        keep = np.zeros(len(left), bool)
+        for i, (j, k) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+            small, large = sorted((elements[j], elements[k]), key=len)
+            at = np.searchsorted(large, small)
+            both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+            keep[i] = 100 * both >= percent * (len(small) + len(large) - both)
+        return pa.table({"a": pairs.column("x"), "b": pairs.column("y")}).filter(pa.array(keep))
 
     return run
 
@@ -269,48 +307,43 @@ def _arrays(width: int):
     return run
 
 
+def _sides(side: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows to compare: side 0 with side 1, and side 2 with itself, of different components and within the size band."""
+    left, right = [], []
+    for a, b in ((np.flatnonzero(side == 0), np.flatnonzero(side == 1)), (np.flatnonzero(side == 2),) * 2):
+        for at in np.array_split(a, 1 + len(a) * len(b) // (1 << 22)):
+            ok = (label[at][:, None] != label[b]) & (percent * n[at][:, None] <= 100 * n[b]) & (percent * n[b] <= 100 * n[at][:, None])
+            if a is b:
+                ok &= at[:, None] < b
+            i, j = np.nonzero(ok)
+            left.append(at[i])
+            right.append(b[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _blocks(percent: int, best_only: bool):
-    """Pairs of a part's block pairs that lie in different components and may link.
+    """Pairs of a part's rows that lie in different components and may link.
 
     ``best_only``: of those just each component's pair with the largest bound.
     """
 
-    def run(key: tuple[pa.Scalar, ...], tiles: pa.Table, members: pa.Table) -> pa.Table:
-        names = members.column("member").to_numpy()
-        order = np.argsort(names)
-        names = names[order]
-        n, label, rep = (members.column(c).to_numpy()[order] for c in ("n", "label", "rep"))
-        tile, block, other = (tiles.column(c).to_numpy() for c in ("tok", "block", "other"))
-        at = np.searchsorted(names, tiles.column("sig").to_numpy())
-        index = np.lexsort((at, other, tile))
-        tile, block, other, at = (x[index] for x in (tile, block, other, at))
-        cut = np.concatenate([[0], np.flatnonzero((np.diff(tile) != 0) | (np.diff(other) != 0)) + 1, [len(tile)]])
-        codes = [np.zeros(0, np.int64)]
-        seen: set[bytes] = set()
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            mine = at[s:e]
-            if (mark := mine.tobytes() + block[s:e].tobytes()) in seen:
-                continue  # the same members as another tile
-            seen.add(mark)
-            low, high, lab = n[mine] * percent, n[mine] * 100, label[mine]
-            for i in range(len(mine) - 1):
-                k = np.flatnonzero((lab[i + 1 :] != lab[i]) & (low[i + 1 :] <= high[i]) & (low[i] <= high[i + 1 :])) + i + 1
-                if other[s] >= 0:
-                    k = k[block[s:e][k] != block[s + i]]
-                codes.append(mine[i] * len(names) + mine[k])
-            if len(codes) > 4096:
-                codes = [np.unique(np.concatenate(codes))]
-        codes = np.unique(np.concatenate(codes))
-        left, right = codes // max(1, len(names)), codes % max(1, len(names))
+    def run(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
+        name, n, label, rep, side = (members.column(c).to_numpy() for c in ("sig", "n", "label", "rep", "side"))
+        left, right = _sides(side, n, label, percent)
         both = np.zeros(len(left), np.int64)
         if len(left):
-            bits = members.column("bits").take(pa.array(order)).to_pylist()
+            bits = members.column("bits").to_pylist()
             width = np.array([8 * len(x) for x in bits])
+            place, rows = np.zeros(len(bits), np.int64), {}
+            for w in np.unique(width).tolist():
+                own = np.flatnonzero(width == w)
+                place[own] = np.arange(len(own))
+                rows[w] = np.frombuffer(b"".join(bits[i] for i in own), np.uint8).reshape(len(own), -1)
             for x, y in {*zip(width[left].tolist(), width[right].tolist(), strict=True)}:
+                a, b = (_fold(rows[w], min(x, y)) for w in (x, y))
                 every = np.flatnonzero((width[left] == x) & (width[right] == y))
-                for k in np.array_split(every, 1 + len(every) * max(x, y) // (1 << 27)):
-                    a, b = (np.frombuffer(b"".join(bits[i] for i in side[k]), np.uint8).reshape(len(k), -1) for side in (left, right))
-                    both[k] = overlap_bound(n[left[k]], n[right[k]], _fold(a, min(x, y)), _fold(b, min(x, y)))
+                for k in np.array_split(every, 1 + len(every) * min(x, y) // (1 << 26)):
+                    both[k] = overlap_bound(n[left[k]], n[right[k]], a[place[left[k]]], b[place[right[k]]])
         keep = np.flatnonzero(_within(n[left], n[right], both, percent))
         left, right, both = left[keep], right[keep], both[keep]
         if best_only and len(left):
@@ -321,43 +354,85 @@ def _blocks(percent: int, best_only: bool):
             first = np.concatenate([[True], np.diff(from_[order]) != 0])
             pair = np.unique(pair[order][first])
             left, right = left[pair], right[pair]
-        return pa.table({"a": names[left], "b": names[right], "rep_a": rep[left], "rep_b": rep[right], "x": label[left], "y": label[right]})
+        turn = name[left] > name[right]  # a pair's first is the smaller, in whichever part it is met
+        left, right = np.where(turn, right, left), np.where(turn, left, right)
+        part = pa.array(np.full(len(left), key[0].as_py()))
+        return pa.table({"a": name[left], "b": name[right], "rep_a": rep[left], "rep_b": rep[right], "x": label[left], "y": label[right], "part": part})
 
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, work: Work, percent: int, width: int, name: str) -> DataFrame:
-    """(x, y) of those of ``pairs(a, b, rep_a, rep_b, x, y)`` of set names that really link."""
-    nodes = pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select(F.col("rep_b").alias("doc_id"))).distinct()
-    nodes = work.write(nodes, f"{name}-nodes", work.parts(2 * pairs.count()))
-    sets = docs.join(send_if_small(nodes), "doc_id", "left_semi").select("text").mapInArrow(_arrays(width), "sig long, elements binary")
-    sets = work.write(sets, f"{name}-sets").dropDuplicates(["sig"])
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("elements").alias("set_a")), "a")
-    both = both.join(sets.select(F.col("sig").alias("b"), F.col("elements").alias("set_b")), "b")
-    links = work.write(both.select("x", "y", "set_a", "set_b").mapInArrow(_exact(percent), "a long, b long"), name)
+def _verified(docs: DataFrame, pairs: DataFrame, work: Work, percent: int, width: int, name: str, mean: float) -> DataFrame:
+    """(x, y) of those of ``pairs(a, b, rep_a, rep_b, x, y, part)`` of set names that really link.
+
+    Pairs of one part are verified together; ``mean`` is how many shingles a set has.
+    """
+    count = pairs.count()
+    parts = max(2 * parallelism(docs.sparkSession), int(2 * count * max(mean, LEAST) / BLOCK))
+    pairs = pairs.withColumn("part", F.pmod("part", F.lit(parts)))
+    end = lambda x: pairs.select("part", F.col(x).alias("sig"), F.col(f"rep_{x}").alias("doc_id"))
+    nodes = work.write(end("a").union(end("b")).distinct(), f"{name}-nodes", work.parts(2 * count))
+    sets = maybe_in(docs, nodes, "doc_id").select("text").mapInArrow(_arrays(width), "sig long, elements binary")
+    wanted = nodes.select("part", "sig").withColumnRenamed("part", "spot")
+    sets = work.write(sets.join(nodes.select("sig").distinct(), "sig", "left_semi"), f"{name}-sets").dropDuplicates(["sig"])
+    placed = wanted.join(sets, "sig").select("spot", F.col("sig").alias("member"), "elements")
+    links = pairs.groupBy("part").cogroup(placed.groupBy("spot")).applyInArrow(_exact(percent), "a long, b long")
+    links = work.write(links, name)
     work.drop(f"{name}-sets")
     return links
 
 
-def _mixed_pairs(big: DataFrame, info: DataFrame, work: Work, percent: int, buckets: int, best_only: bool, name: str) -> DataFrame:
-    """Pairs of ``_blocks`` from the large tiles ``big(tok, sig)`` whose members are not all in one component."""
-    labelled = big.join(info.select("sig", "label"), "sig")
-    mixed = labelled.groupBy("tok").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("m"), F.min("sig").alias("low"), F.bit_xor(F.xxhash64("sig")).alias("all"), F.bit_xor(F.xxhash64(F.lit(3), "sig")).alias("all2")).where("u != v")
-    # tiles with the same members are one
-    mixed = mixed.groupBy("low", "m", "all", "all2").agg(F.min("tok").alias("tok"))
-    # powers of two, so that the tiles of one group of copies are cut alike
-    mixed = mixed.select("tok", "low", F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.col("m") / BLOCK)))).cast("int").alias("blocks"))
-    tiles = big.join(mixed, "tok").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    # one block: key -1; else each pair of blocks p < q has the key p * blocks + q, and block p by itself -2 - p
-    o = lambda o: F.when(o == F.col("block"), -2 - o).otherwise(F.least(o, F.col("block")) * F.col("blocks") + F.greatest(o, F.col("block")))
-    keys = F.when(F.col("blocks") == 1, F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), o))
-    tiles = tiles.select("tok", "sig", "low", "block", "blocks", F.explode(keys).alias("other"))
-    part = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("low"), F.lit(buckets))).otherwise(F.xxhash64("low", "blocks", "other"))
-    tiles = work.write(tiles.select(part.alias("part"), "tok", "sig", "block", "other"), f"{name}-tiles")
-    members = tiles.select("part", "sig").distinct().join(info, "sig").select(F.col("part").alias("spot"), F.col("sig").alias("member"), "n", "label", "rep", "bits")
-    found = tiles.groupBy("part").cogroup(members.groupBy("spot")).applyInArrow(_blocks(percent, best_only), "a long, b long, rep_a long, rep_b long, x long, y long")
+def _families(labelled: DataFrame) -> DataFrame:
+    """(kind, family, sig, label, n): what is compared with one another: the members of all tiles of one smallest member, or of one tile.
+
+    ``labelled(tok, sig, label, n)`` are the members of tiles of more than one component.  Comparing a family's members once takes the square of
+    their number, comparing its tiles the sum of their squares; the lesser counts.
+    """
+    tiles = labelled.groupBy("tok").agg(F.min("sig").alias("low"), F.count("*").cast("double").alias("m"))
+    members = labelled.join(tiles.select("tok", "low"), "tok")
+    union = members.groupBy("low", "sig").agg(F.min("label").alias("label"), F.min("n").alias("n"))
+    size = union.groupBy("low").agg(F.count("*").cast("double").alias("u"))
+    cost = tiles.groupBy("low").agg(F.sum(F.col("m") * F.col("m")).alias("each")).join(size, "low")
+    together = cost.where("u * u <= each").select("low")
+    once = union.join(together, "low").select(F.lit(0).alias("kind"), F.col("low").alias("family"), "sig", "label", "n")
+    alone = members.join(together, "low", "left_anti").select(F.lit(1).alias("kind"), F.col("tok").alias("family"), "sig", "label", "n")
+    return once.union(alone)
+
+
+def _parts(families: DataFrame) -> DataFrame:
+    """(part, side, sig) of the block pairs: members outside the family's largest component with all, those inside only with these."""
+    key = ["kind", "family"]
+    counts = families.groupBy(*key, "label").agg(F.sum(F.greatest("n", F.lit(LEAST))).alias("c"))
+    head = counts.groupBy(*key).agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"))  # in shingles
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    head = head.select(*key, F.col("top.label").alias("top"), blocks(F.col("m") - F.col("top.c")).alias("probes"), blocks(F.col("top.c")).alias("base"))
+    rows = families.join(head, key).withColumn("inside", F.col("label") == F.col("top"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sig"), F.when(F.col("inside"), F.col("base")).otherwise(F.col("probes"))).cast("int"))
+    spot = lambda kind, i, j, side: F.struct(F.lit(kind).alias("k"), i.alias("i"), j.alias("j"), side.alias("side"))
+    upto = lambda n, make: F.transform(F.sequence(F.lit(0), n - 1), make)
+    block = F.col("block")
+    among = upto(F.col("probes"), lambda o: spot(1, F.least(o, block), F.greatest(o, block), F.when(o == block, 2).otherwise((block > o).cast("int"))))
+    spots = F.when(F.col("inside"), upto(F.col("probes"), lambda o: spot(0, o, block, F.lit(1)))).otherwise(F.concat(among, upto(F.col("base"), lambda o: spot(0, block, o, F.lit(0)))))
+    rows = rows.select(*key, "sig", F.explode(spots).alias("s"))
+    return rows.select(F.xxhash64(*key, "s.k", "s.i", "s.j").alias("part"), F.col("s.side").alias("side"), "sig")
+
+
+def _mixed(big: DataFrame, info: DataFrame) -> DataFrame:
+    """(tok, sig, label, n): the members of those large tiles ``big(tok, sig)`` that are not all in one component."""
+    labelled = big.select("tok", "sig").join(info.select("sig", "label", "n"), "sig").select("tok", "sig", "label", "n")
+    mixed = labelled.groupBy("tok").agg(F.min("label").alias("u"), F.max("label").alias("v")).where("u != v").select("tok")
+    return labelled.join(mixed, "tok")
+
+
+def _mixed_pairs(mixed: DataFrame, info: DataFrame, work: Work, percent: int, best_only: bool, name: str) -> DataFrame:
+    """The pairs of ``_blocks`` of the families of ``mixed``."""
+    families = work.write(_families(mixed), f"{name}-families")
+    parts = work.write(_parts(families), f"{name}-parts")
+    rows = parts.join(info, "sig").select("part", "side", "sig", "n", "label", "rep", "bits")
+    found = rows.groupBy("part").applyInArrow(_blocks(percent, best_only), "a long, b long, rep_a long, rep_b long, x long, y long, part long")
     found = work.write(found.dropDuplicates(["a", "b"]), name)
-    work.drop(f"{name}-tiles")
+    work.drop(f"{name}-parts")
+    work.drop(f"{name}-families")
     return found
 
 
@@ -374,34 +449,38 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
     spark = ship(docs.sparkSession)
     work = Work(spark, "ngram-join")
     docs = pick(docs, doc_id="long", text="string")
-    every = work.write(docs.mapInArrow(_features(width), _FEATURES), "features")
+    sketch_bits = _sketch_bits(docs)
+    every = work.write(docs.mapInArrow(_features(width, sketch_bits), _FEATURES), "features")
     rows = every.where("kind = 0").select("doc_id", "n", "sig", "bits")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     classes = work.write(classes, "classes")
     shingles, sets = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if not sets:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    freq = _frequency(every)
-    # counters from max(4096, sets / 64) on are hot; levels are powers of two of the mean counter
-    hot = int(np.ceil(np.log2(max(4.0, max(sets / 64, 4096) * (1 << SKETCH_BITS) / shingles))))
+    freq = _frequency(every, sketch_bits)
+    # levels are powers of two of the mean counter, less one
+    hot = int(np.ceil(np.log2(max(8.0, HOT * (1 << sketch_bits) / shingles)))) - 1
     rank = spark.sparkContext.broadcast(freq)
     buckets = max(4 * parallelism(spark), int(shingles * (100 - percent) / 100 / BUCKET))
     texts = docs.where("doc_id IS NOT NULL").select("text")
-    packed = texts.mapInArrow(_members(width, percent, rank, buckets, hot, False), "bucket long, tok binary, sig binary, n binary")
+    packed = texts.mapInArrow(_members(width, percent, rank, buckets, hot, False, sketch_bits), "bucket long, tok binary, sig binary, n binary")
     found = work.write(packed.groupBy("bucket").applyInArrow(_tile(percent), "kind int, a long, b long"), "found")
     pairs = found.where("kind = 0").select("a", "b")
     big = found.where("kind = 1").select(F.col("a").alias("tok"), F.col("b").alias("sig"))
-    if int(freq.max()) >= hot:
-        tiles = texts.mapInArrow(_members(width, percent, rank, buckets, hot, True), "tok long, sig long, n long").distinct()
+    if not found.where("kind = 2").isEmpty():
+        tiles = texts.mapInArrow(_members(width, percent, rank, buckets, hot, True, sketch_bits), "tok long, sig long, n long").distinct()
         tiles = work.write(tiles.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent)))), "hot")
         first = tiles.groupBy("tok", "band").agg(F.min("sig").alias("low"))
         star = tiles.join(first, ["tok", "band"]).where("sig != low")
         pairs = pairs.union(star.select(F.col("low").alias("a"), F.col("sig").alias("b")))
         big = big.union(tiles.select("tok", "sig"))
     side = lambda x: classes.select(F.col("sig").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-    named = lambda p: p.distinct().join(side("a"), "a").join(side("b"), "b")
-    pairs = work.write(named(pairs).mapInArrow(_bounded(percent), "a long, b long, rep_a long, rep_b long"), "pairs")
-    links = _verified(docs, pairs.withColumns({"x": F.col("rep_a"), "y": F.col("rep_b")}), work, percent, width, "links")
+    # a tile's star is verified together, dealt out in 64 parts
+    pairs = pairs.distinct().withColumn("part", F.xxhash64("a", F.pmod("b", F.lit(64))))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long, rep_a long, rep_b long, part long")
+    pairs = work.write(pairs, "pairs")
+    mean = shingles / sets
+    links = _verified(docs, pairs.withColumns({"x": F.col("rep_a"), "y": F.col("rep_b")}), work, percent, width, "links", mean)
     info = classes.withColumn("label", F.col("rep"))
     for turn in range(BEST_ROUNDS):
         # links hold pairs of labels; join them into the components of all labels
@@ -409,10 +488,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
         info = info.join(merged, "label", "left").select("sig", "rep", "n", "bits", F.coalesce("component", "label").alias("label"))
         info = work.write(info, f"info-{turn}", work.parts(sets, 50_000))
         best = turn < BEST_ROUNDS - 1 and (turn == 0 or not links.isEmpty())
-        more = _mixed_pairs(big, info, work, percent, buckets, best, f"more-{turn}")
+        # tiles of one component stay so
+        big = work.write(_mixed(big, info), f"mixed-{turn}")
+        more = _mixed_pairs(big, info, work, percent, best, f"more-{turn}")
         if more.isEmpty():
             break
-        links = _verified(docs, more, work, percent, width, f"links-{turn}")
+        links = _verified(docs, more, work, percent, width, f"links-{turn}", mean)
         if not best:
             if not links.isEmpty():
                 merged = components(links, work, "components-last").select(F.col("node").alias("label"), "component")

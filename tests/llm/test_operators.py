@@ -111,7 +111,7 @@ def components_of(rows):
 @pytest.mark.parametrize("small", [8, 2])
 def test_jaccard_components(monkeypatch, docs, rows, small):
     monkeypatch.setattr(ngram_join, "SMALL", small)
-    monkeypatch.setattr(ngram_join, "BLOCK", 4 if small == 2 else 2048)
+    monkeypatch.setattr(ngram_join, "BLOCK", 1024 if small == 2 else 1 << 19)
     want, sets = components_of(rows)
     got = ngram_join.jaccard_components(docs).collect()
     assert len(got) == len(rows)
@@ -122,6 +122,60 @@ def test_jaccard_components(monkeypatch, docs, rows, small):
             assert (r.component_id, r.n_shingles) == (want[r.doc_id], len(sets[r.doc_id]))
 
 
+def family(rng, members, length, edits):
+    """Copies of one text, each with some of its words changed."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(length)]
+    out = []
+    for _ in range(members):
+        w = list(base)
+        for k in rng.sample(range(length), rng.randint(1, edits)):
+            w[k] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 19, 1 << 14])
+def test_jaccard_of_a_large_family(spark, monkeypatch, block):
+    """Near copies around the bound, some linked and some not: all pairs are compared by a matrix product."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    length, edits = 800, 60
+    texts = family(random.Random(block), 600, length, edits)
+    rows = list(enumerate(texts, 1))
+    sets = [shingles(t) for t in texts]
+    index = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(texts), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [index[g] for g in s]] = 1
+    both = has @ has.T
+    size = np.array([len(s) for s in sets])
+    link = 100 * both >= 75 * (size[:, None] + size - both)
+    label = np.arange(len(texts))
+    while True:
+        new = np.where(link, label, len(texts)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    assert 1 < len(set(label.tolist())) < len(texts)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i + 1: int(x) + 1 for i, x in enumerate(label)}
+
+
+def test_no_block_pair_is_large(spark, monkeypatch):
+    """Parts of a family hold two blocks at most, and every pair of members of different components shares one."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16 * 256)
+    rows = [(0, 7, i, 1 if i < 300 else i, 10) for i in range(400)]
+    parts = ngram_join._parts(spark.createDataFrame(rows, "kind int, family long, sig long, label long, n long")).collect()
+    by_part = {}
+    for r in parts:
+        by_part.setdefault(r.part, []).append((r.side, r.sig))
+    assert max(map(len, by_part.values())) <= 80
+    met = set()
+    for members in by_part.values():
+        for x, i in members:
+            met |= {(min(i, j), max(i, j)) for y, j in members if {x, y} == {0, 1} or (x == y == 2 and i != j)}
+    assert met == {(i, j) for i in range(400) for j in range(max(i + 1, 300), 400)}
+
+
 def test_jaccard_odd_tables(none, clashing, docs):
     assert ngram_join.jaccard_components(none).collect() == []
     key = lambda df: sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in df.collect())
