@@ -42,6 +42,8 @@ from ._work import Work, maybe_in, parallelism, pick, ship
 SMALL = 8
 #: Shingles of the members of a block, and of the sets that one group verifies; a member counts as LEAST of them at least.
 BLOCK, LEAST = 1 << 19, 256
+#: Pairs of a part that are verified together.
+PAIRS = 2048
 #: Rounds in which the large tiles offer only each component's best pair, before they offer all that are left.
 BEST_ROUNDS = 2
 #: The sketch has a counter for every SKETCH_BYTES of input, within these powers of two.
@@ -308,12 +310,13 @@ def _arrays(width: int):
 
 
 def _sides(side: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of rows to compare: side 0 with side 1, and side 2 with itself, of different components and within the size band."""
+    """The pairs of rows to compare, of different components and within the size band: sides 0 and 2 with side 1, side 2 also with itself."""
     left, right = [], []
-    for a, b in ((np.flatnonzero(side == 0), np.flatnonzero(side == 1)), (np.flatnonzero(side == 2),) * 2):
+    own = np.flatnonzero(side == 2)
+    for a, b in ((np.flatnonzero(side != 1), np.flatnonzero(side == 1)), (own, own)):
         for at in np.array_split(a, 1 + len(a) * len(b) // (1 << 22)):
             ok = (label[at][:, None] != label[b]) & (percent * n[at][:, None] <= 100 * n[b]) & (percent * n[b] <= 100 * n[at][:, None])
-            if a is b:
+            if b is own:
                 ok &= at[:, None] < b
             i, j = np.nonzero(ok)
             left.append(at[i])
@@ -324,7 +327,7 @@ def _sides(side: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int) ->
 def _blocks(percent: int, best_only: bool):
     """Pairs of a part's rows that lie in different components and may link.
 
-    ``best_only``: of those just each component's pair with the largest bound.
+    ``best_only``: of those just each component's pair with the largest bound; ``left`` says that the part has others.
     """
 
     def run(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
@@ -346,7 +349,8 @@ def _blocks(percent: int, best_only: bool):
                     both[k] = overlap_bound(n[left[k]], n[right[k]], a[place[left[k]]], b[place[right[k]]])
         keep = np.flatnonzero(_within(n[left], n[right], both, percent))
         left, right, both = left[keep], right[keep], both[keep]
-        if best_only and len(left):
+        found = len(left)
+        if best_only and found:
             alike = both / (n[left] + n[right] - both)
             from_, score = np.concatenate([label[left], label[right]]), np.concatenate([alike, alike])
             pair = np.concatenate([np.arange(len(left))] * 2)
@@ -356,8 +360,8 @@ def _blocks(percent: int, best_only: bool):
             left, right = left[pair], right[pair]
         turn = name[left] > name[right]  # a pair's first is the smaller, in whichever part it is met
         left, right = np.where(turn, right, left), np.where(turn, left, right)
-        part = pa.array(np.full(len(left), key[0].as_py()))
-        return pa.table({"a": name[left], "b": name[right], "rep_a": rep[left], "rep_b": rep[right], "x": label[left], "y": label[right], "part": part})
+        part, more = np.full(len(left), key[0].as_py()), np.full(len(left), found > len(left))
+        return pa.table({"a": name[left], "b": name[right], "rep_a": rep[left], "rep_b": rep[right], "x": label[left], "y": label[right], "part": part, "left": more})
 
     return run
 
@@ -365,11 +369,15 @@ def _blocks(percent: int, best_only: bool):
 def _verified(docs: DataFrame, pairs: DataFrame, work: Work, percent: int, width: int, name: str, mean: float) -> DataFrame:
     """(x, y) of those of ``pairs(a, b, rep_a, rep_b, x, y, part)`` of set names that really link.
 
-    Pairs of one part are verified together; ``mean`` is how many shingles a set has.
+    Pairs of one part are verified together, a part of over PAIRS pairs in pairs of smaller blocks; ``mean`` is how many shingles a set has.
     """
     count = pairs.count()
-    parts = max(2 * parallelism(docs.sparkSession), int(2 * count * max(mean, LEAST) / BLOCK))
-    pairs = pairs.withColumn("part", F.pmod("part", F.lit(parts)))
+    many = pairs.groupBy("part").agg(F.count("*").alias("c")).where(F.col("c") > PAIRS)
+    pairs = pairs.join(many.select("part", F.ceil(F.sqrt(F.col("c") / PAIRS)).cast("long").alias("k")), "part", "left")
+    block = lambda x: F.coalesce(F.pmod(F.xxhash64(x), F.col("k")), F.lit(0).cast("long"))
+    parts = max(4 * parallelism(docs.sparkSession), int(2 * count * max(mean, LEAST) / BLOCK))
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("part", block("a"), block("b")), F.lit(parts))).drop("k")
+    pairs = work.write(pairs, f"{name}-dealt", work.parts(count))
     end = lambda x: pairs.select("part", F.col(x).alias("sig"), F.col(f"rep_{x}").alias("doc_id"))
     nodes = work.write(end("a").union(end("b")).distinct(), f"{name}-nodes", work.parts(2 * count))
     sets = maybe_in(docs, nodes, "doc_id").select("text").mapInArrow(_arrays(width), "sig long, elements binary")
@@ -378,62 +386,69 @@ def _verified(docs: DataFrame, pairs: DataFrame, work: Work, percent: int, width
     placed = wanted.join(sets, "sig").select("spot", F.col("sig").alias("member"), "elements")
     links = pairs.groupBy("part").cogroup(placed.groupBy("spot")).applyInArrow(_exact(percent), "a long, b long")
     links = work.write(links, name)
-    work.drop(f"{name}-sets")
+    for done in ("sets", "nodes", "dealt"):
+        work.drop(f"{name}-{done}")
     return links
 
 
-def _families(labelled: DataFrame) -> DataFrame:
+def _families(big: DataFrame, info: DataFrame) -> DataFrame:
     """(kind, family, sig, label, n): what is compared with one another: the members of all tiles of one smallest member, or of one tile.
 
-    ``labelled(tok, sig, label, n)`` are the members of tiles of more than one component.  Comparing a family's members once takes the square of
-    their number, comparing its tiles the sum of their squares; the lesser counts.
+    Only the tiles of ``big(tok, sig)`` whose members are not all in one component count.  Comparing a family's members once takes the
+    square of their number, comparing its tiles the sum of their squares; the lesser is done.
     """
-    tiles = labelled.groupBy("tok").agg(F.min("sig").alias("low"), F.count("*").cast("double").alias("m"))
+    labelled = big.select("tok", "sig").join(info.select("sig", "label", "n"), "sig")
+    tiles = labelled.groupBy("tok").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.min("sig").alias("low"), F.count("*").cast("double").alias("m")).where("u != v")
     members = labelled.join(tiles.select("tok", "low"), "tok")
     union = members.groupBy("low", "sig").agg(F.min("label").alias("label"), F.min("n").alias("n"))
     size = union.groupBy("low").agg(F.count("*").cast("double").alias("u"))
     cost = tiles.groupBy("low").agg(F.sum(F.col("m") * F.col("m")).alias("each")).join(size, "low")
-    together = cost.where("u * u <= each").select("low")
-    once = union.join(together, "low").select(F.lit(0).alias("kind"), F.col("low").alias("family"), "sig", "label", "n")
-    alone = members.join(together, "low", "left_anti").select(F.lit(1).alias("kind"), F.col("tok").alias("family"), "sig", "label", "n")
+    apart = cost.where("u * u > each").select("low")
+    once = union.join(apart, "low", "left_anti").select(F.lit(0).alias("kind"), F.col("low").alias("family"), "sig", "label", "n")
+    alone = members.join(apart, "low", "left_semi").select(F.lit(1).alias("kind"), F.col("tok").alias("family"), "sig", "label", "n")
     return once.union(alone)
 
 
 def _parts(families: DataFrame) -> DataFrame:
-    """(part, side, sig) of the block pairs: members outside the family's largest component with all, those inside only with these."""
+    """(part, kind, family, side, sig) of the block pairs: members outside the family's largest component with all, those inside only with these."""
     key = ["kind", "family"]
     counts = families.groupBy(*key, "label").agg(F.sum(F.greatest("n", F.lit(LEAST))).alias("c"))
-    head = counts.groupBy(*key).agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"))  # in shingles
+    head = counts.groupBy(*key).agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m")).where("m > top.c")  # in shingles
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     head = head.select(*key, F.col("top.label").alias("top"), blocks(F.col("m") - F.col("top.c")).alias("probes"), blocks(F.col("top.c")).alias("base"))
     rows = families.join(head, key).withColumn("inside", F.col("label") == F.col("top"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("sig"), F.when(F.col("inside"), F.col("base")).otherwise(F.col("probes"))).cast("int"))
-    spot = lambda kind, i, j, side: F.struct(F.lit(kind).alias("k"), i.alias("i"), j.alias("j"), side.alias("side"))
+    spot = lambda kind, i, j, side: F.struct(F.lit(kind).alias("k"), i.alias("i"), j.alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
     upto = lambda n, make: F.transform(F.sequence(F.lit(0), n - 1), make)
     block = F.col("block")
-    among = upto(F.col("probes"), lambda o: spot(1, F.least(o, block), F.greatest(o, block), F.when(o == block, 2).otherwise((block > o).cast("int"))))
-    spots = F.when(F.col("inside"), upto(F.col("probes"), lambda o: spot(0, o, block, F.lit(1)))).otherwise(F.concat(among, upto(F.col("base"), lambda o: spot(0, block, o, F.lit(0)))))
+    # a probe's block meets itself where it meets the first block of the base
+    others = F.filter(F.sequence(F.lit(0), F.col("probes") - 1), lambda o: o != block)
+    among = F.transform(others, lambda o: spot(1, F.least(o, block), F.greatest(o, block), (block > o).cast("int")))
+    based = upto(F.col("base"), lambda o: spot(0, block, o, F.when(o == 0, 2).otherwise(0)))
+    spots = F.when(F.col("inside"), upto(F.col("probes"), lambda o: spot(0, o, block, 1))).otherwise(F.concat(among, based))
     rows = rows.select(*key, "sig", F.explode(spots).alias("s"))
-    return rows.select(F.xxhash64(*key, "s.k", "s.i", "s.j").alias("part"), F.col("s.side").alias("side"), "sig")
+    return rows.select(F.xxhash64(*key, "s.k", "s.i", "s.j").alias("part"), *key, F.col("s.side").alias("side"), "sig")
 
 
-def _mixed(big: DataFrame, info: DataFrame) -> DataFrame:
-    """(tok, sig, label, n): the members of those large tiles ``big(tok, sig)`` that are not all in one component."""
-    labelled = big.select("tok", "sig").join(info.select("sig", "label", "n"), "sig").select("tok", "sig", "label", "n")
-    mixed = labelled.groupBy("tok").agg(F.min("label").alias("u"), F.max("label").alias("v")).where("u != v").select("tok")
-    return labelled.join(mixed, "tok")
-
-
-def _mixed_pairs(mixed: DataFrame, info: DataFrame, work: Work, percent: int, best_only: bool, name: str) -> DataFrame:
-    """The pairs of ``_blocks`` of the families of ``mixed``."""
-    families = work.write(_families(mixed), f"{name}-families")
+def _mixed_pairs(families: DataFrame, info: DataFrame, work: Work, percent: int, best_only: bool, name: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs of ``_blocks`` of ``families``, and those of the families that have more."""
+    families = work.write(families, f"{name}-families")
     parts = work.write(_parts(families), f"{name}-parts")
     rows = parts.join(info, "sig").select("part", "side", "sig", "n", "label", "rep", "bits")
-    found = rows.groupBy("part").applyInArrow(_blocks(percent, best_only), "a long, b long, rep_a long, rep_b long, x long, y long, part long")
-    found = work.write(found.dropDuplicates(["a", "b"]), name)
-    work.drop(f"{name}-parts")
-    work.drop(f"{name}-families")
-    return found
+    schema = "a long, b long, rep_a long, rep_b long, x long, y long, part long, left boolean"
+    found = work.write(rows.groupBy("part").applyInArrow(_blocks(percent, best_only), schema), name)
+    key = ["kind", "family"]
+    open_ = parts.join(found.where("left").select("part").distinct(), "part", "left_semi").select(*key).distinct()
+    again = families.drop("label").join(open_, key, "left_semi")
+    return found.drop("left").dropDuplicates(["a", "b"]), again
+
+
+def _merged(info: DataFrame, links: DataFrame, work: Work, name: str) -> DataFrame:
+    """``info`` with the labels that ``links`` connect made one."""
+    if links.isEmpty():
+        return info
+    merged = components(links, work, name).select(F.col("node").alias("label"), "component")
+    return info.join(merged, "label", "left").select("sig", "rep", "n", "bits", F.coalesce("component", "label").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -484,21 +499,15 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
     info = classes.withColumn("label", F.col("rep"))
     for turn in range(BEST_ROUNDS):
         # links hold pairs of labels; join them into the components of all labels
-        merged = components(links, work, f"components-{turn}").select(F.col("node").alias("label"), "component")
-        info = info.join(merged, "label", "left").select("sig", "rep", "n", "bits", F.coalesce("component", "label").alias("label"))
-        info = work.write(info, f"info-{turn}", work.parts(sets, 50_000))
-        best = turn < BEST_ROUNDS - 1 and (turn == 0 or not links.isEmpty())
-        # tiles of one component stay so
-        big = work.write(_mixed(big, info), f"mixed-{turn}")
-        more = _mixed_pairs(big, info, work, percent, best, f"more-{turn}")
+        info = work.write(_merged(info, links, work, f"components-{turn}"), f"info-{turn}", work.parts(sets, 50_000))
+        best = turn < BEST_ROUNDS - 1
+        families = again.join(info.select("sig", "label"), "sig").select("kind", "family", "sig", "label", "n") if turn else _families(big, info)
+        more, again = _mixed_pairs(families, info, work, percent, best, f"more-{turn}")
         if more.isEmpty():
             break
         links = _verified(docs, more, work, percent, width, f"links-{turn}", mean)
         if not best:
-            if not links.isEmpty():
-                merged = components(links, work, "components-last").select(F.col("node").alias("label"), "component")
-                info = info.join(merged, "label", "left").select("sig", "rep", "n", "bits", F.coalesce("component", "label").alias("label"))
-            break
+            info = _merged(info, links, work, "components-last")
     out = rows.select("doc_id", "n", "sig").join(info.select("sig", "label"), "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("label"))).otherwise(F.col("doc_id")).alias("component_id"))
 
