@@ -239,6 +239,43 @@ def test_repeated_passages(docs, rows, none, clashing):
     assert {r.doc_id for r in substring_dedup.repeated_passages(clashing).collect()} == own
 
 
+@pytest.mark.parametrize("small,heads,hot", [(8, 2, 64), (2, 1, 3)])
+def test_passages_on_both_sides(monkeypatch, docs, rows, small, heads, hot):
+    """Nothing verbatim is missed, nothing is reported that no other text bears out, and classes are what links make them."""
+    for name, value in (("SMALL", small), ("HEADS", heads), ("HOT", hot)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(docs).collect()}
+    texts = {i: words(t) for i, t in rows if i is not None and len(words(t)) >= 50 and i != 308}
+    grams = {i: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for i, w in texts.items()}
+    at = defaultdict(set)
+    for i, w in texts.items():
+        for k in range(len(w) - 49):
+            at[tuple(w[k : k + 50])].add(i)
+    verbatim = {(i, j) for ids in at.values() for i in ids for j in ids if i < j}
+    assert {i for p in verbatim for i in p} <= set(got) <= set(texts)
+    for i, j in verbatim:
+        assert got[i].class_id == got[j].class_id
+    # the best similarity of any 46 shingles of a passage with any 46 of another document of the class
+    index = {g: k for k, g in enumerate(sorted({g for x in grams.values() for g in x}))}
+    rng = random.Random(1)
+    for i in rng.sample(sorted(got), 20):
+        others = [j for j in texts if j != i and j in got and got[j].class_id == got[i].class_id]
+        for p in got[i].passages:
+            assert 0 <= p["first"] and p["end"] <= len(texts[i]) and p["end"] - p["first"] >= 50
+            own = [index[g] for g in grams[i][p["first"] : p["end"] - 4]]
+            best = 0.0
+            for j in others:
+                other = [index[g] for g in grams[j]]
+                shared = np.isin(own, other)
+                # a passage of similarity 0.75 shares 86 % of its shingles; half is borne out by any part of it
+                best = max(best, max(shared[k : k + 46].mean() for k in range(max(1, len(own) - 45))))
+            assert best >= 0.8, (i, p, best)
+    least = {}
+    for i, r in got.items():
+        least[r.class_id] = min(i, least.get(r.class_id, i))
+    assert all(k == v for k, v in least.items())
+
+
 def shingled(text):
     w = words(text)
     return np.array([int.from_bytes(hashlib.blake2b(" ".join(w[k : k + 5]).encode(), digest_size=8).digest(), "little") for k in range(len(w) - 4)], np.uint64)
