@@ -7,8 +7,9 @@ an earlier one that takes a right end of v first, that one only by a yet earlier
 
     reach(u, v) = |v| + max(reach of earlier merges whose left side is v or a right end of v's derivation)
 
-and the lookahead is the largest reach.  Merging can restart at any emitted token's end.  So memory does not grow
-with the text nor with the longest word, apart from a memo of frequent pieces of fixed size.
+and the lookahead is the largest reach.  Merging can restart at any emitted token's end.  Runs without white space are read
+in blocks too, and a word that goes on from one to the next is merged as it comes, so memory does not grow
+with the text nor with the longest word, apart from a memo of frequent pieces of fixed size (and the text itself, which a row holds whole).
 
 Decoding is a state machine over ids: ``Decoder(mode="tokens")`` gives the tokens' strings with spaces between, as a tokenizer
 file without a decoder asks for; ``mode="text"`` turns byte letters back to bytes and emits characters once
@@ -20,6 +21,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -31,6 +33,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._work import pick, ship
 
+# Code points that the tokenizers library takes for neither letters nor numbers, in order (they are in newer tables) ...
+NO_LETTERS = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+# ... marks that it neither orders nor composes (they are newer than its normal forms) ...
+NO_MARKS = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C),
+    (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A),
+    (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45),
+    (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+# ... and capitals whose small letters are newer than some Pythons: first, last, the first one's small letter.
+CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB),
+    (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
 # The white space and the pieces of the tokenizer file's own patterns.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACES}\p{{L}}\p{{N}}]+"
@@ -40,6 +63,24 @@ MEMO = 100_000
 _NONE = np.int64(1 << 60)
 _SLOTS = 1 << 19
 _SPACE_RUN = regex.compile(rf"[{_SPACES}]")
+_one = lambda ranges: "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+_ODD = re.compile(_one([*NO_LETTERS, *NO_MARKS, *((a, b) for a, b, _ in CAPITALS)]))
+_MARK = re.compile(f"({_one(NO_MARKS)})")
+_SMALL = {a + k: c + k for a, b, c in CAPITALS for k in range(b - a + 1)}
+_OTHER = re.compile(_one(NO_LETTERS))
+#: Where a run without white space may be cut: before a digit, and within letters or within marks, where the piece goes on.
+_CUT = re.compile(r"(?<=[A-Za-z\u4e00-\u9fff]{4})(?=[A-Za-z\u4e00-\u9fff])|(?=[0-9])|(?<=[-=_.*#~+/])(?=[-=_.*#~+/])")
+
+
+def odd(text: str) -> bool:
+    """Whether a text holds a code point on which tables differ; most hold none beyond Latin-1, which is quickly seen."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _ODD.search(text) is not None
+    return False
 
 
 def byte_letters() -> dict[int, str]:
@@ -167,38 +208,46 @@ class Merges:
         return out
 
 
-class Encoder:
-    """``encode(text)`` yields lists of ids, block by block; ``prime(texts)`` first merges the new pieces of several texts together."""
+class Merger:
+    """Merges one piece that comes in parts: ``push`` gives the tokens that nothing to come can change, ``finish`` the rest."""
 
-    def __init__(self, merges: Merges, window: int = WINDOW, block: int = BLOCK):
-        self.merges, self.window, self.block = merges, max(window, 4 * merges.lookahead), block
-        self.find = regex.compile(_PIECES).findall
-        names = "|".join(regex.escape(s) for s in sorted(merges.special, key=len, reverse=True))
-        self.special = regex.compile(f"({names})") if names else None
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.recent: dict[str, list[str]] = {}
+    def __init__(self, merges: Merges, window: int):
+        self.merges, self.window, self.data = merges, window, b""
 
-    def _long(self, piece: str) -> Iterator[list[int]]:
-        """A piece of any length in windows: tokens that end before the lookahead are stable."""
-        m = self.merges
-        data = piece.encode()
-        at = 0
+    def push(self, part: str) -> list[int]:
+        m, data, at, out = self.merges, self.data + part.encode(), 0, []
+        stable = self.window - m.lookahead
         while len(data) - at > self.window:
-            got = m.merge([m.first[b] for b in data[at : at + self.window]])
-            out, used, stable = [], 0, self.window - m.lookahead
-            for i in got:
+            used = 0
+            for i in m.merge([m.first[b] for b in data[at : at + self.window]]):
                 n = len(m.strings[i])
                 if used + n > stable:
                     break
                 out.append(i)
                 used += n
-            yield out
             at += used
-        rest = data[at:]
-        yield m.merge([*(m.first[b] for b in rest[:-1]), m.last[rest[-1]]])
+        self.data = data[at:]
+        return out
+
+    def finish(self) -> list[int]:
+        m, data = self.merges, self.data
+        return m.merge([*(m.first[b] for b in data[:-1]), m.last[data[-1]]])
+
+
+class Encoder:
+    """``encode(text)`` yields lists of ids, block by block; ``prime(texts)`` first merges the new pieces of several texts together."""
+
+    def __init__(self, merges: Merges, window: int = WINDOW, block: int = BLOCK):
+        self.merges, self.window, self.block = merges, max(window, 4 * merges.lookahead), block
+        self.find, self.spans = regex.compile(_PIECES).findall, regex.compile(_PIECES).finditer
+        names = "|".join(regex.escape(s) for s in sorted(merges.special, key=len, reverse=True))
+        self.special = regex.compile(f"({names})") if names else None
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, list[str]] = {}
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(self._long(piece)))
+        merger = Merger(self.merges, self.window)
+        ids = tuple(merger.push(piece) + merger.finish())
         if len(piece) <= 64:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
@@ -224,32 +273,69 @@ class Encoder:
         if got is None:
             if len(self.recent) >= 512:
                 self.recent.clear()
-            got = self.recent[block] = self.find(self._normal(block))
+            text = self._normal(block)
+            got = self.find(text)
+            if odd(text):  # cut as if the odd ones were marks
+                got = [text[m.start() : m.end()] for m in self.spans(_OTHER.sub("#", text))]
+            self.recent[block] = got
         return got
 
     def _normal(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
+        if odd(text):
+            text = "".join(x if _MARK.match(x) else unicodedata.normalize("NFC", x) for x in _MARK.split(text)).translate(_SMALL)
+        else:
+            text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
-    def _blocks(self, text: str) -> Iterator[str]:
-        """Cuts at white space; only a longer word is a longer block."""
+    def _blocks(self, text: str) -> Iterator[tuple[str, bool]]:
+        """(block, whether its last piece goes on in the next): cut at white space, or within a run where that does not change the pieces.
+
+        Only a run without any such place (of letters that are neither ASCII nor Han, of unusual marks) makes a longer block.
+        """
         at = 0
         while len(text) - at > self.block:
-            cut = _SPACE_RUN.search(text, at + self.block)
-            if not cut:
-                break
-            yield text[at : cut.start()]
+            cut = _SPACE_RUN.search(text, at + self.block, at + 2 * self.block)
+            if cut:
+                yield text[at : cut.start()], False
+                at = cut.start()
+                continue
+            cut = _CUT.search(text, at + self.block)
+            blank = _SPACE_RUN.search(text, at + 2 * self.block, cut.start() if cut else len(text))
+            if blank or not cut:
+                end = blank.start() if blank else len(text)
+                yield text[at:end], False
+                at = end
+                continue
+            yield text[at : cut.start()], not text[cut.start()].isdigit()
             at = cut.start()
-        yield text[at:]
+        if at < len(text):
+            yield text[at:], False
 
-    def encode(self, text: str) -> Iterator[list[int]]:
+    def _stream(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text without special tokens, block by block; a piece that goes on from block to block is merged as it comes."""
         get, piece = self.memo.get, self._piece
+        open_: Merger | None = None
+        for block, goes_on in self._blocks(text):
+            pieces, out = self._pieces(block), []
+            if open_ and pieces:
+                out += open_.push(pieces[0])
+                pieces = pieces[1:]
+                if pieces or not goes_on:
+                    out += open_.finish()
+                    open_ = None
+            last = pieces[-1:] if goes_on else []
+            out += chain.from_iterable([get(p) or piece(p) for p in (pieces[:-1] if last else pieces)])
+            if last:
+                open_ = Merger(self.merges, self.window)
+                out += open_.push(last[0])
+            yield out
+
+    def encode(self, text: str) -> Iterator[list[int]]:
         for part in self.special.split(text) if self.special and "<|" in text else (text,):
             if self.special and part in self.merges.special:
                 yield [self.merges.special[part]]
-                continue
-            for block in self._blocks(part):
-                yield list(chain.from_iterable([get(p) or piece(p) for p in self._pieces(block)]))
+            else:
+                yield from self._stream(part)
 
 
 class Decoder:
@@ -356,7 +442,11 @@ def decode(rows: DataFrame, source: str, mode: str = "tokens") -> DataFrame:
 
 
 def digests(docs: DataFrame, source: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded again block by block, only digests kept."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded again block by block, only digests kept.
+
+    A row for every row of ``docs(doc_id, text)``, repeated ones too; null and empty texts have no tokens and the digests of nothing.  Long texts
+    are coded block by block; equal texts get equal digests; other columns are ignored; an empty table gives no rows.
+    """
     shared = ship(docs.sparkSession).sparkContext.broadcast(source)
 
     def run(batches):
@@ -381,7 +471,10 @@ def digests(docs: DataFrame, source: str) -> DataFrame:
 
 
 def coded(docs: DataFrame, source: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of every row of ``docs(doc_id, text)``: the ids, and a digest of what they decode to."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row of ``docs(doc_id, text)``: the ids, and a digest of what they decode to.
+
+    Null and empty texts have no ids; a null doc_id stays null; repeated rows are each coded; other columns are ignored; no rows give no rows.
+    """
     shared = ship(docs.sparkSession).sparkContext.broadcast(source)
 
     def run(batches):

@@ -407,6 +407,30 @@ def test_bpe_windows_do_not_change_tokens(tokenizer):
         assert [i for b in small.encode(text) for i in b] == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_knows_the_library_tables(tokenizer):
+    merges, _ = bpe.coder(bpe.read_file())
+    encoder = bpe.Encoder(merges)
+    edges = {c for r in (*bpe.NO_LETTERS, *bpe.NO_MARKS, *((a, b) for a, b, _ in bpe.CAPITALS)) for x in r for c in (x - 1, x, x + 1)}
+    for c in sorted(edges | set(range(0x3000)) | set(range(0x3000, 0x110000, 61))):
+        if not 0xD800 <= c <= 0xDFFF:
+            for text in (f"a{chr(c)}b", f"e{chr(c)}\u0323\u0301 #{chr(c)}# {chr(c)}"):
+                assert [i for b in encoder.encode(text) for i in b] == tokenizer.encode(text, add_special_tokens=False).ids, hex(c)
+
+
+def test_bpe_reads_runs_in_blocks(tokenizer):
+    merges, _ = bpe.coder(bpe.read_file())
+    small = bpe.Encoder(merges, window=600, block=300)
+    rng = random.Random(2)
+    pool = ["a", "b", "Z", "don't", "'", "'s", "1", "22", " ", "\n", "-", "=", "é", "\u0301", "ß", "Σ", "漢", "字", "İ", "<|endoftext|>", "\u088f", "\u0898", "..", "'re", "!", "_"]
+    texts = ["".join(rng.choice(pool) * rng.choice([1, 1, 2, 5, 400 if rng.random() < 0.05 else 3]) for _ in range(rng.randint(1, 120))) for _ in range(300)]
+    texts += ["x" * 50_000, "-" * 50_000, "1" * 20_000, "漢字" * 20_000, "don't" * 9000, "abc1" * 9000, "!'s" * 9000, "é" * 30_000]
+    for text in texts:
+        assert [i for b in small.encode(text) for i in b] == tokenizer.encode(text, add_special_tokens=False).ids, text[:60]
+    # a long run comes in blocks, so what is held at once does not grow with it
+    assert max(len(b) for b in small._pieces("x" * 600)) <= 600
+    assert max(len(b) for b, _ in small._blocks("x" * 50_000)) <= 700 and max(len(b) for b, _ in small._blocks("-" * 50_000)) <= 700
+
+
 def test_bpe_decodes_split_characters():
     merges, encoder = bpe.coder(bpe.read_file())
     decoder = bpe.Decoder(merges, "text")
