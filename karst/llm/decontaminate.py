@@ -6,7 +6,10 @@ diagonals (text position less item position) at most k apart.  So shared q-grams
 each overlapping the next by half; the regions of bands that meet the bound are verified by banded alignment.  k is ``ERRORS`` of m, and never so
 large that the bound falls under 1.
 
-One pass over the texts, with no shuffle.  Benchmark items come to the executors in blocks of about ``BLOCK_BYTES``, a pass each.
+Items of fewer than ``SHORT`` reduced bytes are common wording.  Those of ``SHORT_WORDS`` words or more, and of Q bytes or more, count where they stand word
+for word, between other words; the others only where a text is nothing else.
+
+One pass over the texts, with no shuffle.  A long text is reduced piece by piece and searched in overlapping parts of the reduced text.  Benchmark items come to the executors in blocks of about ``BLOCK_BYTES``, a pass each.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from ._work import pick, ship
 
 Q = 8
 ERRORS = 0.08
-#: Items of fewer reduced bytes are common wording; only a text that is nothing else counts as holding one.
-SHORT = 20
+#: Items of fewer reduced bytes are found without any edit: within texts from SHORT_WORDS words on, else as whole texts only.
+SHORT, SHORT_WORDS = 20, 3
 BLOCK_BYTES = 4_000_000
 _SEGMENT = 1 << 20
 _FILTER_BITS = 22
@@ -72,10 +75,10 @@ class Items:
         self.bytes = [raw[a:b].tobytes().rstrip(b" ") for a, b in zip(bound[:-1], bound[1:], strict=True)]
         size = np.array([len(x) for x in self.bytes], np.int64)
         self.size = size
-        self.edits = np.maximum(0, np.minimum((size * ERRORS).astype(np.int64), (size - Q) // Q))
+        self.edits = np.where(size < SHORT, 0, np.maximum(0, np.minimum((size * ERRORS).astype(np.int64), (size - Q) // Q)))
         self.least = size - Q + 1 - self.edits * Q
         self.short = {x: [k for k, y in enumerate(self.bytes) if y == x] for x in self.bytes if 0 < len(x) < SHORT}
-        long = [k for k in range(len(rows)) if size[k] >= SHORT]
+        long = [k for k in range(len(rows)) if size[k] >= SHORT or (size[k] >= Q and self.bytes[k].count(b" ") >= SHORT_WORDS - 1)]
         parts = [grams(np.frombuffer(self.bytes[k], np.uint8)) for k in long]
         gram = np.concatenate([*parts, np.zeros(0, _U)])
         item = np.repeat(np.array(long, np.int64), [len(p) for p in parts])
@@ -127,26 +130,35 @@ def best_alignment(item: bytes, region: bytes, edits: int) -> tuple[int, int, in
     return (int(cost[k]), int(start[k]), int(ends[k])) if cost[k] <= edits else None
 
 
-def _segments(data: np.ndarray, offs: np.ndarray, overlap: int):
-    """Runs of whole texts, and of overlapping parts of texts that are longer: (rows, data, offsets, base of each)."""
-    size = offs[-1]
-    if size <= 2 * _SEGMENT + overlap or len(offs) > 2:
-        yield np.arange(len(offs) - 1), data, offs, np.zeros(len(offs) - 1, np.int64)
+def _reduced(data: np.ndarray, offs: np.ndarray, overlap: int):
+    """(rows, bytes, offsets, places in ``data``): of whole texts, or of parts of one long text that overlap by ``overlap`` reduced bytes."""
+    size = int(offs[-1])
+    if size <= 2 * _SEGMENT or len(offs) > 2:
+        yield np.arange(len(offs) - 1), *normal(data, offs)
         return
-    for at in range(0, int(size), _SEGMENT):
-        part = data[at : at + _SEGMENT + overlap]
-        yield np.zeros(1, np.int64), part, np.array([0, len(part)]), np.array([at])
+    text, place = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    at = 0
+    while at < size:
+        end = min(size, at + _SEGMENT)
+        while end < size and data[end] & 0xC0 == 0x80:  # not within a character
+            end += 1
+        # the byte before says whether a space follows a word; it is not kept twice
+        before = min(at, 1)
+        new, _, where = normal(data[at - before : end], np.array([0, end - at + before]))
+        own = where >= before
+        text, place = np.concatenate([text[-overlap:], new[own]]), np.concatenate([place[-overlap:], where[own] + at - before])
+        yield np.zeros(1, np.int64), text, np.array([0, len(text)]), place
+        at = end
 
 
 def find(items: Items, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item, first byte, end byte, distance): the best place of every item in every text that holds it."""
     best: dict[tuple[int, int], tuple] = {}
-    for rows, part, bounds, base in _segments(data, offs, 8 * items.most + 64):
-        text, at, place = normal(part, bounds)
-        if items.short:
+    for rows, text, at, place in _reduced(data, offs, 2 * items.most + 64):
+        if items.short and len(rows) == len(offs) - 1:
             for r in range(len(rows)):
                 for k in items.short.get(text[at[r] : at[r + 1]].tobytes().rstrip(b" "), ()) if at[r + 1] - at[r] <= SHORT else ():
-                    best[int(rows[r]), k] = (0, int(base[r]), int(base[r] + bounds[r + 1] - bounds[r]))
+                    best[int(rows[r]), k] = (0, 0, int(offs[r + 1] - offs[r]))
         g = grams(text)
         hit = np.flatnonzero(items.filter[(g >> _U(64 - _FILTER_BITS)).astype(np.int64)])
         first, last = np.searchsorted(items.gram, g[hit], "left"), np.searchsorted(items.gram, g[hit], "right")
@@ -178,8 +190,10 @@ def find(items: Items, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, in
             right = min(int(at[r + 1]), (c % span) * w - items.most + 2 * w + int(items.size[k]) + e)
             found = best_alignment(items.bytes[k], text[left:right].tobytes(), e)
             if found and found[0] < best.get((int(rows[r]), k), (1 << 30,))[0]:
-                a, b = int(place[left + found[1]]), int(place[left + found[2] - 1]) + 1
-                best[int(rows[r]), k] = (found[0], int(base[r]) + a - int(bounds[r]), int(base[r]) + b - int(bounds[r]))
+                first, last = left + found[1], left + found[2]
+                if items.size[k] < SHORT and not ((first == at[r] or text[first - 1] == 32) and (last == at[r + 1] or text[last] == 32)):
+                    continue  # within a longer word
+                best[int(rows[r]), k] = (found[0], int(place[first] - offs[rows[r]]), int(place[last - 1] + 1 - offs[rows[r]]))
     return [(r, k, a, b, d) for (r, k), (d, a, b) in sorted(best.items())]
 
 
@@ -212,8 +226,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_byte, end_byte, distance) of every document of ``docs(doc_id, text)`` that holds an item.
 
     One row a (row of docs, item) with the item's best place, in bytes of the text.  Null or empty texts hold none; items that are null
-    or have no letters or digits are held by none, and items under ``SHORT`` reduced bytes only by a text that is nothing else.  Repeated rows
-    are each reported.  Other columns are ignored.
+    or have no letters or digits are held by none, and items under ``SHORT`` reduced bytes see above.  Repeated rows
+    are each reported.  Texts of any length are searched whole.  Other columns are ignored; an empty table gives no rows.
     """
 
     def over(shared):
@@ -238,7 +252,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no item."""
+    """The rows of ``docs``, all columns, whose text holds no item; null and empty texts hold none, repeated rows are each judged."""
 
     def over(shared):
         def run(batches):
