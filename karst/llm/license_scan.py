@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-Lines that name a licence, or lie within a few lines of one that does, form candidate blocks.  A block is compressed once
+Lines that name a licence, or lie within a few lines of one that does, form candidate blocks.  A block goes on, line by line and both ways, as long as a
+leading template makes the longer block smaller still, so a notice may be wrapped at any width.  A block is compressed once
 plainly and once with each licence template as raw zstandard dictionary; templates are ranked by the bytes they save.  Winners are
 confirmed by wording: the template's words are aligned with the block's, and every word left out, put in or changed is reported.  Short
 notices must agree in every word; longer ones may differ in ``LOOSE`` of their words, never in a word with a digit or in a
@@ -37,14 +38,25 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Released under the BSD License.",
     ],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "BSL-1.0": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -54,11 +66,14 @@ TEMPLATES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
 }
 MARKS = ["licen", "copyright", "public domain", "creative commons", "redistribut", "permission", "spdx", "waived all"]
-_WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
+_plain = zstandard.ZstdCompressor(level=3)
+#: A word may be broken after a hyphen, behind which the next line's comment sign stands.
+_BREAK = re.compile(r"\n[ \t*#/;-]*")
+_WORD = re.compile(r"[^\W_]+(?:(?:[-.]|-\n[ \t*#/;-]*)[^\W_]+)*")
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
-    return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    return [(_BREAK.sub("", m[0]).lower() if "\n" in m[0] else m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
 @lru_cache(maxsize=1)
@@ -75,7 +90,7 @@ def _templates() -> list[tuple[str, str, list[str], set[str], zstandard.ZstdComp
 def savings(block: str) -> list[tuple[int, int]]:
     """(bytes saved, template's place) for every template, best first; ties keep the templates' order."""
     data = block.encode()
-    plain = len(zstandard.ZstdCompressor(level=3).compress(data))
+    plain = len(_plain.compress(data))
     got = [(plain - len(c.compress(data)), k) for k, (*_, c) in enumerate(_templates())]
     return sorted(got, key=lambda x: (-x[0], x[1]))
 
@@ -103,8 +118,34 @@ def align(template: list[str], block: list[str]) -> tuple[int, int, int, list[st
     return cost[m][end], j, end, said[::-1]
 
 
+def _saved(compressor: zstandard.ZstdCompressor, text: str) -> int:
+    data = text.encode()
+    return len(_plain.compress(data)) - len(compressor.compress(data))
+
+
+def _extended(text: str, lines: list[tuple[int, int, bool]], first: int, last: int) -> tuple[int, int]:
+    """The block of lines first to last, with the lines before and after it that a leading template still compresses (one that it doesn't may lie between)."""
+    ranked = [(saved, k) for saved, k in savings(text[lines[first][0] : lines[last][1]]) if saved >= LEAST_SAVED]
+    out = [first, last]
+    for saved, k in ranked:
+        if 2 * saved < ranked[0][0]:
+            break
+        compressor = _templates()[k][-1]
+        for end, step in ((1, 1), (0, -1)):
+            span, got, idle = [first, last], saved, 0
+            at = span[end] + step
+            while idle < 2 and 0 <= at < len(lines) and lines[max(at, last)][1] - lines[min(at, first)][0] <= BLOCK_CHARS:
+                new = _saved(compressor, text[lines[min(at, first)][0] : lines[max(at, last)][1]])
+                idle = 0 if new > got else idle + 1
+                if not idle:
+                    got, span[end] = new, at
+                at += step
+            out = [min(out[0], span[0]), max(out[1], span[1])]
+    return out[0], out[1]
+
+
 def blocks(text: str) -> list[tuple[int, str]]:
-    """(place, text) of the candidate blocks: marked lines with those between marks up to three lines apart, cut at white space if long."""
+    """(place, text) of the candidate blocks: marked lines with those between marks up to three lines apart, extended; in overlapping windows if long."""
     low = text.lower()
     if len(low) != len(text):  # lower-casing changed lengths; marks are plain letters
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -121,10 +162,18 @@ def blocks(text: str) -> list[tuple[int, str]]:
             spans[-1][1] = k
         else:
             spans.append([k, k])
-    out = []
+    whole: list[list[int]] = []
     for first, last in spans:
-        # a long template may run on for two more lines
-        a, b = lines[first][0], lines[min(last + 2, len(lines) - 1)][1]
+        first, last = max(first - 1, 0), min(last + 2, len(lines) - 1)
+        if lines[last][1] - lines[first][0] <= BLOCK_CHARS:
+            first, last = _extended(text, lines, first, last)
+        if whole and first <= whole[-1][1]:  # grown together
+            whole[-1] = [min(first, whole[-1][0]), max(last, whole[-1][1])]
+        else:
+            whole.append([first, last])
+    out = []
+    for first, last in whole:
+        a, b = lines[first][0], lines[last][1]
         while b - a > BLOCK_CHARS:
             marks = [x for x in (low.find(m, a, b) for m in MARKS) if x >= 0]
             if not marks:
@@ -169,7 +218,8 @@ def scan(text: str) -> list[tuple[str, int, int, int, int, int, str]]:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """A row for every notice found in ``docs(doc_id, text)``: which licence, where, how many bytes its template saved, and the differences.
 
-    Null and empty texts hold none; repeated rows are each reported; a null doc_id stays null; other columns are ignored.
+    Null and empty texts hold none; long texts are read whole, block by block; of templates that fit equally well the longer, then the first, counts;
+    repeated rows are each reported; a null doc_id stays null; other columns are ignored; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     schema = "doc_id long, license string, template int, saved_bytes int, first_char long, end_char long, differences int, wording string"

@@ -366,6 +366,32 @@ def test_license_scan(spark):
     assert texts[6][1][r.first_char : r.end_char] == "Licensed under the Apache License, Version 2.0"
 
 
+@pytest.mark.parametrize("width", [200, 100, 80, 60, 50, 40, 30])
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_wrapped_notices(width, prefix):
+    """Every template, wrapped at any width behind a comment sign, is found whole and as itself: of all templates none fits better."""
+    import textwrap
+
+    for name, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            notice = "\n".join(prefix + line for line in textwrap.wrap(text, width))
+            source = f"def f():\n    pass\n\n{notice}\n\nx = 1\ny = 2\n"
+            ((found, _, _, a, b, differences, _),) = license_scan.scan(source)
+            plain = [w for w, _, _ in license_scan.words(source)]
+            assert (found, differences) == (name, 0), (name, width, prefix)
+            assert [w for w, _, _ in license_scan.words(source[a:b])] == [w for w, _, _ in license_scan.words(text)]
+            best = min((license_scan.align(t[2], plain)[0], -len(t[2])) for t in license_scan._templates())
+            assert best == (0, -len(license_scan.words(text)))
+
+
+def test_license_odd_tables(spark, none, clashing, docs):
+    assert license_scan.scan_licenses(none).collect() == []
+    assert license_scan.scan_licenses(clashing).collect() == license_scan.scan_licenses(docs).collect() == []
+    long = ("word " * 50 + "\n") * 4000 + "Released under the MIT License.\n" + "more " * 20_000
+    got = license_scan.scan_licenses(spark.createDataFrame([(1, long), (1, long), (None, "Released under the MIT License.")], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.license) for r in got) == [("1", "MIT"), ("1", "MIT"), ("None", "MIT")]
+
+
 def test_license_behind_many_alike():
     for kind in ("General", "Lesser General", "Affero General"):
         text = f"This work is licensed under the GNU {kind} Public License, version 1.\nReleased under the MIT License."
@@ -567,6 +593,60 @@ def test_long_texts_are_searched_in_parts():
     assert (row, k, distance, text.encode()[a:b].decode()) == (0, 0, 0, item)
 
 
+def test_items_across_the_parts_of_a_long_text(monkeypatch):
+    """Words of an item far apart in the raw text, wherever the cuts fall."""
+    monkeypatch.setattr(decontaminate, "_SEGMENT", 512)
+    rng = random.Random(8)
+    item = sentence(rng, 12)
+    index = decontaminate.Items([(5, item)])
+    for gap in (1, 50, 200):
+        for lead in range(0, 400, 37):
+            text = "é " * lead + sentence(rng, 150) + "\n" + (" " * gap).join(item.split()) + " " + sentence(rng, 300)
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ((row, k, a, b, distance),) = decontaminate.find(index, raw, np.array([0, len(raw)]))
+            assert (row, k, distance) == (0, 0, 0) and raw[a:b].tobytes().decode().split() == item.split()
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "tiny one"), (3, "so it is")], "item_id long, text string")
+    texts = {1: "Tell me: who wrote\nHAMLET, and when?", 2: "who wrote hamletian plays", 3: "tiny one", 4: "a tiny one here", 5: "and so it is, then", 6: "also it is", 7: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == {(1, 1), (3, 2), (5, 3)}
+
+
+def test_every_leak_by_edit_distance(spark):
+    """All items against all texts by the whole table of edit distances to any part of the text."""
+    rng = random.Random(9)
+    items = [(k, sentence(rng, rng.randint(6, 20))) for k in range(6)]
+    data = []
+    for i in range(60):
+        words_ = sentence(rng, 30).split()
+        if i % 3:
+            own = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, len(own) // 8)):
+                at, kind = rng.randrange(len(own)), rng.random()
+                own[at : at + (kind < 0.7)] = [rng.choice("xyz")] if kind < 0.4 or kind >= 0.7 else []
+            words_[10:10] = ["".join(own)]
+        data.append((i, " ".join(words_)))
+    index = decontaminate.Items(items)
+    want = set()
+    for i, text in data:
+        reduced = " ".join(text.split())
+        for k, (item_id, _) in enumerate(items):
+            x = index.bytes[k].decode()
+            row = [0] * (len(reduced) + 1)
+            for p in range(1, len(x) + 1):
+                new = [p]
+                for q in range(1, len(reduced) + 1):
+                    new.append(min(row[q - 1] + (x[p - 1] != reduced[q - 1]), row[q] + 1, new[-1] + 1))
+                row = new
+            if min(row) <= index.edits[k]:
+                want.add((i, item_id, min(row)))
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 20
+
+
+
 # ---------------------------------------------------------------- 10: chats
 
 
