@@ -1,15 +1,17 @@
 """Sharding by extendible hashing: shards split on one more hash bit until each fits a byte limit.
 
 The directory is indexed by the leading bits of a document's hash.  A bucket whose documents exceed the limit
-splits on its next bit, others stay as they are, so a shard is the shortest hash prefix that fits.  The
-sizes of all prefixes come from one aggregation by ``DEPTH`` bits; the directory itself is a table, as it grows with the data.
+splits on its next bit, others stay as they are, so a shard is the shortest hash prefix that fits.  Buckets split level by level: the
+bytes of every cell of ``DEPTH`` bits are summed once, each level sums the cells of the buckets still too large by one bit more, and only these go on.
 
-What ``DEPTH`` bits can't split (rows that share a key, or a directory outgrown) is cut exactly: its rows are ordered by a second hash
+What ``DEPTH`` bits can't split (rows that share a key, or a directory outgrown) is cut exactly: its rows are ordered by chunks of a second hash
 and filled into numbered pieces, piece after piece, each within the limit.  A document larger than the limit has a shard to itself.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from ._work import Work, pick
 
 DEPTH = 24
 LIMIT_BYTES = 64_000_000
+#: Buckets of a level up to this many bits are sent to all tasks: at most so many (a million) rows of 16 bytes.
+SENT_BITS = 20
 
 
 def key_hash(key: Column) -> Column:
@@ -29,31 +33,28 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES, depth: int = DEPTH) -> Dat
 
     A shard is (shard_bits, shard_prefix, piece): the documents whose hash begins with the shard_bits bits of
     shard_prefix.  piece is 0 but where a prefix of ``depth`` bits still exceeds ``limit`` bytes: pieces are then filled in
-    order of (hash, doc_id, n_bytes), so every shard holds at most ``limit`` bytes or a single document.
-    n_bytes is the text's UTF-8 length (null: 0).  Rows with equal or null ids share a hash.  Other columns are ignored.
+    order of (a hash of the row in 16 bits, hash, doc_id, n_bytes), so every shard holds at most ``limit`` bytes or a single document.
+    n_bytes is the text's UTF-8 length (null: 0).  Rows with equal or null ids share a hash.  Other columns are ignored; no rows, no shards.
     """
     work = Work(docs.sparkSession, "sharding")
     rows = pick(docs, doc_id="long", text="string").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), key_hash(F.col("doc_id")).alias("hash"))
-    rows = work.write(rows.withColumn("cell", F.shiftright("hash", 60 - depth)), "rows")
-    cells = work.write(rows.groupBy("cell").agg(F.sum("n_bytes").alias("n_bytes")), "cells")
-    # of each cell, the sizes of all its prefixes: a leaf is the first that fits
-    prefixes = cells.select("cell", "n_bytes", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("bits"))
-    prefixes = prefixes.withColumn("prefix", F.call_function("shiftright", F.col("cell"), F.lit(depth) - F.col("bits")))
-    sizes = prefixes.groupBy("bits", "prefix").agg(F.sum("n_bytes").alias("size"))
-    fits = sizes.where(F.col("size") <= limit).select("bits", "prefix")
-    # a fitting prefix is a shard unless its parent fits too
-    parent = fits.select((F.col("bits") + 1).alias("bits"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
-    leaves = work.write(fits.join(parent, ["bits", "prefix"], "left_anti"), "directory")
-    return _assign(rows, cells, leaves, work, limit, depth)
-
-
-def _assign(rows: DataFrame, cells: DataFrame, leaves: DataFrame, work: Work, limit: int, depth: int) -> DataFrame:
-    spots = cells.select("cell", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("bits"))
-    spots = spots.withColumn("prefix", F.call_function("shiftright", F.col("cell"), F.lit(depth) - F.col("bits")))
-    found = cells.select("cell").join(spots.join(leaves, ["bits", "prefix"]).select("cell", "bits", "prefix"), "cell", "left")
+    rows = work.write(rows.withColumns({"cell": F.shiftright("hash", 60 - depth), "row": F.monotonically_increasing_id()}), "rows")
+    open_ = work.write(rows.groupBy("cell").agg(F.sum("n_bytes").alias("n_bytes")), "level")
+    leaves = []
+    for bits in range(depth + 1):
+        prefix = F.shiftright("cell", depth - bits)
+        sizes = open_.groupBy(prefix.alias("prefix")).agg(F.sum("n_bytes").alias("size"))
+        # at most 2 ** bits buckets
+        sizes = F.broadcast(sizes) if bits <= SENT_BITS else sizes
+        level = work.write(open_.withColumn("prefix", prefix).join(sizes, "prefix"), f"level-{bits}")
+        leaves.append(level.where(F.col("size") <= limit).select("cell", F.lit(bits).alias("bits"), "prefix"))
+        open_ = level.where(F.col("size") > limit).select("cell", "n_bytes")
+        if open_.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, leaves)
     placed = rows.join(found, "cell", "left")
     inside = placed.where("bits IS NOT NULL").select("doc_id", "n_bytes", F.col("bits").alias("shard_bits"), F.col("prefix").alias("shard_prefix"), F.lit(0).cast("long").alias("piece"))
-    return inside.unionByName(_pieces(placed.where("bits IS NULL"), limit, depth))
+    return inside if open_.isEmpty() else inside.unionByName(_pieces(placed.where("bits IS NULL"), limit, depth))
 
 
 def _pieces(rows: DataFrame, limit: int, depth: int) -> DataFrame:
@@ -63,16 +64,18 @@ def _pieces(rows: DataFrame, limit: int, depth: int) -> DataFrame:
     which keeps pieces of documents up to half the limit within it; larger documents get pieces of their own.
     """
     half = max(1, limit // 2)
-    large = rows.where(F.col("n_bytes") > half)
-    small = rows.where(F.col("n_bytes") <= half)
-    number = lambda df, w: df.withColumn("piece", F.row_number().over(w).cast("long"))
-    chunk = small.withColumn("chunk", F.pmod(F.xxhash64("hash", "doc_id", "n_bytes"), F.lit(1 << 16)))
-    totals = chunk.groupBy("cell", "chunk").agg(F.sum("n_bytes").alias("t"))
-    before = totals.withColumn("base", F.sum("t").over(Window.partitionBy("cell").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))).select("cell", "chunk", F.coalesce("base", F.lit(0)).alias("base"))
-    within = Window.partitionBy("cell", "chunk").orderBy("hash", "doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1)
-    small = chunk.withColumn("run", F.coalesce(F.sum("n_bytes").over(within), F.lit(0))).join(before, ["cell", "chunk"])
-    small = small.withColumn("piece", -F.floor((F.col("base") + F.col("run")) / half).cast("long") - 1)
-    large = number(large, Window.partitionBy("cell").orderBy("hash", "doc_id", "n_bytes"))
+    chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("hash", "doc_id", "n_bytes", "row"), F.lit(1 << 16)))
+
+    def running(part: DataFrame, amount: Column) -> DataFrame:
+        """``before``: the sum of ``amount`` over the rows of the cell before each row; a cell has at most 65,536 chunks, a chunk a 65,536th of it."""
+        order = Window.partitionBy("cell").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        totals = part.groupBy("cell", "chunk").agg(F.sum(amount).alias("t"))
+        base = totals.select("cell", "chunk", F.coalesce(F.sum("t").over(order), F.lit(0)).alias("base"))
+        within = Window.partitionBy("cell", "chunk").orderBy("hash", "doc_id", "n_bytes", "row").rowsBetween(Window.unboundedPreceding, -1)
+        return part.withColumn("run", F.coalesce(F.sum(amount).over(within), F.lit(0))).join(base, ["cell", "chunk"]).withColumn("before", F.col("base") + F.col("run"))
+
+    small = running(chunk.where(F.col("n_bytes") <= half), F.col("n_bytes")).withColumn("piece", -F.floor(F.col("before") / half).cast("long") - 1)
+    large = running(chunk.where(F.col("n_bytes") > half), F.lit(1).cast("long")).withColumn("piece", F.col("before") + 1)
     cols = ["doc_id", "n_bytes", F.lit(depth).alias("shard_bits"), F.col("cell").alias("shard_prefix"), "piece"]
     return small.select(*cols).unionByName(large.select(*cols))
 
