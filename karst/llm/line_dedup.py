@@ -111,11 +111,13 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES, min_points: int = MIN
     stored = work.write(lines, "lines")
     runs = LineRuns(spark, work, parallelism(spark))
     parts = []
-    for b in range(len(cuts) + 1):
-        out = runs.add(stored.where(F.col("batch") == b).drop("batch"), f"batch-{b}", last=b == len(cuts))
-        out = out.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("dropped"))
-        parts.append(work.write(out, f"dropped-{b}"))
-    runs.drop()
+    try:
+        for b in range(len(cuts) + 1):
+            out = runs.add(stored.where(F.col("batch") == b).drop("batch"), f"batch-{b}", last=b == len(cuts))
+            out = out.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("dropped"))
+            parts.append(work.write(out, f"dropped-{b}"))
+    finally:
+        runs.drop()  # the runs are tables of the catalogue, also where a batch fails
     work.drop("lines")
     every = parts[0]
     for p in parts[1:]:

@@ -5,7 +5,7 @@ punctuation mark, collapsed); the features are word 1- and 2-grams and shape 1-,
 weighed by count over the vector's length.  Only the text is an input.  Scores are sparse dot products through the logistic function.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled documents, those with the smallest hashes of doc_id, however
-large the corpus is; everything is scored.
+large the corpus is, without those of them over ``TRAIN_BYTES``; everything is scored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from . import _text as T
 from ._work import pick, ship
 
 DIMENSIONS = 1 << 18
-TRAIN_ROWS = 8192
+TRAIN_ROWS, TRAIN_BYTES = 8192, 1 << 15
 #: At least EPOCHS passes over the training rows, and more (up to MOST_EPOCHS) where they make fewer than UPDATES updates.
 EPOCHS, MOST_EPOCHS, UPDATES = 3, 30, 20_000
 THRESHOLD = 0.3
@@ -100,14 +100,15 @@ def _fit(table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights from ``labels(doc_id, quality)`` of ``docs(doc_id, text)``, without the held-out fifth.
 
-    Labels that are null are left out; without any label all weights are 0.
+    Labels that are null are left out; of several labels of one document the largest counts.  Repeated rows of a document are each
+    learned from.  Without any label, or any document that has one, all weights are 0.
     """
     ship(docs.sparkSession)
     labels = pick(labels, doc_id="long", quality="int").where("quality IS NOT NULL AND doc_id IS NOT NULL")
     chosen = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", (F.col("quality") > 0).cast("int").alias("label"), F.xxhash64("doc_id").alias("ord"))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy("ord", "doc_id").limit(rows)
+    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("ord").alias("ord")).orderBy("ord", "doc_id").limit(rows)
     # at most ``rows`` rows of 20 bytes are sent to the executors
-    sample = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
+    sample = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
     vectors = sample.select("ord", "label", "text").mapInArrow(_train_rows, "ord long, label int, index binary, value binary")
     got = vectors.groupBy(F.lit(0).alias("all")).applyInArrow(_fit, "weights binary").collect()
     return np.frombuffer(got[0].weights, np.float32) if got else np.zeros(DIMENSIONS, np.float32)
@@ -123,7 +124,10 @@ def _scores(column, weights: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, score) of every row of ``docs(doc_id, text)``; a null text counts as empty, an empty one scores the constant."""
+    """(doc_id, score) of every row of ``docs(doc_id, text)``; a null text counts as empty, an empty one scores the constant.
+
+    Texts are scored whole; equal texts score the same; other columns are ignored; no rows give no rows.
+    """
     shared = ship(docs.sparkSession).sparkContext.broadcast(weights)
 
     def run(batches):
@@ -134,7 +138,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; null counts as empty, repeated rows are each judged."""
     shared = ship(docs.sparkSession).sparkContext.broadcast(weights)
 
     def run(batches):

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from karst.llm import _text as T
 from karst.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality_model, quality_rules, sharding, substring_dedup
@@ -671,3 +673,65 @@ def test_chats(spark):
     text = "".join(r.formatted for r in chat_format.format_chats(df).where("conv_id = 1").orderBy("turn").collect())
     assert got[1].formatted_chars == len(text) and text.endswith("<|im_start|>assistant\nGood day<|im_end|>\n")
     assert chat_format.digests(chat_format.format_chats(df.limit(0))).collect() == []
+
+
+# ---------------------------------------------------------------- odd tables
+
+
+def test_chats_read_back_in_any_order(spark, tmp_path):
+    rng = random.Random(4)
+    events = [(c, t, 0, "message", rng.choice(["user", "assistant"]), rng.choice(["same", "same", "<|im_end|>", "x" * 50_000])) for c in range(12) for t in rng.choices(range(4), k=9)] + [(None, None, None, "message", None, None)]
+    log = spark.createDataFrame(events, "conv_id long, turn long, seq long, kind string, role string, text string").withColumns({"place": F.lit("x"), "formatted": F.lit("x"), "loss_from": F.lit("x")})
+    out = chat_format.format_chats(log)
+    want = sorted(map(tuple, chat_format.digests(out, ordered=True).collect()), key=str)
+    out.repartition(7, "formatted").write.parquet(str(tmp_path / "chats"))
+    assert sorted(map(tuple, chat_format.digests(spark.read.parquet(str(tmp_path / "chats"))).collect()), key=str) == want and len(want) == 13
+    assert chat_format.digests(chat_format.format_chats(log.limit(0))).collect() == []
+
+
+def test_bpe_and_model_on_odd_tables(spark, none, clashing, docs):
+    source = bpe.read_file()
+    assert bpe.digests(none, source).collect() == [] and bpe.coded(none, source).collect() == []
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(bpe.digests(clashing, source), bpe.digests(docs, source))
+    weights = np.zeros(quality_model.DIMENSIONS, np.float32)
+    weights[::3] = 0.5
+    assert quality_model.score(none, weights).collect() == []
+    assert same(quality_model.score(clashing, weights), quality_model.score(docs, weights))
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert same(decontaminate.matches(clashing, items), decontaminate.matches(docs, items))
+    assert same(sharding.shards(clashing, 1000, 6), sharding.shards(docs, 1000, 6))
+    assert quality_rules.judge(none).collect() == []
+    assert same(quality_rules.judge(clashing), quality_rules.judge(docs))
+    long = spark.createDataFrame([(1, "word " * 200_000), (1, "word " * 200_000)], "doc_id long, text string")
+    assert len({r.score for r in quality_model.score(long, weights).collect()}) == 1
+
+
+def test_updates_by_the_book(spark):
+    """The trained weights are those of a plain loop over follow-the-regularised-leader updates, in order of the documents' hashes."""
+    rng = random.Random(12)
+    texts = [(i, sentence(rng, rng.randint(3, 40))) for i in range(60)]
+    labels = [(i, i % 2) for i in range(60)] + [(1, 0), (3, None), (None, 1)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    marked = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality_model.train(docs, marked)
+    assert (got == quality_model.train(docs.repartition(5), marked.orderBy(F.rand(1)))).all()
+    order = [r.doc_id for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    vectors = {}
+    for i, t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        _, index, value = quality_model.features(data, np.array([0, len(data)]))
+        vectors[i] = list(zip(index.tolist(), value.astype(np.float32).astype(float).tolist()))
+    z, n, w = defaultdict(float), defaultdict(float), defaultdict(float)
+    q = quality_model
+    for _ in range(q.MOST_EPOCHS):
+        for i in order:
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in vectors[i])))
+            for k, v in vectors[i]:
+                g = (p - i % 2) * v
+                z[k] += g - (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / q.ALPHA * w[k]
+                n[k] += g * g
+                w[k] = 0.0 if abs(z[k]) <= q.L1 else -(z[k] - np.sign(z[k]) * q.L1) / ((q.BETA + np.sqrt(n[k])) / q.ALPHA + q.L2)
+    for k in w:
+        assert abs(got[k] - w[k]) < 1e-4
+    assert np.count_nonzero(got) <= len(w)
