@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality_model, quality_rules, sharding, substring_dedup
+from . import bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality_model, quality_rules, sale_enrichment, sharding, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_model": quality_model.op8_quality_model,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op12_sale_enrichment": sale_enrichment.op12_sale_enrichment,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
+    "op12_sale_enrichment": sale_enrichment.ORACLE_SQL,
 }
