@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality_model, quality_rules, sale_enrichment, sharding, substring_dedup
+from . import bpe, chat_format, decontaminate, fill_middle, license_scan, line_dedup, ngram_join, quality_model, quality_rules, sale_enrichment, sharding, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat_format": chat_format.op10_chat_format,
     "op12_sale_enrichment": sale_enrichment.op12_sale_enrichment,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
     "op12_sale_enrichment": sale_enrichment.ORACLE_SQL,
+    "op13_fill_middle": fill_middle.ORACLE_SQL,
 }
