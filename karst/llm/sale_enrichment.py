@@ -294,6 +294,8 @@ def complete(out: DataFrame) -> DataFrame:
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # each start runs one batch, after which its stores, a few MB of local disk each, are of no use
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": str(STREAM_ROWS),
 }
 
