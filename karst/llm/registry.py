@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, fill_middle, license_scan, line_dedup, ngram_join, quality_model, quality_rules, sale_enrichment, sharding, substring_dedup
+from . import bpe, chat_format, decontaminate, fill_middle, license_scan, line_dedup, ngram_join, quality_model, quality_rules, sale_enrichment, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_model": quality_model.op8_quality_model,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_simhash": simhash.op11_simhash,
     "op12_sale_enrichment": sale_enrichment.op12_sale_enrichment,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
