@@ -131,13 +131,13 @@ def best_alignment(item: bytes, region: bytes, edits: int) -> tuple[int, int, in
 
 
 def _reduced(data: np.ndarray, offs: np.ndarray, overlap: int):
-    """(rows, bytes, offsets, places in ``data``): of whole texts, or of parts of one long text that overlap by ``overlap`` reduced bytes."""
+    """(rows, bytes, offsets, places in ``data``, whether the texts' beginnings and ends are there): of whole texts, or of parts of one long text that overlap by ``overlap`` reduced bytes."""
     size = int(offs[-1])
     if size <= 2 * _SEGMENT or len(offs) > 2:
-        yield np.arange(len(offs) - 1), *normal(data, offs)
+        yield np.arange(len(offs) - 1), *normal(data, offs), True, True
         return
     text, place = np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    at = 0
+    at, begins = 0, True
     while at < size:
         end = min(size, at + _SEGMENT)
         while end < size and data[end] & 0xC0 == 0x80:  # not within a character
@@ -146,15 +146,16 @@ def _reduced(data: np.ndarray, offs: np.ndarray, overlap: int):
         before = min(at, 1)
         new, _, where = normal(data[at - before : end], np.array([0, end - at + before]))
         own = where >= before
+        begins = begins and len(text) <= overlap  # nothing of the text was let go yet
         text, place = np.concatenate([text[-overlap:], new[own]]), np.concatenate([place[-overlap:], where[own] + at - before])
-        yield np.zeros(1, np.int64), text, np.array([0, len(text)]), place
+        yield np.zeros(1, np.int64), text, np.array([0, len(text)]), place, begins, end == size
         at = end
 
 
 def find(items: Items, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item, first byte, end byte, distance): the best place of every item in every text that holds it."""
     best: dict[tuple[int, int], tuple] = {}
-    for rows, text, at, place in _reduced(data, offs, 2 * items.most + 64):
+    for rows, text, at, place, begins, ends in _reduced(data, offs, 2 * items.most + 64):
         if items.short and len(rows) == len(offs) - 1:
             for r in range(len(rows)):
                 for k in items.short.get(text[at[r] : at[r + 1]].tobytes().rstrip(b" "), ()) if at[r + 1] - at[r] <= SHORT else ():
@@ -186,8 +187,12 @@ def find(items: Items, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, in
         code, item = code[good], item[good]
         for c, k in zip(code.tolist(), item.tolist(), strict=True):
             r, w, e = c // span // len(items.ids), int(items.edits[k]) + 1, int(items.edits[k])
-            left = max(int(at[r]), (c % span) * w - items.most - e)
-            right = min(int(at[r + 1]), (c % span) * w - items.most + 2 * w + int(items.size[k]) + e)
+            left = (c % span) * w - items.most - e
+            right = left + 2 * (w + e) + int(items.size[k])
+            # one byte more on either side says where words end; what an inner edge cuts off is whole in the part beside
+            if (left < 1 and not begins) or (right + 1 > len(text) and not ends):
+                continue
+            left, right = max(int(at[r]), left), min(int(at[r + 1]), right)
             found = best_alignment(items.bytes[k], text[left:right].tobytes(), e)
             if found and found[0] < best.get((int(rows[r]), k), (1 << 30,))[0]:
                 first, last = left + found[1], left + found[2]
