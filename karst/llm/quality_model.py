@@ -4,8 +4,8 @@ A word contributes its own hash and the hash of its shape (runs of letters, capi
 punctuation mark, collapsed); the features are word 1- and 2-grams and shape 1-, 2- and 3-grams, hashed to ``DIMENSIONS`` and
 weighed by count over the vector's length.  Only the text is an input.  Scores are sparse dot products through the logistic function.
 
-The model is fitted on at most ``TRAIN_ROWS`` labelled documents, those with the smallest hashes of doc_id, however
-large the corpus is, without those of them over ``TRAIN_BYTES``; everything is scored.
+The model is fitted on at most ``TRAIN_ROWS`` labelled documents of up to ``TRAIN_BYTES``, those with the smallest hashes of doc_id, however
+large the corpus is, one row each; everything is scored.
 """
 
 from __future__ import annotations
@@ -97,18 +97,20 @@ def _fit(table: pa.Table) -> pa.Table:
     return pa.table({"weights": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> np.ndarray:
     """Weights from ``labels(doc_id, quality)`` of ``docs(doc_id, text)``, without the held-out fifth.
 
-    Labels that are null are left out; of several labels of one document the largest counts.  Repeated rows of a document are each
-    learned from.  Without any label, or any document that has one, all weights are 0.
+    Learned from are at most ``rows`` documents with a text of up to ``size`` bytes.  Labels that are null are left out; of several labels of one document the largest
+    counts, of several texts of one doc_id the one with the smallest hash.  Without any label, or any document that has one, all weights are 0.
     """
     ship(docs.sparkSession)
     labels = pick(labels, doc_id="long", quality="int").where("quality IS NOT NULL AND doc_id IS NOT NULL")
-    chosen = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", (F.col("quality") > 0).cast("int").alias("label"), F.xxhash64("doc_id").alias("ord"))
-    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("ord").alias("ord")).orderBy("ord", "doc_id").limit(rows)
-    # at most ``rows`` rows of 20 bytes are sent to the executors
-    sample = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    labels = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("int")).alias("label"))
+    texts = pick(docs, doc_id="long", text="string").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= size).withColumn("name", F.xxhash64("text"))
+    one = texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("name").alias("name"))
+    chosen = one.join(labels, "doc_id").select("doc_id", "name", "label", F.xxhash64("doc_id").alias("ord")).orderBy("ord", "doc_id").limit(rows)
+    # at most ``rows`` rows of 28 bytes are sent to the executors; rows repeated whole meet in the aggregation, one from each task
+    sample = texts.join(F.broadcast(chosen), ["doc_id", "name"]).groupBy("doc_id", "ord", "label").agg(F.min("text").alias("text"))
     vectors = sample.select("ord", "label", "text").mapInArrow(_train_rows, "ord long, label int, index binary, value binary")
     got = vectors.groupBy(F.lit(0).alias("all")).applyInArrow(_fit, "weights binary").collect()
     return np.frombuffer(got[0].weights, np.float32) if got else np.zeros(DIMENSIONS, np.float32)

@@ -278,6 +278,22 @@ def test_passages_on_both_sides(monkeypatch, docs, rows, small, heads, hot):
     assert all(k == v for k, v in least.items())
 
 
+def test_no_passage_of_a_quoted_text_is_lost(spark):
+    """Many documents that quote one text at places a few words apart, and near copies with one edit each: groups far over SMALL."""
+    rng = random.Random(12)
+    table = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    source = sentence(rng, 700).split()
+    quotes = [(k, f"{sentence(rng, 25)} {' '.join(source[3 * k : 3 * k + 60])} {sentence(rng, 25)}") for k in range(200)]
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(table(quotes)).collect()}
+    assert len(got) == 200 and {r.class_id for r in got.values()} == {0}
+    # each quoted word that another document quotes too, in a stretch of 50 words or more
+    assert all(any(p["first"] <= 25 and p["end"] >= 85 for p in got[k].passages) for k in range(4, 196))
+    text = sentence(rng, 60)
+    near = [(k, f"{sentence(rng, 25)} {edited(rng, text, 'change')} {sentence(rng, 25)}") for k in range(150)]
+    got = {r.doc_id for r in substring_dedup.repeated_passages(table(near)).collect()}
+    assert len(got) >= 147
+
+
 def shingled(text):
     w = words(text)
     return np.array([int.from_bytes(hashlib.blake2b(" ".join(w[k : k + 5]).encode(), digest_size=8).digest(), "little") for k in range(len(w) - 4)], np.uint64)
@@ -533,6 +549,19 @@ def test_classifier_generalises(spark, none):
     assert not quality_model.train(none, none.selectExpr("doc_id", "1 AS quality")).any()
 
 
+def test_training_takes_one_row_a_document(spark):
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, 40) if i % 2 else sentence(rng, 40).upper()) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    table = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    one = quality_model.train(table(rows), labels)
+    many = quality_model.train(table(rows).union(table(rows[7:8]).crossJoin(spark.range(20_000)).select("doc_id", "text")), labels)
+    assert one.any() and (one == many).all()
+    # long texts do not use up the rows
+    size = max(len(t) for _, t in rows)
+    assert (quality_model.train(table([*rows, *((i, sentence(rng, 400)) for i in range(40, 80))]), labels.union(spark.range(40, 80).selectExpr("id", "1")), 40, size) == one).all()
+
+
 # ---------------------------------------------------------------- 9: decontamination
 
 
@@ -609,6 +638,25 @@ def test_items_across_the_parts_of_a_long_text(monkeypatch):
             assert (row, k, distance) == (0, 0, 0) and raw[a:b].tobytes().decode().split() == item.split()
 
 
+@pytest.mark.parametrize("lead", [0, 3, 700])
+def test_every_cut_equals_the_uncut_search(monkeypatch, lead):
+    """Edited and short items, and items that only begin or end a longer word, with the parts of a long text cut at every place."""
+    rng = random.Random(10)
+    long = sentence(rng, 14)
+    items = decontaminate.Items([(1, "the red fox ran"), (2, long), (3, sentence(rng, 9))])
+    edited_ = long[:20] + "x" + long[21:]
+    text = " " * lead + f"{sentence(rng, 6)} the red foxy qthe red fox rang {edited_} {sentence(rng, 4)} the red fox rang {sentence(rng, 90)} the red fox ran"
+    if lead == 3:
+        text = text[: text.rindex(" the")]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    offs = np.array([0, len(raw)])
+    want = decontaminate.find(items, raw, offs)
+    assert [x[1] for x in want] == ([1] if lead == 3 else [0, 1])
+    for cut in range(40, len(raw) // 2 + 1):
+        monkeypatch.setattr(decontaminate, "_SEGMENT", cut)
+        assert decontaminate.find(items, raw, offs) == want, cut
+
+
 def test_short_items(spark):
     items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "tiny one"), (3, "so it is")], "item_id long, text string")
     texts = {1: "Tell me: who wrote\nHAMLET, and when?", 2: "who wrote hamletian plays", 3: "tiny one", 4: "a tiny one here", 5: "and so it is, then", 6: "also it is", 7: None}
