@@ -90,7 +90,7 @@ _SQL = {
     "tool_count": "(v ARRAY<STRING>) RETURNS BIGINT RETURN size(filter(v, x -> x IS NOT NULL))",
     "tool_sort": "(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN array_sort(filter(v, x -> x IS NOT NULL AND NOT isnan(x)))",
     "tool_index": "(v ARRAY<DOUBLE>, q DOUBLE) RETURNS BIGINT RETURN nullif(array_position(filter(v, x -> x IS NOT NULL AND NOT isnan(x)), q), 0) - 1",
-    "tool_rank": "(v ARRAY<DOUBLE>, q DOUBLE) RETURNS BIGINT RETURN CASE WHEN array_contains(v, q) THEN 1 + size(filter(v, x -> x > q)) END",
+    "tool_rank": "(v ARRAY<DOUBLE>, q DOUBLE) RETURNS BIGINT RETURN CASE WHEN array_contains(v, q) THEN 1 + size(filter(v, x -> x > q AND NOT isnan(x))) END",
 }
 
 
