@@ -3,12 +3,12 @@
 Both tables arrive in batches by day of arrival, are unioned to one stream of narrow rows and meet in a ``transformWithState`` query
 that is started anew for every batch on one checkpoint.  Its state is two ListStates: the clients' versions, sorted by client, valid
 time and change, and the sales that wait.  A clock row for every state key comes with each batch, an empty one too, and carries both
-watermarks.  A call of the processor adds the batch's changes (or calls them late), bisects the sorted versions for every sale whose
+watermarks; the one that ends all waiting comes with the last.  A call of the processor adds the batch's changes (or calls them late), bisects the sorted versions for every sale whose
 time is settled, emits these, and then prunes what no later sale may take.
 
 A state key is a shard of clients, not one client: every call costs some milliseconds in PySpark, whatever it holds, and a list element
 tenths of one, so clients are gathered by hash and each list element holds a block of packed columns.  Within a shard everything
-is done client by client on arrays.  ``SHARDS`` times the shuffle partitions are made, more where a shard would get over ``SHARD_ROWS``.
+is done client by client on arrays.  Each shuffle partition has one shard, more where a shard would get over ``SHARD_ROWS``.
 
 A client with more rows than a shard's share is cut into pieces of valid time, each with a shard of its own; neither its sales nor its
 versions meet in one task.  A piece answers its sales from its own versions and states, for each batch, its last version, its
@@ -36,10 +36,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ._work import Work, parallelism, ship
+from ._work import Work, ship
 
-#: State keys for each shuffle partition, and the rows of all batches that one should get at most.
-SHARDS, SHARD_ROWS = 4, 1_000_000
+#: The rows of all batches that a shard should get at most; pieces of a large client for each share of a shard in a batch.
+SHARD_ROWS, PIECES = 1_000_000, 4
 #: Rows of one Arrow batch to the processor; rows of one packed element of a ListState.
 STREAM_ROWS, BLOCK_ROWS = 20_000, 50_000
 BATCHES = 10
@@ -88,11 +88,11 @@ def feed_rows(sales: DataFrame, changes: DataFrame, batches: int = BATCHES) -> D
 
 
 def clocks(rows: DataFrame, batches: int) -> tuple[list[tuple[int, int]], int, int, int]:
-    """The watermark of changes and the smaller of both for every batch, the number of rows and the times that bound their middle 98 %."""
+    """The watermark of changes and the smaller of both for every batch, the number of rows and the times that bound all but a thousandth on either side."""
     known = rows.where(F.col("nulls").bitwiseAND(NO_TIME) == 0)
     last = {(r.kind, r.batch): r.last for r in known.groupBy("kind", "batch").agg(F.max("at").alias("last")).collect()}
     total = rows.agg(F.count("*").alias("n")).first().n
-    ends = known.agg(F.percentile_approx("at", [0.01, 0.99], 1000).alias("p")).first().p or [0, 0]
+    ends = known.agg(F.percentile_approx("at", [0.001, 0.999], 10_000).alias("p")).first().p or [0, 0]
     marks, high = [], {"s": None, "c": None}
     for b in range(batches):
         marks.append(tuple(BEFORE if high[k] is None else high[k] - DAY for k in ("s", "c")))
@@ -100,12 +100,20 @@ def clocks(rows: DataFrame, batches: int) -> tuple[list[tuple[int, int]], int, i
     return [(c, min(s, c)) for s, c in marks], total, ends[0], ends[1]
 
 
-def deal(rows: DataFrame, shards: int, batches: int, total: int, low: int, high: int) -> DataFrame:
-    """Rows with their shard, and the piece of those clients that have more rows than a shard's share."""
+def state_keys(spark: SparkSession, partitions: int, each: int) -> DataFrame:
+    """(slot, shard): state keys of which Spark's hash partitioning sends ``each`` to every partition, numbered from 0."""
+    at = F.pmod(F.hash("id"), F.lit(partitions))
+    nth = F.row_number().over(Window.partitionBy("p").orderBy("shard")) - 1
+    found = spark.range(64 * partitions * each).select(at.alias("p"), F.col("id").alias("shard")).withColumn("n", nth).where(F.col("n") < each)
+    return found.select((F.col("n") * partitions + F.col("p")).cast("long").alias("slot"), "shard")
+
+
+def deal(rows: DataFrame, keys: DataFrame, shards: int, batches: int, total: int, low: int, high: int) -> DataFrame:
+    """Rows with their shard, of ``shards`` keys, and the piece of those clients that have more rows than a shard's share."""
     share = max(1, total // shards)
     many = rows.where(F.col("nulls").bitwiseAND(NO_CLIENT) == 0).groupBy("client").count().where(F.col("count") > share)
     # fewer than ``shards`` clients can have more than the share, so this is bounded by the cluster's settings; in a batch only some pieces are met
-    many = many.select(F.col("client").alias("_client"), F.ceil(F.col("count") * batches / share).cast("int").alias("_pieces"))
+    many = many.select(F.col("client").alias("_client"), F.ceil(F.col("count") * (PIECES * batches) / share).cast("int").alias("_pieces"))
     has_client = F.col("nulls").bitwiseAND(NO_CLIENT) == 0
     dealt = rows.join(F.broadcast(many), has_client & (F.col("client") == F.col("_client")), "left")
     by_time = F.floor((F.col("at") - F.lit(low)) * (F.col("_pieces") / F.lit(float(max(1, high - low + 1)))))
@@ -113,15 +121,16 @@ def deal(rows: DataFrame, shards: int, batches: int, total: int, low: int, high:
     piece = F.when(F.col("nulls").bitwiseAND(NO_TIME) != 0, by_id).otherwise(F.least(F.greatest(by_time, F.lit(0)), F.col("_pieces") - 1))
     piece = F.when(F.col("_pieces").isNull(), F.lit(-1)).otherwise(piece).cast("int")
     key = F.when(has_client, F.xxhash64("client", piece)).otherwise(F.xxhash64("id", "at"))
-    return dealt.select(F.pmod(key, F.lit(shards)).alias("shard"), "kind", "id", "client", piece.alias("piece"), "at", "other", "cents", "op", "nulls", "batch")
+    dealt = dealt.withColumns({"slot": F.pmod(key, F.lit(shards)), "piece": piece}).join(F.broadcast(keys), "slot")
+    return dealt.select("shard", "kind", "id", "client", "piece", "at", "other", "cents", "op", "nulls", "batch")
 
 
-def _clock_rows(spark: SparkSession, marks: list[tuple[int, int]], shards: int) -> DataFrame:
+def _clock_rows(keys: DataFrame, marks: list[tuple[int, int]]) -> DataFrame:
     """A row for every shard and batch with both marks (``at``: of changes, ``other``: the smaller), and one more batch when all is settled."""
-    told = spark.createDataFrame([(b, c, h) for b, (c, h) in enumerate([*marks, (AFTER, AFTER)])], "batch int, at long, other long")
+    told = keys.sparkSession.createDataFrame([(b, c, h) for b, (c, h) in enumerate([*marks, (AFTER, AFTER)])], "batch int, at long, other long")
     zero = F.lit(0).cast("long")
-    return spark.range(shards).join(F.broadcast(told)).select(
-        F.col("id").alias("shard"), F.lit("k").alias("kind"), zero.alias("id"), zero.alias("client"), F.lit(-1).alias("piece"), "at", "other",
+    return keys.join(F.broadcast(told)).select(
+        "shard", F.lit("k").alias("kind"), zero.alias("id"), zero.alias("client"), F.lit(-1).alias("piece"), "at", "other",
         zero.alias("cents"), F.lit(None).cast("string").alias("op"), F.lit(0).alias("nulls"), "batch",
     )
 
@@ -310,8 +319,10 @@ def enrich(sales: DataFrame, changes: DataFrame, batches: int = BATCHES) -> Data
     work = Work(spark, "sales")
     rows = feed_rows(sales, changes, batches)
     marks, total, low, high = clocks(rows, batches)
-    shards = max(SHARDS * parallelism(spark), math.ceil(total / SHARD_ROWS))
-    fed = deal(rows, shards, batches, total, low, high).unionByName(_clock_rows(spark, marks, shards))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = max(1, math.ceil(total / SHARD_ROWS / partitions))
+    keys = work.write(state_keys(spark, partitions, each), "keys", 1)
+    fed = deal(rows, keys, partitions * each, batches, total, low, high).unionByName(_clock_rows(keys, marks))
     fed.write.partitionBy("batch").parquet(work.path("cut"))
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
     files = hadoop(work.path("feed")).getFileSystem(conf)
@@ -322,9 +333,11 @@ def enrich(sales: DataFrame, changes: DataFrame, batches: int = BATCHES) -> Data
     try:
         for k, v in _SETTINGS.items():
             spark.conf.set(k, v)
-        for b in range(batches + 1):
-            if not files.rename(hadoop(work.path(f"cut/batch={b}")), hadoop(work.path(f"feed/batch={b}"))):
-                raise OSError(f"cannot move batch {b} in {work.root}")
+        for b in range(batches):
+            # the clock after the last batch comes with it: the processor takes batches one after another
+            for part in [b, b + 1] if b == batches - 1 else [b]:
+                if not files.rename(hadoop(work.path(f"cut/batch={part}")), hadoop(work.path(f"feed/batch={part}"))):
+                    raise OSError(f"cannot move batch {part} in {work.root}")
             stream = spark.readStream.schema(_FEED).parquet(work.path("feed"))
             found = stream.groupBy("shard").transformWithStateInPandas(Enrich(), _OUT, "Append", "None")
             query = found.writeStream.format("parquet").outputMode("append").option("path", work.path("out")).option("checkpointLocation", work.path("state")).trigger(availableNow=True).start()
