@@ -30,10 +30,12 @@ class Cube:
         listed = F.sort_array(F.collect_list(F.struct("pos", F.col("country_code").alias("code"), F.col("country_name").alias("name"))))
         return self.geo.where("region IS NOT NULL").groupBy("region").agg(listed.alias("members"))
 
-    def series(self) -> DataFrame:
+    def series(self, asked: DataFrame | None = None) -> DataFrame:
+        """(country_code, indicator_code, by_year); ``asked(property)`` are the rows that will meet it, for cubes that can prune by them."""
         return self.known().groupBy("country_code", "indicator_code").agg(F.map_from_entries(F.collect_list(F.struct("year", "value"))).alias("by_year"))
 
-    def vectors(self) -> DataFrame:
+    def vectors(self, asked: DataFrame | None = None) -> DataFrame:
+        """(region, indicator_code, year, have); ``asked`` as for series."""
         home = small(self.geo.select("country_code", "region"))
         have = self.known().join(home, "country_code").where("region IS NOT NULL").groupBy("region", "indicator_code", "year")
         return have.agg(F.map_from_entries(F.collect_list(F.struct("country_code", "value"))).alias("have"))
@@ -47,7 +49,7 @@ class Cube:
 
 def with_series(questions: DataFrame, cube: Cube, subjects: list[str]) -> DataFrame:
     """Adds ``s_<slot>``, the by-year map of each subject slot's country."""
-    series = cube.series()
+    series = cube.series(questions.select("property"))
     for slot in subjects:
         side = series.select(F.col("country_code").alias(slot), F.col("indicator_code").alias("property"), F.col("by_year").alias(f"s_{slot}"))
         questions = questions.join(side, [slot, "property"], "left")
@@ -56,7 +58,7 @@ def with_series(questions: DataFrame, cube: Cube, subjects: list[str]) -> DataFr
 
 def with_vectors(questions: DataFrame, cube: Cube, wanted: list[tuple[str, str]]) -> DataFrame:
     """Adds ``v_<region>_<year>`` for each (region slot, year slot): an array of (code, name, value), dense."""
-    vectors = cube.vectors()
+    vectors = cube.vectors(questions.select("property"))
     members = small(cube.members(), cube.geo)
     for slot in dict.fromkeys(r for r, _ in wanted):
         questions = questions.join(members.select(F.col("region").alias(slot), F.col("members").alias(f"m_{slot}")), slot, "left")

@@ -12,7 +12,9 @@ from ..functions import numeric as N
 from ..functions import text as X
 from ..functions.registry import TOOLS, catalogue
 from ..operators import dispatch, lookup, matcher, provenance, rows, scoring
-from ..sources import files, star
+from ..session import new_folder
+from ..sources import files, keyed, sinks, star, stores
+from ..streaming import stops
 from . import oracle as O
 from . import questions as Q
 from .actions import gold_actions
@@ -166,16 +168,19 @@ def lookup_region_members(spark, sf_dir):
     return lookup.region_members(args, star.geo(spark, sf_dir)).select("region", F.array_join("country_codes", ",").alias("country_codes"), "status")
 
 
+def _order_asks(spark, sf_dir) -> DataFrame:
+    orders = star.table(spark, sf_dir, "orders").join(star.table(spark, sf_dir, "customer"), C("o_custkey") == C("c_custkey"))
+    segment = F.when(C("o_orderkey") % 11 == 0, "NONE").otherwise(C("c_mktsegment"))
+    return orders.select("o_orderkey", (C("o_orderkey") % 27).cast("string").alias("country_code"), F.concat_ws("|", "o_orderpriority", segment).alias("indicator_code"), F.year("o_orderdate").alias("year"))
+
+
 @query(
     "lookup_retrieve_value",
     f"WITH {O.OBS}, a AS (SELECT o_orderkey, CAST(o_orderkey % 27 AS VARCHAR) AS code, o_orderpriority || '|' || CASE WHEN o_orderkey % 11 = 0 THEN 'NONE' ELSE c_mktsegment END AS property, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders JOIN customer ON c_custkey = o_custkey) SELECT a.o_orderkey, a.code AS country_code, a.property AS indicator_code, a.year, o.value, CASE WHEN a.code NOT IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation) THEN 'invalid_country' WHEN a.property NOT IN (SELECT property FROM obs) THEN 'invalid_indicator' WHEN o.value IS NULL THEN 'no_data' ELSE 'ok' END AS status FROM a LEFT JOIN obs o ON o.code = a.code AND o.property = a.property AND o.year = a.year",
 )
 def lookup_retrieve_value(spark, sf_dir):
-    orders = star.table(spark, sf_dir, "orders").join(star.table(spark, sf_dir, "customer"), C("o_custkey") == C("c_custkey"))
-    segment = F.when(C("o_orderkey") % 11 == 0, "NONE").otherwise(C("c_mktsegment"))
-    args = orders.select("o_orderkey", (C("o_orderkey") % 27).cast("string").alias("country_code"), F.concat_ws("|", "o_orderpriority", segment).alias("indicator_code"), F.year("o_orderdate").alias("year"))
     cube = _cube(spark, sf_dir)
-    return lookup.retrieve_value(args, cube.geo, cube.observations).select("o_orderkey", "country_code", "indicator_code", "year", "value", "status")
+    return lookup.retrieve_value(_order_asks(spark, sf_dir), cube.geo, cube.observations).select("o_orderkey", "country_code", "indicator_code", "year", "value", "status")
 
 
 @query(
@@ -191,6 +196,61 @@ def lookup_search_names(spark, sf_dir):
     return lookup.search_names(args, _indicators(spark, sf_dir))
 
 
+# ------------------------------------------------------------------ cells kept by key, files, logs
+
+
+@query(
+    "cells_keyed_lookup",
+    f"WITH {O.OBS} SELECT o_orderkey, a.code AS country_code, a.property AS indicator_code, a.year, o.value FROM (SELECT o_orderkey, CAST(o_orderkey % 27 AS VARCHAR) AS code, o_orderpriority || '|' || CASE WHEN o_orderkey % 11 = 0 THEN 'NONE' ELSE c_mktsegment END AS property, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders JOIN customer ON c_custkey = o_custkey) a LEFT JOIN obs o ON o.code = a.code AND o.property = a.property AND o.year = a.year",
+)
+def cells_keyed_lookup(spark, sf_dir):
+    """The cell that every order asks for, from the cube stored by key."""
+    kept = keyed.keep(star.cube(spark, sf_dir))
+    return kept.values(_order_asks(spark, sf_dir)).select("o_orderkey", "country_code", "indicator_code", "year", "value")
+
+
+def _keyed_template(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = star.cube(spark, sf_dir)
+    return answer(_questions(cube, name), keyed.keep(cube), name).drop("question_id")
+
+
+for _t in ("RegionComparison", "SubjectPropertyChange"):
+    query(f"cells_keyed_{_NAMES[_t].removeprefix('t_')}", O.TEMPLATE_SQL[_t])(partial(_keyed_template, _t))
+
+
+@query("cells_keyed_update", f"WITH {O.OBS} SELECT property AS indicator_code, code AS country_code, year, CASE WHEN year % 2 = 0 THEN -value ELSE value END AS value FROM obs")
+def cells_keyed_update(spark, sf_dir):
+    """Odd years are stored first, then all with another sign, then the even years put over the odd ones' table."""
+    cube = star.cube(spark, sf_dir)
+    part = lambda where, sign: cube.observations.where(where).withColumn("value", sign * C("value"))
+    kept = keyed.keep(type(cube)(cube.geo, part("year % 2 = 1", 1).unionByName(part("year % 2 = 0 AND country_code < '5'", 1))))
+    kept.update(part("year % 2 = 0", -1))
+    return kept.series().select("indicator_code", "country_code", F.explode("by_year").alias("year", "value"))
+
+
+@query("source_wide_files", f"WITH {O.OBS} SELECT property AS indicator_code, code AS country_code, year, value FROM obs WHERE split_part(property, '|', 1) LIKE '%H%' AND year BETWEEN 1996 AND 1999")
+def source_wide_files(spark, sf_dir):
+    """The cube written as wide files, one an indicator, and read back: only the files and years asked for."""
+    observations = star.observations(spark, sf_dir)
+    folder = new_folder(spark, "wide")
+    stores.write_wide(observations, folder)
+    # the indicators asked for, a catalogue's handful of names
+    asked = [r.indicator_code for r in observations.select("indicator_code").where("split_part(indicator_code, '|', 1) LIKE '%H%'").distinct().collect()]
+    return stores.read_wide(spark, folder).where(C("indicator_code").isin(asked) & C("year").between(1996, 1999) & C("value").isNotNull())
+
+
+@query("sink_epochs", "SELECT event_id, user_id, event_type, event_id % 4 AS part FROM events")
+def sink_epochs(spark, sf_dir):
+    """Events appended in four epochs, some of them twice, and a run taken up again over all."""
+    e = star.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (C("event_id") % 4).alias("part"))
+    folder = new_folder(spark, "log")
+    for part in (0, 1, 1, 2, 0):
+        stores.append_epoch(e.where(C("part") == part), folder, f"part-{part}")
+    sinks.append_new(e, folder, "event_id", "rest")
+    sinks.append_new(e, folder, "event_id", "rest")
+    return stores.read_log(spark, folder)
+
+
 # ------------------------------------------------------------------ questions
 
 
@@ -488,10 +548,27 @@ r AS (SELECT conv, pos, CASE WHEN total >= 60 THEN 'budget' WHEN name = 'final_a
 SELECT conv, min(pos) AS stopped_at, arg_min(rule, pos) AS rule FROM r WHERE rule IS NOT NULL GROUP BY 1""",
 )
 def agent_stop_rules(spark, sf_dir):
+    return scoring.stop_rules(_event_calls(spark, sf_dir), most=60, same=6)
+
+
+def _event_calls(spark, sf_dir) -> DataFrame:
     e = star.table(spark, sf_dir, "events")
     k = (F.regexp_extract("props", r"(\d+)", 1).cast("long") % 7).cast("string")
     name = F.when((C("event_type") == "purchase") & (C("event_id") % 40 == 0), "final_answer").otherwise(C("event_type"))
-    return scoring.stop_rules(e.select(C("user_id").alias("conv"), C("event_id").alias("pos"), F.concat("event_type", k).alias("key"), name.alias("name")), most=60, same=6)
+    return e.select(C("user_id").alias("conv"), C("event_id").alias("pos"), F.concat("event_type", k).alias("key"), name.alias("name"), C("ts").cast("timestamp").alias("ts"))
+
+
+@query("stream_stop_rules", ORACLE["agent_stop_rules"])
+def stream_stop_rules(spark, sf_dir):
+    """The same rules over the calls as they arrive, week by week; the query is started anew for each week on one checkpoint."""
+    calls, folder = _event_calls(spark, sf_dir).withColumn("week", F.weekofyear("ts")), new_folder(spark, "stops")
+    for week in range(1, 6):
+        calls.where(C("week") == week).drop("week").write.parquet(f"{folder}/in/{week}")
+        stream = spark.readStream.schema(calls.drop("week").schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        ended = stops.stops(stream, most=60, same=6, late="1 day", idle_seconds=40 * 86_400)
+        q = ended.writeStream.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(ended.schema).parquet(f"{folder}/out")
 
 
 # ------------------------------------------------------------------ matching

@@ -27,3 +27,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="karst-"))
     return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the checkpoint folder, which all executors share."""
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.registry import catalogue
 from ..functions.text import split_label
+from . import stores
 from .files import pending
 
 
@@ -24,20 +27,13 @@ def splits_jsonl(examples: DataFrame, path: str) -> None:
     examples.repartition("split").write.mode("overwrite").partitionBy("split").json(path)
 
 
-def append_new(rows: DataFrame, path: str, key: str = "id") -> int:
-    """Append the rows whose key the target lacks (a run that is taken up again); returns how many."""
-    spark = rows.sparkSession
-    try:
-        done = spark.read.schema(rows.schema).json(path)
-        done.limit(1).count()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = rows.limit(0)
-    new = pending(rows, done, key)
-    n = new.count()
-    new.write.mode("append").json(path)
-    return n
+def append_new(rows: DataFrame, path: str, key: str = "id", epoch: str | None = None) -> int:
+    """Append the rows whose key the log at ``path`` lacks (a run that is taken up again) as one epoch; returns how many it has.
+
+    Rows are computed once.  A run that names its ``epoch`` and is repeated after its commit writes nothing.
+    """
+    new = pending(rows, stores.read_log(rows.sparkSession, path, rows.schema), key)
+    return stores.append_epoch(new, path, epoch or uuid.uuid4().hex)
 
 
 def graph_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:

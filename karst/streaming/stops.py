@@ -1,13 +1,14 @@
-"""The stop rules over a stream of calls (an extension: recorded runs are batches)."""
+"""The stop rules over a stream of calls: running totals of every conversation as keyed state (an extension: recorded runs are batches)."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def repeated_calls(calls: DataFrame, same: int = 10, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -16,33 +17,84 @@ def repeated_calls(calls: DataFrame, same: int = 10, window: str = "1 hour", lat
     return grouped.where(F.col("n") >= same)
 
 
-def stops(calls: DataFrame, most: int = 100, same: int = 10, late: str = "10 minutes", idle_seconds: int = 3600) -> DataFrame:
-    """(conv, stopped_at, rule): the first rule that ends each conversation of a stream calls(conv, pos, key, name, ts).
+class Stops(StatefulProcessor):
+    """State of a conversation: its number of calls and whether it has ended, and a map of how often each call was made.
 
-    The running state of a conversation is its number of calls and those of each key, at most ``most`` of them, as the budget
-    ends it then; an ended one keeps a mark, so that it is reported once.  Within a micro-batch calls go by pos.  A state is dropped
-    ``idle_seconds`` of event time after its last call.
+    The map has at most ``most`` entries, as the budget ends a conversation then, and is emptied when it ends; the mark of the end stays, so that
+    an end is reported once.  ``idle`` milliseconds after the last call all is dropped: by an event-time timer, or as the states' time to live where
+    ``ttl`` is set, in processing time.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ended, names, counts = state.get if state.exists else (False, [], [])
-        seen = dict(zip(names, counts, strict=True))
-        rows = pd.concat(list(batches)).sort_values("pos", kind="stable")
-        total, found = sum(seen.values()), None
-        for pos, call, name in zip(rows["pos"], rows["key"], rows["name"], strict=True):
+    def __init__(self, most: int, same: int, idle: int, ttl: bool):
+        self.most, self.same, self.idle, self.ttl = most, same, idle, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        live = self.idle if self.ttl else None
+        self.handle = handle
+        self.run = handle.getValueState("run", "total long, ended boolean", live)
+        self.seen = handle.getMapState("seen", "key string", "n long", live)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N803
+        total, ended = self.run.get() if self.run.exists() else (0, False)
+        rows = sorted(rows, key=lambda r: r.pos)
+        counts: dict[str, int] = {}
+        found = None
+        for r in rows:
             if ended:
                 break
+            name = "" if r.key is None else f"={r.key}"
+            if name not in counts:
+                counts[name] = self.seen.getValue((name,))[0] if self.seen.containsKey((name,)) else 0
             total += 1
-            seen[call] = seen.get(call, 0) + 1
-            rule = "budget" if total >= most else "final_answer" if name == "final_answer" else "repeated" if seen[call] >= same else None
+            counts[name] += 1
+            rule = "budget" if total >= self.most else "final_answer" if r.name == "final_answer" else "repeated" if counts[name] >= self.same else None
             if rule:
-                ended, found, seen = True, (key[0], int(pos), rule), {}
-        state.update((ended, list(seen), list(seen.values())))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + idle_seconds * 1000)
+                ended, found = True, Row(conv=key[0], stopped_at=r.pos, rule=rule)
         if found:
-            yield pd.DataFrame([found], columns=["conv", "stopped_at", "rule"])
+            self.seen.clear()
+        elif not ended:
+            for name, n in counts.items():
+                self.seen.updateValue((name,), (n,))
+        self.run.update((total, ended))
+        if not self.ttl:
+            last = max((int(r.ts.timestamp() * 1000) for r in rows if r.ts is not None), default=0)
+            due = max(last, timerValues.getCurrentWatermarkInMs()) + self.idle
+            for old in list(self.handle.listTimers()):
+                due = max(due, old)
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(due)
+        if found:
+            yield found
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.run.clear()
+        self.seen.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
-    return calls.withWatermark("ts", late).groupBy("conv").applyInPandasWithState(step, "conv string, stopped_at long, rule string", "ended boolean, names array<string>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+#: Named states need a store that can hold several.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stops(calls: DataFrame, most: int = 100, same: int = 10, late: str = "10 minutes", idle_seconds: int = 3600, processing_time: bool = False) -> DataFrame:
+    """(conv, stopped_at, rule): the first rule that ends each conversation of a stream calls(conv, pos, key, name, ts).
+
+    Within a micro-batch calls go by pos.  Rows ``late`` behind the newest event time are dropped.  A state is dropped ``idle_seconds`` after its
+    last call, of event time or (``processing_time``) of the clock; a conversation that goes on after that begins anew.  The state store of the
+    session is set to RocksDB, which must stay so when the query is started.
+    """
+    calls.sparkSession.conf.set(*_PROVIDER)
+    module = sys.modules[__name__]
+    # the worker that sets up the state runs beside the driver's JVM, without what was sent to the executors
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        rows = calls.select("conv", "pos", "key", "name", "ts")
+        rows = rows if processing_time else rows.withWatermark("ts", late)
+        processor = Stops(most, same, idle_seconds * 1000, processing_time)
+        kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+        return rows.groupBy("conv").transformWithState(processor, f"conv {kind['conv']}, stopped_at {kind['pos']}, rule string", "Append", "ProcessingTime" if processing_time else "EventTime")
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)
