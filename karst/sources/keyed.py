@@ -1,7 +1,7 @@
 """Cells kept by key: the cube stored once, so that questions meet it where it lies.
 
 ``series`` (a country's values of an indicator by year) are bucketed and sorted by indicator and country, ``vectors`` (a region's values of an indicator and
-year) by indicator and region; both are in partitions by a hash of the indicator.  A join on these keys shuffles the questions only,
+year) by indicator, region and year, which are all that joins compare; both are in partitions by a hash of the indicator.  A join on these keys shuffles the questions only,
 and reads only the partitions that the questions' indicators are in: their numbers, at most ``PARTS``, are broadcast and prune the scan while it runs.
 """
 
@@ -70,7 +70,13 @@ class KeyedCube(Cube):
         merged = old.join(new, key, "full").withColumn(cells, both).drop("_new").withColumn("part", part_of("indicator_code", self.parts))
         # the partitions that are read are replaced, so the rows are put aside first
         merged = merged.select(*self._spark.table(f"{self.name}_{what}").columns).checkpoint()
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(f"{self.name}_{what}")
+        conf, mode = self._spark.conf, "spark.sql.sources.partitionOverwriteMode"
+        before = conf.get(mode)
+        conf.set(mode, "dynamic")  # inserts know this as a setting only
+        try:
+            merged.write.mode("overwrite").insertInto(f"{self.name}_{what}")
+        finally:
+            conf.set(mode, before)
 
     def drop(self) -> None:
         for what in ("series", "vectors"):
@@ -86,7 +92,7 @@ def keep(cube: Cube, name: str | None = None, parts: int = PARTS, buckets: int |
     spark = cube.geo.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = KeyedCube(cube.geo, cube.observations, name or f"karst_{uuid.uuid4().hex}", parts)
-    for what, df, key in (("series", cube.series(), ("indicator_code", "country_code")), ("vectors", cube.vectors(), ("indicator_code", "region"))):
+    for what, df, key in (("series", cube.series(), ("indicator_code", "country_code")), ("vectors", cube.vectors(), ("indicator_code", "region", "year"))):
         rows = df.withColumn("part", part_of("indicator_code", parts)).repartition(buckets, *key)
         rows.write.mode("overwrite").partitionBy("part").bucketBy(buckets, *key).sortBy(*key).format("parquet").saveAsTable(f"{kept.name}_{what}")
     if name is None:
