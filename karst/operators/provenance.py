@@ -47,7 +47,12 @@ def arguments(calls: DataFrame) -> DataFrame:
 
 
 def producers(calls: DataFrame) -> DataFrame:
-    """(graph_id, src, call_order, value): the values that calls produce, lists and objects taken apart."""
+    """(graph_id, src, made, value): the values that calls produce, lists and objects taken apart, each once."""
+    return made_values(calls).distinct()
+
+
+def made_values(calls: DataFrame) -> DataFrame:
+    """The rows of ``producers``, where a call may make a value more than once; row by row, so it is for streams too."""
     ok = calls.where("name <> 'final_answer' AND result IS NOT NULL AND NOT startswith(result, 'Error:') AND NOT startswith(result, 'Warning:')")
     objects = F.from_json("result", "array<map<string,string>>")
     parts = F.coalesce(
@@ -55,7 +60,7 @@ def producers(calls: DataFrame) -> DataFrame:
         F.when(F.startswith("result", F.lit("[")), list_literal(F.col("result"))),
         F.array("result"),
     )
-    return ok.select("graph_id", F.col("call_id").alias("src"), F.col("call_order").alias("made"), F.explode(parts).alias("v")).where("v IS NOT NULL").select("graph_id", "src", "made", canonical(F.col("v")).alias("value")).distinct()
+    return ok.select("graph_id", F.col("call_id").alias("src"), F.col("call_order").alias("made"), F.explode(parts).alias("v")).where("v IS NOT NULL").select("graph_id", "src", "made", canonical(F.col("v")).alias("value"))
 
 
 def origin_edges(args: DataFrame, slots: DataFrame) -> DataFrame:

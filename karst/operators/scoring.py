@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import typed
 from ..functions.text import canonical_call
 
 CONTROL = ["think", "final_answer"]
@@ -44,7 +45,9 @@ def predicted_calls(runs: DataFrame) -> DataFrame:
 
 
 def _numbered(calls: DataFrame, side: str) -> DataFrame:
-    call = calls.select("row_id", canonical_call(F.col("name"), F.col("arguments")).alias("call"))
+    """Calls counted by their canonical text; arguments are a map of texts, or a variant, whose types then count."""
+    build = typed.canonical_call if dict(calls.dtypes)["arguments"] == "variant" else canonical_call
+    call = calls.select("row_id", build(F.col("name"), F.col("arguments")).alias("call"))
     return call.groupBy("row_id", "call").agg(F.count("*").alias(side))
 
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..functions import typed
 from ..functions.registry import TOOLS, catalogue
 from ..operators import dispatch, lookup, matcher, provenance, rows, scoring
 from ..session import new_folder
 from ..sources import files, keyed, sinks, star, stores
-from ..streaming import stops
+from ..streaming import producers, stops
 from . import oracle as O
 from . import questions as Q
 from .actions import gold_actions
@@ -478,6 +479,30 @@ def score_predicted_calls(spark, sf_dir):
     return scoring.predicted_calls(_runs(spark, sf_dir)).withColumn("arguments", F.to_json("arguments"))
 
 
+#: Arguments of many types: which each event's call gives, and which it should give.
+_TYPED = """WITH e AS (SELECT event_id, user_id, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) % 3 AS k, event_id % 6 AS t, (event_id // 6) % 4 AS u FROM events),
+j AS (SELECT user_id, k, t AS kind, CASE t WHEN 0 THEN 'int:' || k WHEN 1 THEN 'text:"' || k || '"' WHEN 2 THEN 'float:' || k || '.0' WHEN 3 THEN 'bool:true' WHEN 4 THEN 'null' ELSE '[int:' || k || ',text:"x",float:0.5]' END AS p,
+  CASE WHEN u = 0 THEN 'int:' || k WHEN u = 1 THEN CASE t WHEN 0 THEN 'int:' || k WHEN 1 THEN 'text:"' || k || '"' WHEN 2 THEN 'float:' || k || '.0' WHEN 3 THEN 'bool:true' WHEN 4 THEN 'null' ELSE '[int:' || k || ',text:"x",float:0.5]' END WHEN u = 2 THEN 'float:' || k || '.0' ELSE 'bool:true' END AS g FROM e),
+p AS (SELECT user_id AS row_id, p AS v, count(*) AS p FROM j GROUP BY 1, 2), g AS (SELECT user_id AS row_id, g AS v, count(*) AS g FROM j GROUP BY 1, 2)"""
+
+
+def _typed_calls(spark, sf_dir) -> DataFrame:
+    e = star.table(spark, sf_dir, "events").select("user_id", (F.regexp_extract("props", r"(\d+)", 1).cast("long") % 3).cast("string").alias("k"), (C("event_id") % 6).alias("t"), (F.floor(C("event_id") / 6) % 4).alias("u"))
+    own = F.when(C("t") == 0, C("k")).when(C("t") == 1, F.concat(F.lit('"'), "k", F.lit('"'))).when(C("t") == 2, F.concat("k", F.lit(".00"))).when(C("t") == 3, "true").when(C("t") == 4, "null").otherwise(F.concat(F.lit("["), "k", F.lit(', "x", 5e-1]')))
+    gold = F.when(C("u") == 0, C("k")).when(C("u") == 1, own).when(C("u") == 2, F.concat("k", F.lit(".0"))).otherwise("true")
+    side = lambda v: typed.parse(F.concat(F.lit('{"y": 1, "x": '), v, F.lit("}")))
+    return e.select(C("user_id").alias("row_id"), F.lit("tool").alias("name"), side(own).alias("pred"), side(gold).alias("gold"))
+
+
+@query("score_typed_calls", f"{_TYPED} SELECT row_id, 'tool({{\"x\":' || v || ',\"y\":int:1}})' AS call, least(coalesce(p, 0), coalesce(g, 0)) AS true_positives, greatest(coalesce(p, 0) - coalesce(g, 0), 0) AS false_positives, greatest(coalesce(g, 0) - coalesce(p, 0), 0) AS false_negatives FROM p FULL JOIN g USING (row_id, v)")
+def score_typed_calls(spark, sf_dir):
+    """Calls whose arguments keep their types, written as variants, read back and compared as multisets."""
+    folder = new_folder(spark, "typed")
+    _typed_calls(spark, sf_dir).write.parquet(folder)
+    calls = spark.read.schema("row_id long, name string, pred variant, gold variant").parquet(folder)
+    return scoring.compare(calls.select("row_id", "name", C("pred").alias("arguments")), calls.select("row_id", "name", C("gold").alias("arguments")))
+
+
 @query("score_gold_calls", f"{_RUNS} SELECT row_id, i AS pos, name, CASE name WHEN 'retrieve_value' THEN 'I' || CAST(k % 3 AS VARCHAR) WHEN 'add' THEN '[' || CAST(k AS VARCHAR) || ', 1]' END AS argument FROM (SELECT *, CAST(i AS INTEGER) AS i2 FROM r) WHERE name IN ('retrieve_value', 'add')")
 def score_gold_calls(spark, sf_dir):
     flat = F.transform(F.filter("messages", lambda m: m["tool_calls"].isNotNull()), lambda m: F.get(m["tool_calls"], F.lit(0))["function"])
@@ -548,10 +573,10 @@ r AS (SELECT conv, pos, CASE WHEN total >= 60 THEN 'budget' WHEN name = 'final_a
 SELECT conv, min(pos) AS stopped_at, arg_min(rule, pos) AS rule FROM r WHERE rule IS NOT NULL GROUP BY 1""",
 )
 def agent_stop_rules(spark, sf_dir):
-    return scoring.stop_rules(_event_calls(spark, sf_dir), most=60, same=6)
+    return scoring.stop_rules(_timed_calls(spark, sf_dir), most=60, same=6)
 
 
-def _event_calls(spark, sf_dir) -> DataFrame:
+def _timed_calls(spark, sf_dir) -> DataFrame:
     e = star.table(spark, sf_dir, "events")
     k = (F.regexp_extract("props", r"(\d+)", 1).cast("long") % 7).cast("string")
     name = F.when((C("event_type") == "purchase") & (C("event_id") % 40 == 0), "final_answer").otherwise(C("event_type"))
@@ -561,7 +586,7 @@ def _event_calls(spark, sf_dir) -> DataFrame:
 @query("stream_stop_rules", ORACLE["agent_stop_rules"])
 def stream_stop_rules(spark, sf_dir):
     """The same rules over the calls as they arrive, week by week; the query is started anew for each week on one checkpoint."""
-    calls, folder = _event_calls(spark, sf_dir).withColumn("week", F.weekofyear("ts")), new_folder(spark, "stops")
+    calls, folder = _timed_calls(spark, sf_dir).withColumn("week", F.weekofyear("ts")), new_folder(spark, "stops")
     for week in range(1, 6):
         calls.where(C("week") == week).drop("week").write.parquet(f"{folder}/in/{week}")
         stream = spark.readStream.schema(calls.drop("week").schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
@@ -685,6 +710,25 @@ def _edge_set(kind: str, spark, sf_dir) -> DataFrame:
 
 for _n, _s in [("producer", "pe"), ("origin", "oe"), ("error", "se")]:
     query(f"graph_{_n}_edges", f"{O.TRACE} SELECT graph_id, src, dst, label FROM {_s}")(partial(_edge_set, _n))
+
+
+@query(
+    "stream_producer_edges",
+    f"""{O.TRACE}, earlier AS (SELECT *, row_number() OVER (PARTITION BY graph_id, call_id ORDER BY made DESC) AS r FROM j WHERE made < call_order)
+SELECT graph_id, src, call_id AS dst, 'x=' || value AS label FROM earlier WHERE r = 1""",
+)
+def stream_producer_edges(spark, sf_dir):
+    """Edges from the most recent earlier producer, over calls that come in three parts; the query is started anew for each on one checkpoint."""
+    calls, folder = _trace(spark, sf_dir)[0], new_folder(spark, "producers")
+    ends = calls.agg(F.max(C("call_id").cast("long"))).first()[0] or 0
+    for k in range(3):
+        calls.where((C("call_id").cast("long") * 3 / (ends + 1)).cast("int") == k).write.parquet(f"{folder}/in/{k}")
+        edges = producers.producer_edges(spark.readStream.schema(calls.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in"))
+        q = edges.writeStream.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(edges.schema).parquet(f"{folder}/out")
+
+
 _NEAR = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS graph_id, CAST(event_id AS VARCHAR) AS call_id, event_id % 50 AS k, event_type FROM events),
 a AS (SELECT graph_id, call_id, CAST(k AS VARCHAR) || '.500000004' AS value FROM e), m AS (SELECT graph_id, call_id AS src, CAST(k AS VARCHAR) || '.5' AS value FROM e WHERE event_type <> 'error')"""
 
