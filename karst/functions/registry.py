@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import numeric
 
@@ -99,3 +100,35 @@ def register_sql(spark: SparkSession) -> list[str]:
     for name, body in _SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
     return list(_SQL)
+
+
+#: The tools that answer with rows, as SQL table functions over the views that ``register_tables`` makes.
+_TABLE_SQL = {
+    "tool_region_members": "(region_name STRING) RETURNS TABLE (pos INT, country_code STRING) RETURN SELECT g.pos, g.country_code FROM karst_geo g WHERE g.region = region_name",
+    "tool_retrieve_value": """(country STRING, indicator STRING, of_year INT) RETURNS TABLE (value DOUBLE, status STRING) RETURN
+        SELECT CASE WHEN c.country_code IS NOT NULL AND i.indicator_code IS NOT NULL THEN v.value END,
+            CASE WHEN c.country_code IS NULL THEN 'invalid_country' WHEN i.indicator_code IS NULL THEN 'invalid_indicator' WHEN v.value IS NULL THEN 'no_data' ELSE 'ok' END
+        FROM (SELECT country AS c, indicator AS i, of_year AS y) q LEFT JOIN karst_countries c ON c.country_code = q.c LEFT JOIN karst_indicators i ON i.indicator_code = q.i
+            LEFT JOIN karst_cells v ON v.country_code = q.c AND v.indicator_code = q.i AND v.year = q.y""",
+    "tool_search_names": """(keywords ARRAY<STRING>) RETURNS TABLE (keyword_no INT, keyword STRING, indicator_code STRING, indicator_name STRING, indicator_description STRING) RETURN
+        SELECT k.pos, k.word, t.indicator_code, t.indicator_name, t.indicator_description FROM (SELECT posexplode(keywords) AS (pos, word)) k JOIN karst_tokens t ON t.token = lower(k.word)""",
+}
+
+
+def register_tables(spark: SparkSession, geo: DataFrame, indicators: DataFrame, observations: DataFrame) -> list[str]:
+    """Make the tools that answer with rows callable in this session, as ``tool_x(...)`` after FROM, or LATERAL over a table of arguments; returns their names.
+
+    Calls over a table become joins by equality.  Keywords are an array here, a word each.
+    """
+    from ..operators.lookup import cell_values
+    from .text import words
+
+    geo.createOrReplaceTempView("karst_geo")
+    geo.select("country_code").distinct().createOrReplaceTempView("karst_countries")
+    observations.select("indicator_code").distinct().createOrReplaceTempView("karst_indicators")
+    cell_values(observations).createOrReplaceTempView("karst_cells")
+    token = F.explode(F.array_distinct(words(F.col("name"), "(),"))).alias("token")
+    indicators.select(F.col("id").alias("indicator_code"), F.col("name").alias("indicator_name"), F.col("description").alias("indicator_description"), token).createOrReplaceTempView("karst_tokens")
+    for name, body in _TABLE_SQL.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
+    return list(_TABLE_SQL)

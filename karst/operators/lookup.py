@@ -83,6 +83,13 @@ def retrieve_value(args: DataFrame, geo: DataFrame, observations: DataFrame) ->
     return got.withColumn("status", status).withColumn("value", F.when(status == "ok", F.col("value"))).drop("_country", "_indicator")
 
 
+def asked_words(args: DataFrame, key: str, arg: str) -> DataFrame:
+    """(key, keyword_no, keyword): the words of a list literal of keywords or of one text."""
+    given = F.coalesce(list_literal(F.col(arg)), F.array(arg))
+    split = F.flatten(F.transform(given, lambda g: F.transform(F.split(g, r"\s+"), lambda w: F.trim(w, F.lit(",")))))
+    return args.select(key, F.posexplode(split).alias("keyword_no", "keyword")).where("keyword <> ''")
+
+
 def search_names(args: DataFrame, indicators: DataFrame, key: str = "query_id", arg: str = "keywords") -> DataFrame:
     """L1: a row for each (indicator, matching keyword), in catalogue and keyword order; a name given whole in lower case is itself the answer.
 
@@ -93,9 +100,7 @@ def search_names(args: DataFrame, indicators: DataFrame, key: str = "query_id",
     whole = args.join(small(names), F.col(arg) == F.col("_low"))
     whole = whole.select(key, F.lit(0).alias("keyword_no"), F.col(arg).alias("keyword"), "indicator_code", "indicator_name", "indicator_description")
     rest = args.join(whole.select(key).distinct(), key, "left_anti")
-    given = F.coalesce(list_literal(F.col(arg)), F.array(arg))
-    split = F.flatten(F.transform(given, lambda g: F.transform(F.split(g, r"\s+"), lambda w: F.trim(w, F.lit(",")))))
-    asked = rest.select(key, F.posexplode(split).alias("keyword_no", "keyword")).where("keyword <> ''")
+    asked = asked_words(rest, key, arg)
     tokens = names.select("indicator_code", "indicator_name", "indicator_description", F.explode(F.array_distinct(words(F.col("indicator_name"), "(),"))).alias("_token"))
     found = asked.join(small(tokens), F.lower("keyword") == F.col("_token")).drop("_token")
     return whole.unionByName(found.select(*whole.columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 from functools import partial, reduce
 
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as X
 from ..functions import typed
-from ..functions.registry import TOOLS, catalogue
+from ..functions.registry import TOOLS, catalogue, register_tables
 from ..operators import dispatch, lookup, matcher, provenance, rows, scoring
+from ..operators.search_index import SearchIndex
 from ..session import new_folder
 from ..sources import files, keyed, sinks, star, stores
 from ..streaming import producers, stops
@@ -184,6 +187,30 @@ def lookup_retrieve_value(spark, sf_dir):
     return lookup.retrieve_value(_order_asks(spark, sf_dir), cube.geo, cube.observations).select("o_orderkey", "country_code", "indicator_code", "year", "value", "status")
 
 
+def _table_functions(spark, sf_dir) -> None:
+    cube = star.cube(spark, sf_dir)
+    register_tables(spark, cube.geo, _indicators(spark, sf_dir), cube.observations)
+
+
+@query("sql_region_members", "SELECT r_name, CAST(n_nationkey AS INTEGER) AS pos, CAST(n_nationkey AS VARCHAR) AS country_code FROM region JOIN nation ON n_regionkey = r_regionkey")
+def sql_region_members(spark, sf_dir):
+    _table_functions(spark, sf_dir)
+    return spark.sql("SELECT r_name, m.pos, m.country_code FROM {r} LEFT JOIN LATERAL tool_region_members(r_name) m", r=star.table(spark, sf_dir, "region"))
+
+
+@query("sql_retrieve_value", ORACLE["lookup_retrieve_value"])
+def sql_retrieve_value(spark, sf_dir):
+    _table_functions(spark, sf_dir)
+    return spark.sql("SELECT a.*, v.value, v.status FROM {a} a, LATERAL tool_retrieve_value(a.country_code, a.indicator_code, a.year) v", a=_order_asks(spark, sf_dir))
+
+
+@query("sql_search_names", "WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part) SELECT w, n AS keyword_no, CASE n WHEN 0 THEN upper(w) ELSE 'gear' END AS keyword, CAST(p_partkey AS VARCHAR) AS indicator_code FROM w, range(2) r(n), part WHERE list_contains(string_split(lower(p_name), ' '), CASE n WHEN 0 THEN w ELSE 'gear' END)")
+def sql_search_names(spark, sf_dir):
+    _table_functions(spark, sf_dir)
+    first = star.table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", 1).alias("w")).distinct()
+    return spark.sql("SELECT w, s.keyword_no, s.keyword, s.indicator_code FROM {w}, LATERAL tool_search_names(array(upper(w), 'gear')) s", w=first)
+
+
 @query(
     "lookup_search_names",
     """WITH q AS (SELECT 1 AS query_id, 'cold, gear' AS keywords UNION ALL SELECT 2, '[''Widget'', ''hot red'']' UNION ALL SELECT 3, 'small ring' UNION ALL SELECT 4, 'nothing'),
@@ -252,6 +279,17 @@ def sink_epochs(spark, sf_dir):
     return stores.read_log(spark, folder)
 
 
+@query("index_search_names", f"{ORACLE['lookup_search_names']}")
+def index_search_names(spark, sf_dir):
+    """The searches of ``lookup_search_names`` by an index: a first batch with some names that the second replaces, then all others."""
+    index, every = SearchIndex(spark, f"karst_{uuid.uuid4().hex}"), _indicators(spark, sf_dir)
+    atexit.register(keyed.forget, index)
+    index.add(every.where("id % 3 = 0").withColumn("name", F.when(C("id") % 2 == 0, F.lit("cold small ring")).otherwise(C("name"))))
+    index.add(every.where("id % 3 > 0 OR id % 2 = 0"))
+    args = spark.createDataFrame([(1, "cold, gear"), (2, "['Widget', 'hot red']"), (3, "small ring"), (4, "nothing")], "query_id int, keywords string")
+    return index.search(args)
+
+
 # ------------------------------------------------------------------ questions
 
 

@@ -96,11 +96,12 @@ def keep(cube: Cube, name: str | None = None, parts: int = PARTS, buckets: int |
         rows = df.withColumn("part", part_of("indicator_code", parts)).repartition(buckets, *key)
         rows.write.mode("overwrite").partitionBy("part").bucketBy(buckets, *key).sortBy(*key).format("parquet").saveAsTable(f"{kept.name}_{what}")
     if name is None:
-        atexit.register(_forget, kept)
+        atexit.register(forget, kept)
     return kept
 
 
-def _forget(kept: KeyedCube) -> None:
+def forget(kept: KeyedCube) -> None:
+    """Drop the tables; silent once the session has ended."""
     try:
         kept.drop()
     except Exception:  # noqa: BLE001  the session may be gone at interpreter exit
