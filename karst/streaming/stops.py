@@ -83,7 +83,8 @@ def stops(calls: DataFrame, most: int = 100, same: int = 10, late: str = "10 min
     """(conv, stopped_at, rule): the first rule that ends each conversation of a stream calls(conv, pos, key, name, ts).
 
     Within a micro-batch calls go by pos.  Rows ``late`` behind the newest event time are dropped.  A state is dropped ``idle_seconds`` after its
-    last call, of event time or (``processing_time``) of the clock; a conversation that goes on after that begins anew.  The state store of the
+    last call, of event time or (``processing_time``) of the clock; a conversation that goes on after that begins anew.  By the clock a
+    query never has nothing to do, so it is one without end, or is triggered once.  The state store of the
     session is set to RocksDB, which must stay so when the query is started.
     """
     calls.sparkSession.conf.set(*_PROVIDER)
