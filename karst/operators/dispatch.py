@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions.registry import BY_NAME
-from ..functions.text import list_literal
+from ..functions.text import list_literal, number_text
 from . import lookup
 from .cells import Cube
 
@@ -35,14 +35,17 @@ def _numeric() -> tuple[Column, Column]:
     values = F.when(readable, number)
     a, b, q = (_argument(n).try_cast("double") for n in ("value_a", "value_b", "query_value"))
     name = F.col("name")
-    result = F.when(name == "count", N.count(listed).cast("string"))
-    for tool, build in _LISTS.items():
-        out = build(values)
-        result = result.when(name == tool, F.to_json(out) if tool == "sort" else out.cast("string"))
-    for tool, build in _PAIRS.items():
-        result = result.when(name == tool, build(a, b).cast("string"))
+    result = F.when(name == "count", N.count(listed).cast("string")).when(name == "sort", F.to_json(_LISTS["sort"](values)))
+    for tool in ("greater_than", "less_than"):
+        result = result.when(name == tool, _PAIRS[tool](a, b).cast("string"))
     for tool, build in _QUERIES.items():
         result = result.when(name == tool, build(values, q).cast("string"))
+    number = F.when(name == "add", _LISTS["add"](values))
+    for tool in ("multiply", "mean", "maximum", "minimum"):
+        number = number.when(name == tool, _LISTS[tool](values))
+    for tool in ("subtract", "divide"):
+        number = number.when(name == tool, _PAIRS[tool](a, b))
+    result = F.coalesce(result, number_text(number))
     return result, F.when(result.isNull(), "not_computed").otherwise("ok")
 
 
@@ -78,7 +81,7 @@ def execute(calls: DataFrame, cube: Cube, indicators: DataFrame, errors: str = "
     found("get_indicator_name_from_code", lambda t: lookup.indicator_name(t, indicators, "_n"), "indicator_name", n=_argument("indicator_code"))
     found("get_country_codes_in_region", lambda t: lookup.region_members(t, geo, "_n"), F.to_json("country_codes"), n=_argument("region"))
     year = _argument("year").try_cast("int")
-    found("retrieve_value", lambda t: lookup.retrieve_value(t.withColumnsRenamed({"_c": "country_code", "_i": "indicator_code", "_y": "year"}), geo, cube.observations), "value", c=_argument("country_code"), i=_argument("indicator_code"), y=year)
+    found("retrieve_value", lambda t: lookup.retrieve_value(t.withColumnsRenamed({"_c": "country_code", "_i": "indicator_code", "_y": "year"}), geo, cube.observations), number_text(F.col("value")), c=_argument("country_code"), i=_argument("indicator_code"), y=year)
     parts.append(_searches(own.where("name = 'search_for_indicator_names'"), indicators))
     out = reduce(DataFrame.unionByName, parts)
     if errors == "raise":

@@ -187,3 +187,15 @@ def test_stops_of_a_stream(spark, tmp_path):
     q.stop()
     want = {tuple(r) for r in scoring.stop_rules(whole, most=50, same=6).collect()}
     assert {tuple(r) for r in spark.table("stopped").collect()} == want
+
+
+def test_numbers_of_any_size_as_python_writes_them(spark):
+    numbers = [0.0, -0.0, 1e7, 12345678.9, -21457602.48, 123456789012345.6, 9999999999999998.0, 1e16, 1.3436424411240123e18, 0.001, 0.00012345, 1.5e-5, 1e300, float("nan"), float("-inf")]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", X.number_text(F.col("x")).alias("t")).collect()
+    assert [r.t for r in rows] == [repr(x) for x in numbers]
+    geo = spark.createDataFrame([("A", "Aland", "R", 0)], "country_code string, country_name string, region string, pos int")
+    cube = Cube(geo, spark.createDataFrame([("I", "A", 2003, 21457602.48)], "indicator_code string, country_code string, year int, value double"))
+    asked = [("1", "retrieve_value", {"country_code": "A", "indicator_code": "I", "year": "2003"}), ("2", "add", {"values": "[10000000, 0.5]"}), ("3", "subtract", {"value_a": "-30000000", "value_b": "1"})]
+    calls = spark.createDataFrame(asked, "call_id string, name string, arguments map<string,string>")
+    none = spark.createDataFrame([], "id string, name string, description string")
+    assert {r.call_id: r.result for r in dispatch.execute(calls, cube, none).collect()} == {"1": "21457602.48", "2": "10000000.5", "3": "-30000001.0"}
