@@ -80,3 +80,20 @@ def test_producers_of_a_stream_equal_the_batch(spark, tmp_path, parts):
     calls = spark.createDataFrame(rows, TRACE)
     want = provenance.producer_edges(provenance.arguments(calls), provenance.producers(calls), causal=True).select("graph_id", "src", "dst", "label")
     assert got == sorted(tuple(r) for r in want.distinct().collect()) and len(got) > 50
+
+
+def _state_rows(spark, tmp_path, schema, rows, build):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    q = build(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"])
+
+
+def test_stops_keep_a_state_for_a_shard_not_for_every_conversation(spark, tmp_path):
+    calls = [(f"c{c}", p, f"k{p}", "add", at(p)) for c in range(1000) for p in range(2)]
+    assert _state_rows(spark, tmp_path, CALLS, calls, lambda s: stops.stops(s, most=50, same=6, late="1 day")) < 1000
+
+
+def test_producers_keep_a_state_for_a_shard_not_for_every_trace(spark, tmp_path):
+    calls = [(f"g{g}", f"{g}-{k}", k, "add", {"v": "1"}, str(k)) for g in range(1000) for k in range(2)]
+    assert _state_rows(spark, tmp_path, TRACE, calls, producers.producer_edges) < 1000
