@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator
 
@@ -13,61 +14,63 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import provenance
 
 _OUT = "graph_id string, src string, dst string, label string"
+#: Values of one element of a state's list.
+BLOCK = 50_000
 
 
 class Latest(StatefulProcessor):
-    """State of a trace: for every value the calls that produced it, in order.  A trace has as many as its call budget allows."""
+    """State of a shard of traces: for every trace and value the calls that produced it.  A trace has as many as its call budget allows.
+
+    A call of the state store costs milliseconds in PySpark, so a shard's traces are one list, read once a batch; a batch appends what it produced.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.made = handle.getMapState("made", "value string", "orders array<long>, calls array<string>")
+        self.made = handle.getListState("made", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N803
-        known: dict[str, list[tuple[int, str]]] = {}
-        new: set[str] = set()
-        uses = []
-
-        def of(value: str) -> list[tuple[int, str]]:
-            if value not in known:
-                there = self.made.getValue((value,)) if self.made.containsKey((value,)) else ([], [])
-                known[value] = list(zip(*there, strict=True))
-            return known[value]
-
+        known: dict[tuple[str, str], set[tuple[int, str]]] = {}
+        for block in self.made.get():
+            for graph, value, order, call in pickle.loads(block[0]):
+                known.setdefault((graph, value), set()).add((order, call))
+        new, uses = [], {}
         # all that this batch produces is known before its calls ask: a call asks for what was made before it, not for what came before it
-        for r in rows:
-            if r.arg is not None:
-                uses.append(r)
-            elif (r.call_order, r.call_id) not in of(r.value):
-                of(r.value).append((r.call_order, r.call_id))
-                new.add(r.value)
+        for _, graph, call, order, arg, value in rows:
+            if arg is not None:
+                uses[graph, call, order, arg, value] = None
+            elif (order, call) not in known.setdefault((graph, value), set()):
+                known[graph, value].add((order, call))
+                new.append((graph, value, order, call))
         seen = set()
-        for r in uses:
-            before = [m for m in of(r.value) if m[0] < r.call_order and m[1] != r.call_id]
-            if before:
-                edge = (max(before)[1], r.call_id, f"{r.arg}={r.value}")
+        for graph, call, order, arg, value in uses:
+            latest = max((m for m in known.get((graph, value), ()) if m[0] < order and m[1] != call), default=None)
+            if latest:
+                edge = (graph, latest[1], call, f"{arg}={value}")
                 if edge not in seen:
                     seen.add(edge)
-                    yield Row(graph_id=key[0], src=edge[0], dst=edge[1], label=edge[2])
-        for value in new:
-            self.made.updateValue((value,), tuple(map(list, zip(*sorted(known[value]), strict=True))))
+                    yield Row(graph_id=graph, src=edge[1], dst=call, label=edge[3])
+        if new:
+            self.made.appendList([(pickle.dumps(new[i : i + BLOCK], pickle.HIGHEST_PROTOCOL),) for i in range(0, len(new), BLOCK)])
 
     def close(self) -> None:
         pass
 
 
-def producer_edges(calls: DataFrame) -> DataFrame:
+def producer_edges(calls: DataFrame, shards: int = 192) -> DataFrame:
     """(graph_id, src, dst, label) for a stream of answered calls(graph_id, call_id, call_order, name, arguments, result).
 
     Each argument's value meets its most recent earlier producer, as in ``provenance.producer_edges`` with ``causal``, provided that a trace's
     calls come in order, in any cut into batches; of a call that comes late, what it produces is known to the calls after its coming only.
+    The state is kept by ``shards`` of traces, whose number must stay the same on one checkpoint.
     The session's state store is set to RocksDB, which must stay so when the query is started.
     """
     calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     uses = provenance.arguments(calls).select("graph_id", "call_id", "call_order", "arg", "value")
     made = provenance.made_values(calls).select("graph_id", F.col("src").alias("call_id"), F.col("made").alias("call_order"), F.lit(None).cast("string").alias("arg"), "value")
     rows = uses.unionByName(made).where("value IS NOT NULL AND graph_id IS NOT NULL").select(F.col("graph_id").cast("string").alias("graph_id"), F.col("call_id").cast("string").alias("call_id"), F.col("call_order").cast("long").alias("call_order"), "arg", "value")
+    rows = rows.select(F.pmod(F.xxhash64("graph_id"), F.lit(shards)).alias("shard"), *rows.columns)
     module = sys.modules[__name__]
     cloudpickle.register_pickle_by_value(module)
     try:
-        return rows.groupBy("graph_id").transformWithState(Latest(), _OUT, "Append", "None")
+        return rows.groupBy("shard").transformWithState(Latest(), _OUT, "Append", "None")
     finally:
         cloudpickle.unregister_pickle_by_value(module)
