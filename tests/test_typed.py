@@ -56,3 +56,10 @@ def test_typed_calls_as_multisets(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [
         (1, 'f({"x":float:1.0})', 1, 0, 0), (1, 'f({"x":int:1})', 1, 1, 0), (1, 'f({"x":text:"1"})', 0, 0, 1), (2, 'g({"y":bool:true})', 0, 1, 0), (2, 'g({"y":int:1})', 0, 0, 1),
     ]
+
+
+def test_the_type_of_a_value_is_asked_once_a_level(spark):
+    rows = spark.range(1).select(typed.canonical(typed.parse(F.concat(F.lit("["), F.col("id").cast("string"), F.lit("]")))).alias("c"))
+    assert rows.first().c == "[int:0]"
+    # one for the value, its items and its fields, and for theirs; an expression that repeats it grows by the number of branches a level
+    assert rows._jdf.queryExecution().analyzed().toString().lower().count("schema_of_variant") <= 7
