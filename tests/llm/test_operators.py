@@ -323,6 +323,65 @@ def test_near_passages_with_one_edit(edit):
     assert substring_dedup.shared_runs(shingled(f"{halves[0]} {sentence(rng, 60)} {halves[1]}"), shingled(f"{halves[1]} {sentence(rng, 60)} {halves[0]}"), 47, 90) == []
 
 
+def linked(n, pairs):
+    """The smallest row that pairs lead to, of each row."""
+    least = list(range(n))
+    while True:
+        before = list(least)
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+        if least == before:
+            return least
+
+
+@pytest.mark.parametrize("edits,heads", [(0, 2), (1, 2), (2, 2), (2, 64)])
+def test_group_pairs_lose_nothing(edits, heads):
+    """Pairs of a large group that are left out add no document, no class and no shingle that both sides of a passage have."""
+    rng = np.random.default_rng(7 + edits)
+    source, n, t = rng.integers(1 << 20, 1 << 32, 130), 60, 46
+    rows = []
+    for k in range(n):
+        x = source[(k % 5) * 8 : (k % 5) * 8 + 80].copy()
+        for at in rng.integers(0, 76, edits):
+            x[at : at + 5] = rng.integers(1 << 20, 1 << 32, 5)
+        rows.append(np.concatenate([rng.integers(1 << 20, 1 << 32, 20), x, rng.integers(1 << 20, 1 << 32, 20)]))
+    pivot = np.array([20 + 60 - (k % 5) * 8 for k in range(n)])
+    for x, p in zip(rows, pivot, strict=True):
+        x[p] = source[60]
+    found = {}
+    for i in range(n):
+        for j in range(i + 1, n):
+            if runs := substring_dedup.shared_runs(rows[i].astype(np.uint64), rows[j].astype(np.uint64), t, 75):
+                found[i, j] = runs
+
+    def result(pairs):
+        held = [set() for _ in range(n)]
+        for i, j in pairs:
+            for f, g, p, q in found[i, j]:
+                held[i] |= {f + x for x in np.flatnonzero(np.isin(rows[i][f:g], rows[j][p:q])).tolist()}
+                held[j] |= {p + x for x in np.flatnonzero(np.isin(rows[j][p:q], rows[i][f:g])).tolist()}
+        return linked(n, pairs), held
+
+    bound = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    made = substring_dedup.group_pairs(np.concatenate(rows), bound, pivot, np.arange(n) * 3, t, 75, (16, heads, 7))
+    asked = {(min(p), max(p)) for h, k in made for p in zip(h.tolist(), k.tolist(), strict=True)}
+    assert len(asked) < n * (n - 1) // 2
+    assert found and result(asked & set(found)) == result(set(found))
+
+
+def test_near_copies_of_two_edits(spark):
+    """150 near copies, of which many are near few others only: those that a comparison of all pairs finds are found and of its classes."""
+    rng = random.Random(1)
+    text, texts = sentence(rng, 60), []
+    for _ in range(150):
+        texts.append(f"{sentence(rng, 25)} {edited(rng, edited(rng, text, 'change'), 'change')} {sentence(rng, 25)}")
+    grams = [shingled(x) for x in texts]
+    pairs = [(i, j) for i in range(150) for j in range(i + 1, 150) if substring_dedup.shared_runs(grams[i], grams[j], 46, 75)]
+    want = {i for p in pairs for i in p}
+    got = {r.doc_id: r.class_id for r in substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(got) <= want and len(got) >= 0.9 * len(want)
+
+
 def test_recall_of_near_passages(spark):
     rng = random.Random(6)
     texts = []
