@@ -217,5 +217,20 @@ def test_sale_enrichment(spark, seed, clients):
     assert len({r.batch for r in got}) > 6 and any(r.rec == "late" for r in got) and any(r.change_id is not None for r in got)
 
 
+def test_sales_keep_no_native_stores(spark):
+    """Each start opens a store a partition: they are files of Spark's own, not databases whose native memory outlives them."""
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("sales-*"))
+    sales = [(k, k % 3, START + timedelta(days=k), START + timedelta(days=k), None, None) for k in range(6)]
+    changes = [(k, k % 3, "I", START + timedelta(hours=k), 1.0, None) for k in range(3)]
+    got = sale_enrichment.enrich(spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES), batches=1).collect()
+    assert sorted((r.id, r.change_id, r.balance_cents) for r in got) == [(k, k % 3 if k else 0, 100) for k in range(6)]
+    (work,) = set(folder.glob("sales-*")) - before
+    kinds = {f.suffix for f in (work / "state/state/0").glob("*/*")}
+    assert ".delta" in kinds and not kinds & {".changelog", ".zip"}
+
+
 def test_sales_of_nothing(spark):
     assert sale_enrichment.enrich(spark.createDataFrame([], SALES), spark.createDataFrame([], CHANGES), batches=1).collect() == []
