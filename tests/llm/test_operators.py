@@ -369,6 +369,21 @@ def test_group_pairs_lose_nothing(edits, heads):
     assert found and result(asked & set(found)) == result(set(found))
 
 
+def test_group_pairs_come_once():
+    """Rows that share shingles, repeated ones too: no pair is given twice."""
+    rng = np.random.default_rng(3)
+    source, rows = rng.integers(1 << 20, 1 << 32, 100), []
+    for k in range(40):
+        x = source.copy()
+        x[5 + 2 * k : 10 + 2 * k] = x[:5] if k % 4 == 0 else rng.integers(1 << 20, 1 << 32, 5)
+        rows.append(x)
+    bound = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    made = substring_dedup.group_pairs(np.concatenate(rows), bound, np.full(40, 99), np.arange(40), 46, 75, (16, 8, 7))
+    asked = [(min(p), max(p)) for h, k in made for p in zip(h.tolist(), k.tolist(), strict=True)]
+    plain = [p for p in asked if p[0] % 4 or p[1] % 4]
+    assert len(plain) == len(set(plain)) and len(set(asked)) == 40 * 39 // 2
+
+
 def test_near_copies_of_two_edits(spark):
     """150 near copies, of which many are near few others only: those that a comparison of all pairs finds are found and of its classes."""
     rng = random.Random(1)
