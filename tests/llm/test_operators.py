@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -857,3 +858,77 @@ def test_updates_by_the_book(spark):
     for k in w:
         assert abs(got[k] - w[k]) < 1e-4
     assert np.count_nonzero(got) <= len(w)
+
+
+def steps(run):
+    """Calls of Python and C functions while ``run`` is at work: what pairs cost beyond the length of their arrays."""
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        run()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_pairs_take_few_steps_for_each_gap(repeats):
+    """The stretches from each run to each later one are tried together, whether shingles are repeated or not."""
+    rng = np.random.default_rng(4)
+    made = []
+    for n in (400, 1600):
+        x = rng.integers(1 << 20, 1 << 60, n).astype(np.uint64)
+        y = x.copy()
+        if repeats:
+            x[200:205] = y[200:205] = x[:5]
+        for at in range(10, n - 5, 20):  # runs of 15 and gaps of 5: a passage would need six of seven
+            y[at : at + 5] = rng.integers(1 << 20, 1 << 60, 5)
+        assert substring_dedup.shared_runs(x, y, 46, 75) == []
+        made.append(steps(lambda x=x, y=y: substring_dedup.shared_runs(x, y, 46, 75)))
+    assert made[0] <= 1000 and made[1] - made[0] <= 30 * 60
+
+
+def test_windows_of_a_group_are_compared_together():
+    """Four times the windows of a group don't take four times the steps."""
+    rng = np.random.default_rng(8)
+    source = rng.integers(1 << 20, 1 << 32, 80)
+    made = []
+    for n in (20, 80):
+        rows = [source.copy() for _ in range(n)]
+        for x in rows:
+            at = int(rng.integers(0, 70))
+            x[at : at + 5] = rng.integers(1 << 20, 1 << 32, 5)
+        bound = np.arange(n + 1) * 80
+        args = np.concatenate(rows), bound, np.full(n, 79), np.arange(n), 46, 75, (16, 8, 64)
+        made.append(steps(lambda args=args: list(substring_dedup.group_pairs(*args))))
+    assert made[1] <= 2 * made[0]
+
+
+def test_shingles_are_cut_for_many_documents_at_once():
+    """Windows' and spans' shingles are those of their own text, as far as it goes, with few batches for many documents."""
+    rng = random.Random(9)
+    texts = [sentence(rng, n) for n in (80, 6, 3, 120)] * 20
+    grams = []
+    for text in texts:
+        _, _, data, offs = next(T.slices(pa.array([text])))
+        found = T.Words(data, offs)
+        grams.append(T.shingle_hashes(found.hashes(), found.row, 5, short=False)[0])
+    spans = [[{"start": s, "end": s + 50} for s in range(0, len(g), 16)] for g in grams]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array(spans, pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))), pa.array(texts)], ["sig", "spans", "text"])
+    made = list(substring_dedup._span_tokens(5)(iter([batch])))
+    assert len(made) == 1
+    got = {(r["sig"], r["start"], r["end"]): r["tokens"] for b in made for r in b.to_pylist()}
+    assert got == {(k, s["start"], s["end"]): g[s["start"] : s["end"]].tobytes() for k, (g, own) in enumerate(zip(grams, spans, strict=True)) for s in own}
+    fields = {"key": pa.int64(), "c": pa.int32(), "left": pa.int32(), "right": pa.int32(), "f": pa.int32()}
+    windows = [[{"key": 7, "c": c, "left": min(c, 30), "right": min(len(g) - 1 - c, 20), "f": 1} for c in range(0, len(g), 9)] for g in grams]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array(windows, pa.list_(pa.struct(fields))), pa.array(texts)], ["sig", "windows", "text"])
+    made = list(substring_dedup._contents(5, 11)(iter([batch])))
+    assert len(made) == 1
+    for r in (r for b in made for r in b.to_pylist()):
+        lo, g = r["c"] - r["pivot"], grams[r["sig"]]
+        assert lo == max(0, r["c"] - r["left"] - 11) and r["tokens"] == g[lo : r["c"] + r["right"] + 12].astype(np.uint32).tobytes()
