@@ -932,3 +932,18 @@ def test_shingles_are_cut_for_many_documents_at_once():
     for r in (r for b in made for r in b.to_pylist()):
         lo, g = r["c"] - r["pivot"], grams[r["sig"]]
         assert lo == max(0, r["c"] - r["left"] - 11) and r["tokens"] == g[lo : r["c"] + r["right"] + 12].astype(np.uint32).tobytes()
+
+
+def test_passages_of_a_part_come_joined():
+    """Of 30 copies compared in one part each comes once, with one root, not once a pair; spans that only meet are joined, others not."""
+    text = np.random.default_rng(2).integers(1 << 20, 1 << 60, 80).astype(np.uint64)
+    both = [(a, b) for a in range(30) for b in range(a + 1, 30)]
+    a, b = (pa.array(x, pa.int64()) for x in zip(*both, strict=True))
+    whole = {c: pa.array([n] * len(both), pa.int64()) for c, n in (("sa", 0), ("ea", 80), ("sb", 0), ("eb", 80))}
+    pairs = pa.table({"a": a, "b": b, **whole, "rep_a": a, "rep_b": b})
+    tokens = pa.table({"sig": pa.array(range(30), pa.int64()), "start": pa.array([0] * 30, pa.int64()), "tokens": pa.array([text.tobytes()] * 30, pa.binary())})
+    rows = substring_dedup._verify(46, 75)((), pairs, tokens).to_pylist()
+    assert len(rows) == 30 and {(r["first"], r["end"]) for r in rows} == {(0, 84)} and len({r["root"] for r in rows}) == 1
+    spans = np.array([(2, 5, 9), (1, 0, 4), (1, 9, 12), (1, 2, 9), (2, 0, 4)]).T
+    assert [x.tolist() for x in substring_dedup._united(*spans)] == [[1, 2, 2], [0, 0, 5], [12, 4, 9]]
+    assert [x.tolist() for x in substring_dedup._united(*np.zeros((3, 0), np.int64))] == [[], [], []]
