@@ -947,3 +947,64 @@ def test_passages_of_a_part_come_joined():
     spans = np.array([(2, 5, 9), (1, 0, 4), (1, 9, 12), (1, 2, 9), (2, 0, 4)]).T
     assert [x.tolist() for x in substring_dedup._united(*spans)] == [[1, 2, 2], [0, 0, 5], [12, 4, 9]]
     assert [x.tolist() for x in substring_dedup._united(*np.zeros((3, 0), np.int64))] == [[], [], []]
+
+
+def near_copies_of_one_pivot(n, seed=3):
+    """Windows (shingles, pivot's place) of near copies with none to two edits each, and of runs of one shingle of several lengths, that share a pivot."""
+    rng = np.random.default_rng(seed)
+    source = rng.integers(1 << 20, 1 << 32, 113)
+    rows = []
+    for k in range(n):
+        x = source.copy()
+        for at in rng.integers(0, 108, k % 3):
+            if not at <= 56 < at + 5:
+                x[at : at + 5] = rng.integers(1 << 20, 1 << 32, 5)
+        rows.append((x, 56))
+    for k in range(n // 4):
+        junk = rng.integers(1 << 20, 1 << 32, 22)
+        rows.append((np.concatenate([junk[:11], np.full(50 + k % 30, source[56]), junk[11:]]), 11 + k % 7))
+    return rows
+
+
+def test_links_of_a_group_grow_with_its_windows():
+    """Links of a large group of near copies are a few a window, not all pairs, and lead to all that all pairs lead to."""
+    made = []
+    for n in (64, 256):
+        rows = near_copies_of_one_pivot(n)
+        size = [len(x) for x, _ in rows]
+        cols = {"key": [7] * len(rows), "sig": range(len(rows)), "c": [100] * len(rows), "left": [p for _, p in rows], "right": [len(x) - 1 - p for x, p in rows], "f": [0] * len(rows), "pivot": [p for _, p in rows]}
+        table = pa.table({c: pa.array(v, pa.int64()) for c, v in cols.items()} | {"tokens": pa.array([x.astype(np.uint32).tobytes() for x, _ in rows], pa.binary())})
+        links = substring_dedup._content_links(46, 75, 24, (16, 8, 64))((), table)
+        a, b = (x.tolist() for x in substring_dedup._unpacked(1, links)[:2])
+        made.append(len(set(zip(a, b))))
+        assert made[-1] <= 5 * len(rows) and len(size) == len(rows)
+        if n == 64:
+            grams = [x.astype(np.uint64) for x, _ in rows]
+            found = {(i, j): runs for i in range(len(rows)) for j in range(i + 1, len(rows)) if (runs := substring_dedup.shared_runs(grams[i], grams[j], 46, 75))}
+
+            def held(pairs):
+                out = [set() for _ in rows]
+                for i, j in pairs:
+                    for f, g, p, q in found[i, j]:
+                        out[i] |= {f + x for x in np.flatnonzero(np.isin(grams[i][f:g], grams[j][p:q])).tolist()}
+                        out[j] |= {p + x for x in np.flatnonzero(np.isin(grams[j][p:q], grams[i][f:g])).tolist()}
+                return out, linked(len(rows), pairs)
+
+            assert held(set(zip(a, b)) & set(found)) == held(set(found))
+    assert made[1] <= 5 * made[0]
+
+
+def test_words_near_the_end_of_a_passage_belong_to_it():
+    """A stretch with similarity 0.75 is found to its last shared shingle, and by many pairs at a time as by each alone."""
+    rng = np.random.default_rng(5)
+    pairs = []
+    for k in range(12):
+        x = rng.integers(1 << 20, 1 << 60, 120)
+        y = x.copy()
+        y[95:100] = rng.integers(1 << 20, 1 << 60, 5)
+        y[:k] = rng.integers(1 << 20, 1 << 60, k)
+        assert substring_dedup.shared_runs(x.astype(np.uint64), y.astype(np.uint64), 46, 75) == [(k, 120, k, 120)]
+        code = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+        x, y = code[:120], code[120:]
+        pairs.append((k, substring_dedup._Pair(x, y, substring_dedup._previous(x), substring_dedup._previous(y), np.zeros(240, np.int64))))
+    assert dict(substring_dedup._runs_of_pairs(iter(pairs), 46, 75)) == {k: [(k, 120, k, 120)] for k in range(12)}
